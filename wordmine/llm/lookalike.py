@@ -32,7 +32,7 @@ IGNORABLE = (
 )
 #: Dashes, middle dots and spaces that count as one of their kind.
 DASHES = "‐‑‒–—―−⁃﹘﹣－"
-DOTS = "•‧∙⋅⸱・･·ᐧ"
+DOTS = "•‧∙⋅⸱・･·ᐧㆍᆞ"
 SPACES = "               　"
 #: Letters of the same shape, the Latin, Han or Katakana one first.
 SHAPES = (
@@ -108,7 +108,7 @@ def _bigrams() -> dict[str, dict[str, float]]:
 
 
 BIGRAMS = _bigrams()
-_SWITCH, _RANK = 1e6, 1e3
+_SWITCH, _RANK, _PLACE = 1e6, 1e3, 1e2
 
 
 def _gain(script: str, a: str, b: str) -> float:
@@ -118,21 +118,22 @@ def _gain(script: str, a: str, b: str) -> float:
 
 @lru_cache(maxsize=65536)
 def decode(word: str) -> str:
-    """The best reading of a run of letters: fewest script changes, then the script first in ``SCRIPTS``, then bigrams.
+    """The best reading of a run of letters: fewest script changes, then the script first in ``SCRIPTS``, then the plainest
+    letters, then bigrams.
 
     The options of a position depend on its shape alone. Marks that combine go with the letter before.
     """
-    options = [[(c, _script(c)) for c in CLASSES.get(x, x)] if not unicodedata.combining(x) else [(x, "")] for x in word]
+    options = [[(c, _script(c), place) for place, c in enumerate(CLASSES.get(x, x))] if not unicodedata.combining(x) else [(x, "", 0)] for x in word]
     states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
     for choices in options:
         new: dict[tuple[str, str], tuple[float, str]] = {}
         for (last, script), (score, path) in states.items():
-            for c, s in choices:
+            for c, s, place in choices:
                 if not s:
                     key, value = (last, script), score
                 else:
                     key = (c, s)
-                    value = score - SCRIPTS.index(s) * _RANK - (_SWITCH if script and s != script else 0) + (_gain(s, last, c) if script == s else 0)
+                    value = score - SCRIPTS.index(s) * _RANK - place * _PLACE - (_SWITCH if script and s != script else 0) + (_gain(s, last, c) if script == s else 0)
                 if key not in new or (value, path + c) > new[key]:
                     new[key] = (value, path + c)
         states = new

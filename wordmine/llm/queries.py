@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wordmine.llm import cooccur, leakage, lookalike, packing, reading, sentences, term_counts
+from wordmine.llm import cooccur, leakage, lookalike, packing, personal, reading, sentences, term_counts
 
-MODULES = [lookalike, term_counts, sentences, cooccur, packing, leakage, reading]
+MODULES = [personal, lookalike, term_counts, sentences, cooccur, packing, leakage, reading]
 
 
 def queries() -> dict:
