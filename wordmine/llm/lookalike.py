@@ -155,7 +155,16 @@ def consistent(text: str) -> str:
     return text
 
 
-_CLUSTER = re.compile("[ᄀ-ᅟꥠ-ꥼ][ᅡ-ᆧ]?[ᆨ-ᇿ]?|.[̀-゙゚ͯ]*", re.S)
+_MARKS = "\u0300-\u036f\u3099\u309a"
+_SPLIT = "".join(chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4 and unicodedata.normalize("NFC", chr(c)) != chr(c))
+_SKIP = f"[{IGNORABLE}]*"
+#: Stored characters that don't stand for themselves one by one: composed sequences, folded ones and invisible ones.
+_PLAIN_CHUNK = (
+    f"[\u1100-\u115e\ua960-\ua97c](?:{_SKIP}[\u1161-\u11a7](?:{_SKIP}[\u11a8-\u11ff])?)?|[가-힣]{_SKIP}[\u11a8-\u11ff]|[{IGNORABLE}]+|{_FOLD.pattern}|[{_SPLIT}]"
+)
+_CHUNK = re.compile(_PLAIN_CHUNK)
+_MARKED_CHUNK = re.compile(f"[^{_MARKS}](?:{_SKIP}[{_MARKS}])+|{_PLAIN_CHUNK}", re.S)
+_MARK = re.compile(f"[{_MARKS}]")
 
 
 def consistent_spans(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -165,23 +174,37 @@ def consistent_spans(text: str) -> tuple[str, list[int] | None, list[int] | None
     """
     if _ODD.search(text) is None:
         return text, None, None
-    if not _GONE.search(text):
-        form = consistent(text)
-        if len(form) == len(text) and not any(len(v or "") != 1 for v in (FOLDS.get(ord(c), c) for c in set(text))):
-            return form, None, None
-    kept = [i for i, c in enumerate(text) if not _GONE.match(c)]
-    bare = "".join(text[i] for i in kept)
-    parts, starts, ends = [], [], []
-    for m in _CLUSTER.finditer(bare):
-        part = unicodedata.normalize("NFC", m[0].translate(FOLDS))
-        parts.append(part)
-        starts += [kept[m.start()]] * len(part)
-        ends += [kept[m.end() - 1] + 1] * len(part)
+    parts, starts, ends, last, moved = [], [], [], 0, False
+    for m in (_MARKED_CHUNK if _MARK.search(text) else _CHUNK).finditer(text):
+        a, b = m.span()
+        part = unicodedata.normalize("NFC", _FOLD.sub(_folded, _GONE.sub("", m[0])))
+        if len(part) == 1 and b - a == 1:
+            if part == m[0]:
+                continue
+            parts += [text[last:a], part]
+            if moved:
+                starts += range(last, b)
+                ends += range(last + 1, b + 1)
+            last = b
+            continue
+        if not moved:
+            moved = True
+            starts, ends = list(range(last)), list(range(1, last + 1))
+        starts += range(last, a)
+        ends += range(last + 1, a + 1)
+        starts += [a] * len(part)
+        ends += [b] * len(part)
+        parts += [text[last:a], part]
+        last = b
+    parts.append(text[last:])
+    if moved:
+        starts += range(last, len(text))
+        ends += range(last + 1, len(text) + 1)
     form = "".join(parts)
     if _RIVAL.search(form):
         changed = _WORD.sub(lambda m: decode(m[0]) if _RIVAL.search(m[0]) else m[0], form)
         form = changed if len(changed) == len(form) else form
-    return form, starts, ends
+    return (form, starts, ends) if moved else (form, None, None)
 
 
 def consistent_text(df: DataFrame, column: str, to: str = "form") -> DataFrame:

@@ -78,6 +78,10 @@ _STREET = (
     rf"(?:,{_S}(?:Apt|Suite|Unit|Flat|Floor|Room)\.?{_S}\d+[A-Z]?)?(?:,{_S}[A-Z][a-z]+(?:{_S}[A-Z][a-z]+)?)?"
 )
 _STREETS = re.compile(_STREET)
+#: Cheap tests that every match of a costly pattern passes.
+_LONG = re.compile(r"\d[\d\-. )(\n\r\t]{5,}\d|[A-Z]\d{3}")
+_NUMBERED = re.compile(rf"[로길동리가]{_S}(?:산{_S})?\d")
+_STREET_NAMES = re.compile(r"Drive|Road|Lane|Court|Avenue|Street|Boulevard|Square|Terrace|Place|Crescent|Way|Dr\b|St\b|Rd\b|Ave\b|Ln\b|Blvd\b")
 _KOREAN = re.compile(rf"(?<!{_G})(?:{'|'.join(SURNAMES)})(?:{_S})?{_G}{_G}(?=(?:씨|님|군|양|은|는|이|가|을|를|의|와|과|도|에게|께서|에|로|으로|이라|라|이며|이고|만)?(?:[^가-힣]|$)|{TITLES}|씨|님|이랑|이나)")
 _WESTERN = re.compile(
     rf"(?<![A-Za-z])(?<![A-Za-z0-9]\.)(?:[A-Z][a-z]+|[A-Z]{{2,9}}|[A-Z]\.)(?:{_S}?[A-Z]\.)?{_S}?(?<=[ \t\n.])(?:[A-Z][a-z]+(?:-[A-Z][a-z]+)*|[A-Z]{{2,9}})(?![A-Za-z])"
@@ -121,6 +125,9 @@ FORM = (
 FEATURES = {f: i for i, f in enumerate([*FORM, *(f"{kind}:{f}" for kind in ("name", "other") for f in [*LEFT, *RIGHT])])}
 _CLUES = ("left_title", "left_role", "left_western", "left_said", "left_roster", "right_ssi", "right_title", "right_reporter", "right_age", "right_contact", "right_number", "right_award", "right_japanese", "right_said", "right_etc")
 
+_ANY_LEFT = re.compile("|".join(f"(?:{LEFT[f].pattern})" for f in (*(c for c in _CLUES if c in LEFT), "left_list")))
+_ANY_RIGHT = re.compile("|".join(f"(?:{RIGHT[f].pattern})" for f in (*(c for c in _CLUES if c in RIGHT), "right_list")))
+
 
 @dataclass
 class Node:
@@ -168,33 +175,46 @@ def candidates(text: str, words: frozenset[str] = frozenset()) -> list[Node]:
     if _AT.search(text):
         for m in _EMAIL.finditer(text):
             put("email", m.start(), m.end(), ["email"] + (["email_spelt"] if "@" not in m[0] else []))
-    for m in _ID.finditer(text):
+    long = _LONG.search(text) is not None
+    for m in _ID.finditer(text) if long else ():
         if free(*m.span()):
             s = m[0]
             put("id", *m.span(), ["id", "id_passport" if s[0].isalpha() else "id_licence" if s.count("-") == 3 else "id_date"])
-    for m in _PHONE.finditer(text):
+    for m in _PHONE.finditer(text) if long else ():
         if free(*m.span()):
             put("phone", *m.span(), ["phone"] + (["phone_service"] if m[0][0] == "1" else []) + (["phone_spaced"] if " " in m[0] else []))
-    for m in _ADDRESS.finditer(text):
-        if free(*m.span()):
-            put("address", *m.span(), ["address"] + (["address_region"] if m["region"] else []))
-    for m in _STREETS.finditer(text):
+    last = 0
+    for anchor in _NUMBERED.finditer(text):  # the pattern is tried only around what can be its core
+        at = anchor.start()
+        for m in _ADDRESS.finditer(text, max(last, at - 60), at + 60) if at >= last else ():
+            if m.end() > at:
+                if m.start() <= at and free(*m.span()):
+                    put("address", *m.span(), ["address"] + (["address_region"] if m["region"] else []))
+                    last = m.end()
+                break
+    for m in _STREETS.finditer(text) if _STREET_NAMES.search(text) else ():
         if free(*m.span()):
             put("address", *m.span(), ["address", "address_english"] + (["address_town"] if "," in m[0] else []))
     names: list[tuple[int, int, list[str]]] = []
+    weak: list[tuple[int, int, list[str]]] = []
     for m in _KOREAN.finditer(text):
         s = m[0]
         two = s[:2] in SURNAMES[:10]
         spaced = any(c.isspace() for c in s)
         if two and not spaced and len(s) == 3 or s in words or spaced and _TITLE.fullmatch(s[-2:]):
             continue
+        a, b = m.span()
         form = ["name_korean"] + ["name_spaced"] * spaced + ["name_two"] * two + ["name_closed"] * _closed(s[-1])
-        names.append((*m.span(), form))
+        evident = s[-1] in GIVEN_ENDS or _ANY_RIGHT.match(text, b) or _ANY_LEFT.search(text[max(0, a - AROUND) : a])
+        (names if evident else weak).append((a, b, form))
     for pattern, base in ((_WESTERN, "name_western"), (_JAPANESE, "name_japanese")):
         for m in pattern.finditer(text):
             head = re.split(r"\s", m[0])
             initial = ["name_initial"] * (len(head[0]) == 2 and head[0][1] == ".")
             names.append((*m.span(), [base, *initial, *["name_capitals"] * any(len(h) > 1 and h.isupper() for h in head)]))
+    if weak and names:  # a name without any evidence of its own counts where it repeats another
+        keys = {_WHITE.sub("", text[a:b]) for a, b, _ in names}
+        names += [n for n in weak if _WHITE.sub("", text[n[0] : n[1]]) in keys]
     names = sorted((n for n in names if free(n[0], n[1])), key=lambda n: (n[0], -n[1]))
     kept: list[Node] = []
     last = -1
@@ -224,7 +244,7 @@ def candidates(text: str, words: frozenset[str] = frozenset()) -> list[Node]:
     return sorted(nodes, key=lambda n: (n.start, n.end))
 
 
-_TITLE = re.compile(TITLES)
+_TITLE, _WHITE = re.compile(TITLES), re.compile(r"\s")
 _SENTENCE = re.compile(r"(?:^|[\n\r.!?”’…】\])=]|특파원)\s*$")
 _SEPARATOR = re.compile(rf"(?:\([^()\n]{{1,8}}\))?(?:씨)?{_S}?(?:,|·|/|와|과|및|and){_S}?(?:가족{_S}|및{_S})?")
 
