@@ -274,10 +274,10 @@ def latent_basis(passages: DataFrame, space: Space, own: list[str], rank: int =
 
 
 def _segments(space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All segments of the items, twice as long as a window and half overlapping, and which item each belongs to."""
+    """All segments of the items, twice as long as a window and half overlapping, so that one holds any window whole, and which item each belongs to."""
     w, places, begins, owner, held = space.block.window, [], [], [], 0
     for k, item in enumerate(space.block.items):
-        p, b, _ = space.windows("".join(item.words), 2 * w, max(1, w // 2))
+        p, b, _ = space.windows("".join(item.words), 2 * w, w)
         places.append(p)
         begins.append(b + held)
         owner.append(np.full(len(b), k))
@@ -352,7 +352,8 @@ def leaked(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, near:
         counts = found.where("grams IS NOT NULL").select(F.explode(F.arrays_zip("grams", "counts")).alias("x"))
         for gram, n in counts.groupBy("x.grams").agg(F.sum("x.counts")).collect():  # at most the items' own n-grams
             df[gram] = n
-        passages = found.where("passage IS NOT NULL").select("doc_id", "passage").distinct()
+        tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        passages = found.where("passage IS NOT NULL").select("doc_id", "passage").repartition(tasks, "doc_id", "passage").distinct()  # small rows, much work each
         space = Space(block, 1 + np.log((1 + df.max(initial=0)) / (1 + df)))
         basis = latent_basis(passages.select("passage"), space, ["".join(i.words) for i in block.items])
         places, begins, owner = _segments(space)
