@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmine.functions.clean import clean, unbalanced
-from wordmine.functions.measures import count_in, spacing_masks
+from wordmine.functions.measures import count_in
 
 
 def tokenize(df: DataFrame, text: str = "clean", least: int = 2) -> DataFrame:
@@ -65,29 +65,33 @@ def substrings(vocab: DataFrame, least: int = 2) -> DataFrame:
 
 
 def splits(vocab: DataFrame) -> DataFrame:
-    """``(token, lp, um, rp)``: every division into a left part of two characters, an unregistered middle of one and a right part of any length."""
-    t, n = F.col("token"), F.length("token")
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(2), F.greatest(n - 1, F.lit(2))),
-            lambda i: F.transform(F.sequence(i + 1, F.greatest(n, i + 1)), lambda j: F.struct(F.substring(t, F.lit(1), i).alias("lp"), F.substring(t, i + 1, j - i).alias("um"), F.substring(t, j + 1, F.lit(1 << 20)).alias("rp"))),
-        )
-    )
-    return vocab.where(n >= 3).select("token", F.explode(pairs).alias("x")).select("token", "x.*")
+    """``(token, lp, um, rp)``: every division into a left part, a middle of two characters and more, and a right part, the outer ones possibly empty.
+
+    A final dot goes first.
+    """
+    bare = vocab.select("token", F.regexp_replace("token", r"\.$", "").alias("t")).where(F.length("t") >= 2)
+    t, n = F.col("t"), F.length("t")
+
+    def parts(i: Column) -> Column:
+        last = F.sequence(i + 1, n)
+        return F.transform(last, lambda j: F.struct(F.substring(t, F.lit(1), i - 1).alias("lp"), F.substring(t, i, j - i + 1).alias("um"), F.substring(t, j + 1, n).alias("rp")))
+
+    return bare.select("token", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), parts))).alias("x")).select("token", "x.*")
 
 
 def spacings(df: DataFrame, word: str = "word", most: int = 12) -> DataFrame:
     """``(word, way)``: every spacing of words of up to ``most`` characters; exponential by nature, longer words give only themselves."""
-    w, n = F.col(word), F.length(F.col(word))
+    df = df.select(F.col(word).alias("w")).where(F.length("w") >= 1)
+    w, n = F.col("w"), F.length("w")
     masks = F.sequence(F.lit(0), (F.pow(F.lit(2), F.least(n, F.lit(most)) - 1) - 1).cast("int"))
 
     def way(mask: Column) -> Column:
         return F.array_join(
-            F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(w, i, F.lit(1)), F.when((i < n) & (F.shiftright(mask, 0).bitwiseAND(F.pow(F.lit(2), i - 1).cast("int")) > 0), F.lit(" ")).otherwise(F.lit("")))), ""
+            F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(w, i, F.lit(1)), F.when((i < n) & (mask.bitwiseAND(F.pow(F.lit(2), i - 1).cast("int")) > 0), F.lit(" ")).otherwise(F.lit("")))), ""
         )
 
     ways = F.when(n <= most, F.transform(masks, way)).otherwise(F.array(w))
-    return df.where(n >= 1).select(w.alias("word"), F.explode(ways).alias("way"))
+    return df.select(w.alias("word"), F.explode(ways).alias("way"))
 
 
 def paren_suffixes(tokens: DataFrame, raw: DataFrame, least: int = 2) -> DataFrame:
@@ -120,9 +124,15 @@ def paren_parts(tokens: DataFrame) -> DataFrame:
 
 
 def sentence_array(text: Column, ending: str = "다", closed: bool = True) -> Column:
-    """Sentences up to ``ending`` and dots, and what is left after removing them; with ``closed`` at least one dot is needed."""
-    found = F.regexp_extract_all(text, F.lit(rf"([^\n]*?{ending}\.{'+' if closed else '*'})"), 1)
-    return F.concat(found, F.array(F.regexp_replace(text, rf"[^\n]*?{ending}\.", "")))
+    """Sentences up to ``ending`` and dots, and what is left after removing them; with ``closed`` at least one dot is needed.
+
+    A sentence lies within one line. Terminators are cut after in one pass and each line's rest is found from its
+    beginning, so the time is linear even for lines without any terminator.
+    """
+    end = rf"{ending}\.{'+' if closed else '*'}"
+    pieces = F.split(F.regexp_replace(text, f"({end})", "$1\n"), "\n")
+    found = F.filter(pieces, lambda p: p.rlike(rf"{end}\z"))
+    return F.concat(found, F.array(F.regexp_replace(text, rf"(?dm)^[^\n]*{ending}\.", "")))
 
 
 def sentences(df: DataFrame, text: str = "clean", ending: str = "다", closed: bool = True) -> DataFrame:
@@ -133,7 +143,3 @@ def sentences(df: DataFrame, text: str = "clean", ending: str = "다", closed: b
 def plain_sentences(df: DataFrame, text: str = "clean") -> DataFrame:
     """``(doc_id, sent_id, sentence)`` at white space after full stop, question or exclamation mark."""
     return df.select("doc_id", F.posexplode(F.split(F.col(text), r"(?<=[.!?])\s+")).alias("sent_id", "sentence"))
-
-
-def mask_table(n: int) -> list[tuple[bool, ...]]:
-    return spacing_masks(n)

@@ -1,11 +1,416 @@
-"""The queries of the core and the SQL they are checked against."""
+"""The queries of the core over whole tables, and the SQL they are checked against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordmine.functions import clean, measures
+from wordmine.operators import compound, counts, graph, select, similar, tagger, tokens
+from wordmine.plans import pipelines
+from wordmine.plans.lineage import materialize
+from wordmine.sources import io
+from wordmine.sources.tables import table
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text")
+
+
+def _docs(spark: SparkSession, folder: str, profile: str = "search") -> DataFrame:
+    return tokens.documents(_documents(spark, folder), profile)
+
+
+def _lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lexicon", "surface", "tag")
+
+
+def _needles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "nounrank", "noun").where("noun IS NOT NULL").select(F.upper("noun").alias("needle")).distinct()
+
+
+def _vocab(spark: SparkSession, folder: str, least: int = 2) -> DataFrame:
+    return tokens.vocabulary(tokens.tokenize(_docs(spark, folder), least=least))
+
+
+def _n_docs(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def _occ(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(pipelines.noun_occurrences(_docs(spark, folder), _lexicon(spark, folder)), "occurrences")
+
+
+def _cleaned(profile: str):
+    return lambda spark, folder: _docs(spark, folder, profile)
+
+
+def clean_article(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "text", "_c0", "NEWS")
+    return rows.select("_c0", clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "article").alias("clean"))
+
+
+def strip_parens(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "text", "_c0", "NEWS").where("NEWS IS NOT NULL")
+    return rows.select("_c0", clean.strip_parens(F.col("NEWS")).alias("bare"), clean.unbalanced(F.col("NEWS")).alias("unbalanced"))
+
+
+def wide_longest_cell(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["row_no", "URL_CD", "NEWS_BODY", "press_cd"]
+    return table(spark, folder, "longtext", *columns).select("row_no", io.longest_cell(None, columns).alias("cell"))
+
+
+def eojeol_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.tokenize(_docs(spark, folder))
+
+
+def token_vocab(spark: SparkSession, folder: str) -> DataFrame:
+    return _vocab(spark, folder)
+
+
+def prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.prefixes(_vocab(spark, folder, 3), parens=True)
+
+
+def right_trims(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.right_trims(_vocab(spark, folder))
+
+
+def three_way_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.splits(_vocab(spark, folder, 3)).groupBy("um").agg(F.count(F.lit(1)).alias("n"))
+
+
+def spacings(spark: SparkSession, folder: str) -> DataFrame:
+    words = _lexicon(spark, folder).where(F.length("surface").between(2, 6)).select(F.col("surface").alias("word")).distinct()
+    return tokens.spacings(words)
+
+
+def paren_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "text", "_c0", "NEWS").select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
+    found = tokens.paren_suffixes(tokens.tokenize(rows, least=3), rows.withColumnRenamed("clean", "raw"))
+    return found.where("step = 1").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def paren_parts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "text", "_c0", "NEWS").select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
+    return tokens.vocabulary(tokens.paren_parts(tokens.tokenize(rows, least=3)))
+
+
+def prefix_freq(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.prefix_frequency(_vocab(spark, folder))
+
+
+def substring_count(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.substring_frequency(_vocab(spark, folder, 0), _needles(spark, folder))
+
+
+def word_start_rate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder)
+    toks = tokens.tokenize(docs, least=0).where("pos > 0")
+    freq = counts.prefix_frequency(tokens.vocabulary(toks)).join(_needles(spark, folder).withColumnRenamed("needle", "prefix"), "prefix")
+    spaces = docs.agg(F.sum(measures.count_in(F.col("clean"), F.lit(" "))).alias("spaces"))
+    return freq.crossJoin(F.broadcast(spaces)).select("prefix", F.round(F.try_divide("freq", "spaces"), 9).alias("rate"))
+
+
+def word_total(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder)
+    return docs.select("doc_id", counts.word_total(F.col("clean")).cast("bigint").alias("words"), measures.count_in(F.col("clean"), F.lit(" ")).cast("bigint").alias("spaces"))
+
+
+def _cliff(first: bool):
+    return lambda spark, folder: pipelines.cliff_scores(_docs(spark, folder), first)
+
+
+def discovered_nouns(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.discover_nouns(_docs(spark, folder)).select("doc_id", "noun")
+
+
+def elbow_nouns(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.elbow_nouns(_docs(spark, folder, "elbow")).select("doc_id", "noun", F.round("tfidf", 6).alias("tfidf"))
+
+
+def _left(mode: int):
+    return lambda spark, folder: pipelines.left_matches(_docs(spark, folder), mode).where("match IS NOT NULL")
+
+
+def _needle_counts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = _docs(spark, folder)
+    return counts.document_counts(tokens.tokenize(docs, least=0), _needles(spark, folder)), docs
+
+
+def doc_freq(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.document_frequency(_needle_counts(spark, folder)[0])
+
+
+def _tfidf(tf: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        n, docs = _needle_counts(spark, folder)
+        return counts.tfidf_table(n, _n_docs(docs), tf).select("doc_id", "needle", F.round("tfidf", 6).alias("tfidf"))
+
+    return query
+
+
+def _kwic(context):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        n, docs = _needle_counts(spark, folder)
+        return n.join(docs, "doc_id").select("doc_id", "needle", context(F.col("clean"), F.col("needle")).alias("context"))
+
+    return query
+
+
+def _sentences(closed: bool):
+    return lambda spark, folder: tokens.sentences(_docs(spark, folder), closed=closed)
+
+
+def plain_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.plain_sentences(_docs(spark, folder)).where("sentence <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sentence_nouns(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.sentence_counts(pipelines.noun_occurrences(_docs(spark, folder), _lexicon(spark, folder)))
+
+
+def cooc_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.cooccurrence(_occ(spark, folder))
+
+
+def out_degree(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.out_degree(graph.cooccurrence(_occ(spark, folder)))
+
+
+def order_window_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.order_window_edges(_occ(spark, folder))
+
+
+def char_window_edges(spark: SparkSession, folder: str) -> DataFrame:
+    sents = tokens.sentences(_docs(spark, folder))
+    starts = sents.select("doc_id", "sent_id", F.posexplode(F.split("sentence", " ")).alias("pos", "token"), F.col("sentence"))
+    before = F.expr("aggregate(slice(split(sentence, ' '), 1, pos), 0, (n, t) -> n + length(t) + 1)")
+    at = starts.select("doc_id", "sent_id", "pos", before.alias("at"))
+    occ = _occ(spark, folder).join(at, ["doc_id", "sent_id", "pos"])
+    return graph.char_window_edges(sents, occ.select("doc_id", "sent_id", "at", "noun"), None)
+
+
+def _ranks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    occ = _occ(spark, folder)
+    return occ, graph.textrank(graph.cooccurrence(occ), occ.select("doc_id", "noun"))
+
+
+def textrank(spark: SparkSession, folder: str) -> DataFrame:
+    return _ranks(spark, folder)[1].select("doc_id", "noun", F.round("tr", 6).alias("tr"))
+
+
+def bigrams(spark: SparkSession, folder: str) -> DataFrame:
+    return compound.bigrams(_occ(spark, folder))
+
+
+def trigrams(spark: SparkSession, folder: str) -> DataFrame:
+    return compound.noun_grams(_occ(spark, folder), 3).groupBy("doc_id", F.array_join("words", " ").alias("words")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, occ = _docs(spark, folder), _occ(spark, folder)
+    return docs, occ, compound.with_counts(compound.first_seen(compound.bigrams(occ)), docs)
+
+
+def compound_count(spark: SparkSession, folder: str) -> DataFrame:
+    docs, _, pairs = _pairs(spark, folder)
+    spaced = measures.count_any_spacing(F.col("clean"), [F.col("a"), F.col("b")])
+    return pairs.join(docs, "doc_id").select("doc_id", "ord", "a", "b", "n", spaced.alias("n_spaced"))
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    docs, occ, pairs = _pairs(spark, folder)
+    ranks = graph.textrank(graph.cooccurrence(occ), occ.select("doc_id", "noun"))
+    return compound.score_pairs(pairs, docs, ranks, counts.word_total(F.col("clean")))
+
+
+def trpmi(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).select("doc_id", "a", "b", "n", F.round("pmi", 6).alias("pmi"), F.round("trpmi", 6).alias("trpmi"))
+
+
+def dup_merge(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scored(spark, folder).select("doc_id", "a", "b", F.col("trpmi").alias("score"))
+    return compound.merge_duplicates(rows, F.concat("a", "b")).select("doc_id", "label", F.round("score", 6).alias("score"))
+
+
+def all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return compound.adjacent_pairs(_docs(spark, folder), _occ(spark, folder))
+
+
+def _chain(keep_tail: bool):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        pairs = _pairs(spark, folder)[2]
+        return compound.chain_merge(pairs, keep_tail).select("doc_id", "ord", F.array_join("words", " ").alias("words"))
+
+    return query
+
+
+def suffix_prefix_map(spark: SparkSession, folder: str) -> DataFrame:
+    return compound.suffix_prefix_links(_pairs(spark, folder)[2].select("doc_id", "ord", F.array("a", "b").alias("words")))
+
+
+def included_nouns(spark: SparkSession, folder: str) -> DataFrame:
+    return compound.included_last(_occ(spark, folder))
+
+
+def greedy_occurrences(spark: SparkSession, folder: str) -> DataFrame:
+    occ = _occ(spark, folder)
+    nouns = occ.groupBy("doc_id", "noun").agg(F.min(F.struct("sent_id", "pos")).alias("ord"))
+    return compound.greedy_occurrences(tokens.sentences(_docs(spark, folder)), nouns).groupBy("doc_id", "noun").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mutual_inclusion(spark: SparkSession, folder: str) -> DataFrame:
+    nouns = pipelines.discover_nouns(_docs(spark, folder)).withColumnRenamed("noun", "word")
+    freq = counts.substring_frequency(_vocab(spark, folder, 0), nouns.select(F.col("word").alias("needle"))).withColumnRenamed("needle", "word")
+    return compound.mutual_inclusion(nouns, freq).select("doc_id", "word", "freq")
+
+
+def window_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    toks = tokens.tokenize(_docs(spark, folder), least=0)
+    near = similar.window_neighbours(toks, _needles(spark, folder).withColumnRenamed("needle", "noun"))
+    return near.groupBy("noun", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def similarity_rank(spark: SparkSession, folder: str) -> DataFrame:
+    found = pipelines.similar_nouns(_docs(spark, folder), _needles(spark, folder).withColumnRenamed("needle", "noun"))
+    return found.select("noun", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def embedding_rank(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding")
+    return similar.nearest(rows, rows.where("vec_id % 50 = 0")).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def registered_left(spark: SparkSession, folder: str) -> DataFrame:
+    return tagger.registered_left(_vocab(spark, folder).select(F.col("token").alias("match")), _lexicon(spark, folder))
+
+
+def registered_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return tagger.without_registered(_vocab(spark, folder).select(F.col("token").alias("word")), _lexicon(spark, folder))
+
+
+def particle_filter(spark: SparkSession, folder: str) -> DataFrame:
+    lexicon = _lexicon(spark, folder)
+    tag = tagger.lexicon_tagger(lexicon)
+    words = _vocab(spark, folder).withColumn("morphs", tagger.tagged(lambda: tag)(F.col("token")))
+    return words.where(tagger.not_ending(F.col("morphs")) & ~tagger.is_excluded(F.col("morphs"))).select("token", tagger.is_known(F.col("morphs")).alias("known"))
+
+
+def stripped_words(spark: SparkSession, folder: str) -> DataFrame:
+    lexicon = _lexicon(spark, folder)
+    tag = tagger.lexicon_tagger(lexicon)
+    return _vocab(spark, folder).select("token", tagger.strip_suffixes(lambda: tag)(F.col("token")).alias("stripped"))
+
+
+def unit_filter(spark: SparkSession, folder: str) -> DataFrame:
+    units = r"[0-9]+[^\n][0-9]+%|[0-9]+[조억만천원년월달일시분위여건개층][0-9]*|[0-9]+거래일"
+    return _vocab(spark, folder).where(~F.col("token").rlike(units))
+
+
+def compounds(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.compounds(_docs(spark, folder, "compounder"), _lexicon(spark, folder)).select("doc_id", "label", F.round("score", 6).alias("score"))
+
+
+def discover(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.discover(_docs(spark, folder, "splitter"), _lexicon(spark, folder))
+
+
+def new_words(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.new_words(_docs(spark, folder, "wordsplitter"), _lexicon(spark, folder))
+
+
+def _report(tf: str, context: str, least: int):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return pipelines.search_report(_docs(spark, folder), _lexicon(spark, folder), tf=tf, context=context, least=least).withColumn("tfidf", F.round("tfidf", 6))
+
+    return query
+
+
+def word_lists(spark: SparkSession, folder: str) -> DataFrame:
+    words = pipelines.elbow_nouns(_docs(spark, folder, "elbow")).withColumnRenamed("noun", "word")
+    return io.with_word_lists(_documents(spark, folder).select("doc_id"), words)
+
+
+QUERIES = {
+    "clean_search": _cleaned("search"),
+    "clean_elbow": _cleaned("elbow"),
+    "clean_splitter": _cleaned("splitter"),
+    "clean_compounder": _cleaned("compounder"),
+    "clean_wordsplitter": _cleaned("wordsplitter"),
+    "clean_raw": _cleaned("raw"),
+    "clean_article": clean_article,
+    "strip_parens": strip_parens,
+    "wide_longest_cell": wide_longest_cell,
+    "eojeol_tokens": eojeol_tokens,
+    "token_vocab": token_vocab,
+    "prefixes": prefixes,
+    "right_trims": right_trims,
+    "three_way_splits": three_way_splits,
+    "spacings": spacings,
+    "paren_suffixes": paren_suffixes,
+    "paren_parts": paren_parts,
+    "prefix_freq": prefix_freq,
+    "substring_count": substring_count,
+    "word_start_rate": word_start_rate,
+    "word_total": word_total,
+    "cliff_nouns_multi": _cliff(False),
+    "cliff_nouns_first": _cliff(True),
+    "discovered_nouns": discovered_nouns,
+    "elbow_nouns": elbow_nouns,
+    "longest_common_left": _left(0),
+    "longest_common_left_strict": _left(1),
+    "longest_common_left_rest": _left(2),
+    "longest_common_left_chain": _left(3),
+    "doc_freq": doc_freq,
+    "tfidf_raw": _tfidf("raw"),
+    "tfidf_log": _tfidf("log"),
+    "tfidf_log_zero": _tfidf("zero"),
+    "kwic_first": _kwic(measures.first_context),
+    "kwic_all": _kwic(measures.all_contexts),
+    "sentences_closed": _sentences(True),
+    "sentences_open": _sentences(False),
+    "plain_sentences": plain_sentences,
+    "sentence_nouns": sentence_nouns,
+    "cooc_edges": cooc_edges,
+    "out_degree": out_degree,
+    "order_window_edges": order_window_edges,
+    "char_window_edges": char_window_edges,
+    "textrank": textrank,
+    "bigrams": bigrams,
+    "trigrams": trigrams,
+    "compound_count": compound_count,
+    "trpmi": trpmi,
+    "dup_merge": dup_merge,
+    "all_pairs": all_pairs,
+    "chain_merge": _chain(True),
+    "chain_merge_open": _chain(False),
+    "suffix_prefix_map": suffix_prefix_map,
+    "included_nouns": included_nouns,
+    "greedy_occurrences": greedy_occurrences,
+    "mutual_inclusion": mutual_inclusion,
+    "window_neighbours": window_neighbours,
+    "similarity_rank": similarity_rank,
+    "embedding_rank": embedding_rank,
+    "registered_left": registered_left,
+    "registered_filter": registered_filter,
+    "particle_filter": particle_filter,
+    "stripped_words": stripped_words,
+    "unit_filter": unit_filter,
+    "compounds": compounds,
+    "discover": discover,
+    "new_words": new_words,
+    "search_report": _report("raw", "all", 1),
+    "search_report_short": _report("log", "first", 0),
+    "word_lists": word_lists,
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from wordmine.plans.oracles import ORACLES
+
+    return dict(ORACLES)
