@@ -30,7 +30,7 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("doc_id", "src").agg(F.sum("w").alias("degree"))
 
 
-def char_window_edges(sentences: DataFrame, occ: DataFrame, nouns: DataFrame, distance: int = 10) -> DataFrame:
+def char_window_edges(occ: DataFrame, distance: int = 10) -> DataFrame:
     """``(doc_id, src, dst)``: nouns that begin within ``distance`` characters of an occurrence of ``src`` in the same sentence.
 
     ``occ`` is ``(doc_id, sent_id, at, noun)`` with character positions. Positions meet by equality of blocks of

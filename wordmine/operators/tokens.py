@@ -99,7 +99,7 @@ def paren_suffixes(tokens: DataFrame, raw: DataFrame, least: int = 2) -> DataFra
 
     ``tokens`` is ``(doc_id, pos, token)``, ``raw`` ``(doc_id, raw)``. Tokens without brackets come first, then balanced ones; one-sided ones go.
     """
-    with_text = tokens.join(raw, "doc_id")
+    with_text = tokens.where(F.col("token").rlike("[()]")).join(raw, "doc_id")
     step = F.aggregate(
         F.regexp_extract_all("token", F.lit("([()])"), 1),
         F.struct(F.col("token").alias("rest"), F.array().cast("array<string>").alias("out")),

@@ -183,12 +183,7 @@ def order_window_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def char_window_edges(spark: SparkSession, folder: str) -> DataFrame:
-    sents = tokens.sentences(_docs(spark, folder))
-    starts = sents.select("doc_id", "sent_id", F.posexplode(F.split("sentence", " ")).alias("pos", "token"), F.col("sentence"))
-    before = F.expr("aggregate(slice(split(sentence, ' '), 1, pos), 0, (n, t) -> n + length(t) + 1)")
-    at = starts.select("doc_id", "sent_id", "pos", before.alias("at"))
-    occ = _occ(spark, folder).join(at, ["doc_id", "sent_id", "pos"])
-    return graph.char_window_edges(sents, occ.select("doc_id", "sent_id", "at", "noun"), None)
+    return graph.char_window_edges(_occ(spark, folder))
 
 
 def _ranks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -67,9 +67,9 @@ list_append(regexp_extract_all(clean, '([^\n]*?다\.{dots})', 1), regexp_replace
 
 
 _OCC = f"""{_docs()}, {_sents('+')}, {_LEXICON},
-stoks AS (SELECT doc_id, sent_id, unnest(range(len(l))) AS pos, unnest(l) AS token FROM (SELECT doc_id, sent_id, string_split(sentence, ' ') AS l FROM sents)),
-heads AS (SELECT doc_id, sent_id, pos, unnest(list_transform(range(2, length(token) + 1), lambda i: left(token, i))) AS noun FROM stoks),
-occ AS MATERIALIZED (SELECT doc_id, sent_id, pos, arg_max(noun, length(noun)) AS noun FROM heads JOIN nouns USING (noun) GROUP BY ALL)"""
+pattern AS (SELECT string_agg(noun, '|' ORDER BY length(noun) DESC, noun) AS p FROM nouns WHERE length(noun) >= 2),
+found AS (SELECT doc_id, sent_id, sentence, regexp_extract_all(sentence, p) AS l FROM sents, pattern),
+occ AS MATERIALIZED (SELECT doc_id, sent_id, unnest(range(len(l))) AS pos, unnest(l) AS noun FROM found)"""
 _EDGES = f"""{_OCC}, sc AS (SELECT doc_id, sent_id, noun, count(*) AS n FROM occ GROUP BY ALL),
 edges AS MATERIALIZED (SELECT * FROM (SELECT a.doc_id, a.noun AS src, b.noun AS dst, sum(b.n)::BIGINT - (a.noun = b.noun)::INT AS w FROM sc a JOIN sc b USING (doc_id, sent_id) GROUP BY a.doc_id, a.noun, b.noun) WHERE w > 0)"""
 
@@ -183,7 +183,9 @@ SELECT doc_id, needle, concat('...', string_agg({_CONTEXT}, '...' ORDER BY k), '
     "out_degree": f"WITH {_EDGES} SELECT doc_id, src, sum(w)::BIGINT AS degree FROM edges GROUP BY ALL",
     "order_window_edges": f"""WITH {_OCC}, f AS (SELECT doc_id, sent_id, noun, min(pos) AS pos FROM occ GROUP BY ALL)
 SELECT a.doc_id, a.noun AS src, b.noun AS dst, count(*) AS w FROM f a JOIN f b USING (doc_id, sent_id) WHERE abs(a.pos - b.pos) <= 8 AND a.noun <> b.noun GROUP BY ALL""",
-    "char_window_edges": f"""WITH {_OCC}, c AS (SELECT occ.doc_id, occ.sent_id, noun, coalesce(list_sum(list_transform(string_split(sentence, ' ')[1:pos], lambda t: length(t) + 1)), 0) AS at FROM occ JOIN sents USING (doc_id, sent_id))
+    "char_window_edges": f"""WITH {_OCC}, gaps AS (SELECT doc_id, sent_id, l, string_split_regex(sentence, p) AS g FROM found, pattern),
+k AS (SELECT doc_id, sent_id, l, g, unnest(range(1, len(l) + 1)) AS k FROM gaps),
+c AS (SELECT doc_id, sent_id, l[k] AS noun, list_sum(list_transform(g[1:k], lambda t: length(t))) + coalesce(list_sum(list_transform(l[1:k - 1], lambda t: length(t))), 0) AS at FROM k)
 SELECT DISTINCT a.doc_id, a.noun AS src, b.noun AS dst FROM c a JOIN c b USING (doc_id, sent_id) WHERE abs(a.at - b.at) <= 10 AND a.noun <> b.noun""",
     "textrank": f"WITH {_ranks()} SELECT doc_id, noun, round(tr, 6) AS tr FROM ranks",
     "bigrams": f"WITH {_OCC}, {_BIGRAMS} SELECT doc_id, sent_id, pos, a, b FROM bi",

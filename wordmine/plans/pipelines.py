@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +15,26 @@ from wordmine.plans.lineage import materialize
 SCORE, TFIDF, LEAST = 0.3, 3.5, 2
 
 
+def noun_pattern(lexicon: DataFrame) -> str:
+    """A regular expression of the registered nouns of two characters and more, longest first; the lexicon is a list of fixed size."""
+    nouns = tagger.lexicon_rows(lexicon).where(F.startswith("tag", F.lit("N")) & (F.length("surface") >= 2)).select(F.upper("surface").alias("noun")).distinct()
+    rows = sorted((r.noun for r in nouns.collect()), key=lambda n: (-len(n), n))
+    return "|".join(re.escape(n) for n in rows) or "(?!)"
+
+
 def noun_occurrences(docs: DataFrame, lexicon: DataFrame, closed: bool = True) -> DataFrame:
-    """``(doc_id, sent_id, pos, noun)``: the longest registered noun at the left of every token of every sentence."""
+    """``(doc_id, sent_id, pos, noun, at)``: the registered nouns of every sentence from left to right, at each place the longest, with their offset."""
+    pattern = noun_pattern(lexicon)
     sents = tokens.sentences(docs, closed=closed)
-    each = sents.select("doc_id", "sent_id", F.posexplode(F.split("sentence", " ")).alias("pos", "match")).where(F.length("match") >= 2)
-    left = tagger.registered_left(each, lexicon).where("registered <> ''")
-    return each.join(left, "match").select("doc_id", "sent_id", "pos", F.col("registered").alias("noun"))
+    lists = sents.select("doc_id", "sent_id", F.regexp_extract_all("sentence", F.lit(pattern), 0).alias("nouns"), F.split("sentence", pattern).alias("gaps")).where(F.size("nouns") > 0)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    walked = F.aggregate(
+        F.zip_with("gaps", "nouns", lambda g, n: F.struct(F.length(g).alias("g"), F.length(n).alias("n"))),
+        start,
+        lambda acc, x: F.struct((acc["at"] + x["g"] + F.coalesce(x["n"], F.lit(0))).cast("int").alias("at"), F.concat(acc["out"], F.array((acc["at"] + x["g"]).cast("int"))).alias("out")),
+    )["out"]
+    each = lists.withColumn("starts", walked).select("doc_id", "sent_id", F.posexplode(F.arrays_zip("nouns", "starts")).alias("pos", "x"))
+    return each.where("x.nouns IS NOT NULL").select("doc_id", "sent_id", "pos", F.col("x.nouns").alias("noun"), F.col("x.starts").alias("at"))
 
 
 def compounds(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE) -> DataFrame:
