@@ -155,7 +155,7 @@ def consistent(text: str) -> str:
     return text
 
 
-_MARKS = "\u0300-\u036f\u3099\u309a"
+_MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c)))
 _SPLIT = "".join(chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4 and unicodedata.normalize("NFC", chr(c)) != chr(c))
 _SKIP = f"[{IGNORABLE}]*"
 #: Stored characters that don't stand for themselves one by one: composed sequences, folded ones and invisible ones.
@@ -163,8 +163,9 @@ _PLAIN_CHUNK = (
     f"[\u1100-\u115e\ua960-\ua97c](?:{_SKIP}[\u1161-\u11a7](?:{_SKIP}[\u11a8-\u11ff])?)?|[가-힣]{_SKIP}[\u11a8-\u11ff]|[{IGNORABLE}]+|{_FOLD.pattern}|[{_SPLIT}]"
 )
 _CHUNK = re.compile(_PLAIN_CHUNK)
-_MARKED_CHUNK = re.compile(f"[^{_MARKS}](?:{_SKIP}[{_MARKS}])+|{_PLAIN_CHUNK}", re.S)
+_MARKED_CHUNK = re.compile(f"[^{_MARKS}{IGNORABLE}](?:{_SKIP}[{_MARKS}])+|[{_MARKS}](?:{_SKIP}[{_MARKS}])*|{_PLAIN_CHUNK}", re.S)
 _MARK = re.compile(f"[{_MARKS}]")
+_COMPOSED = re.compile(f"[^{_MARKS}][{_MARKS}]*|[{_MARKS}]+", re.S)
 
 
 def consistent_spans(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -204,6 +205,15 @@ def consistent_spans(text: str) -> tuple[str, list[int] | None, list[int] | None
     if _RIVAL.search(form):
         changed = _WORD.sub(lambda m: decode(m[0]) if _RIVAL.search(m[0]) else m[0], form)
         form = changed if len(changed) == len(form) else form
+        if not unicodedata.is_normalized("NFC", form):  # a letter read in another script may compose with the mark after it
+            starts, ends = (starts, ends) if moved else (list(range(len(form))), list(range(1, len(form) + 1)))
+            moved, parts, firsts, lasts = True, [], [], []
+            for m in _COMPOSED.finditer(form):
+                part = unicodedata.normalize("NFC", m[0])
+                parts.append(part)
+                firsts += [starts[m.start()]] * len(part)
+                lasts += [ends[m.end() - 1]] * len(part)
+            form, starts, ends = "".join(parts), firsts, lasts
     return (form, starts, ends) if moved else (form, None, None)
 
 
