@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmine.plans.lineage import materialize
-
 #: Rounds of the ranking and its damping, applied once after the last round.
 ROUNDS, DAMPING = 16, 0.85
 
@@ -51,26 +51,30 @@ def order_window_edges(occ: DataFrame, distance: int = 8) -> DataFrame:
     return near.groupBy("doc_id", "src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def textrank(edges: DataFrame, nouns: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, cut: int = 6) -> DataFrame:
+def textrank(edges: DataFrame, nouns: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """``(doc_id, noun, tr)`` of ``(doc_id, noun)`` over ``(doc_id, src, dst, w)``.
 
     Each round passes every noun's value on along its edges in proportion to their weights; nouns without edges keep
-    theirs. Damping follows once at the end. Edges are normalised once; the plan is cut by a written table every
-    ``cut`` rounds, so neither its length nor the loss of an executor grows with the number of rounds.
+    theirs. Damping follows once at the end. A graph belongs to one document and is no larger than its distinct nouns
+    allow, so all rounds are done where its edges meet: one shuffle by document instead of one for each round.
     """
-    degree = out_degree(edges)
-    share = edges.join(degree, ["doc_id", "src"]).select("doc_id", "src", "dst", (F.col("w") / F.col("degree")).alias("p"))
-    share = materialize(share, "textrank-edges")
-    distinct = nouns.select("doc_id", "noun").distinct()
-    sizes = distinct.groupBy("doc_id").agg(F.count(F.lit(1)).alias("size"))
-    start = distinct.join(sizes, "doc_id").join(degree.select("doc_id", F.col("src").alias("noun"), F.lit(True).alias("linked")), ["doc_id", "noun"], "left")
-    start = start.select("doc_id", "noun", (F.lit(1.0) / F.col("size")).alias("tr"), F.coalesce("linked", F.lit(False)).alias("linked"))
-    start = materialize(start, "textrank-nodes")
-    value = start.where("linked").select("doc_id", "noun", "tr")
-    for i in range(rounds):
-        moved = share.join(value.withColumnRenamed("noun", "src"), ["doc_id", "src"])
-        value = moved.groupBy("doc_id", F.col("dst").alias("noun")).agg(F.sum(F.col("tr") * F.col("p")).alias("tr"))
-        if (i + 1) % cut == 0 and i + 1 < rounds:
-            value = materialize(value, "textrank-values")
-    both = value.unionByName(start.where("NOT linked").select("doc_id", "noun", "tr"))
-    return both.select("doc_id", "noun", (F.lit(1 - damping) + damping * F.col("tr")).alias("tr"))
+    alone = nouns.select("doc_id", F.col("noun").alias("src")).distinct().select("doc_id", "src", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("w"))
+    rows = edges.select("doc_id", "src", "dst", F.col("w").cast("double")).unionByName(alone)
+
+    def rank(group: pa.Table) -> pa.Table:
+        src, dst = group["src"].to_pylist(), group["dst"].to_pylist()
+        names = sorted({s for s, d in zip(src, dst) if d is None})
+        place = {n: i for i, n in enumerate(names)}
+        kept = [k for k, (s, d) in enumerate(zip(src, dst)) if d is not None and s in place and d in place]
+        a, b = np.array([place[src[k]] for k in kept], np.int64), np.array([place[dst[k]] for k in kept], np.int64)
+        w = np.nan_to_num(group["w"].to_numpy())[kept] if kept else np.zeros(0)
+        degree = np.bincount(a, w, minlength=len(names))
+        order = np.lexsort((b, a))  # sums in one order, whatever order the rows came in
+        a, b, share = a[order], b[order], (w / degree[a])[order] if kept else w
+        value = np.full(len(names), 1.0 / max(1, len(names)))
+        for _ in range(rounds):
+            value = np.where(degree > 0, np.bincount(b, value[a] * share, minlength=len(names)), value)
+        ids = pa.array([group["doc_id"][0].as_py()] * len(names), pa.int64())
+        return pa.table([ids, pa.array(names, pa.string()), pa.array((1 - damping) + damping * value, pa.float64())], names=["doc_id", "noun", "tr"])
+
+    return rows.groupBy("doc_id").applyInArrow(rank, "doc_id bigint, noun string, tr double")

@@ -10,11 +10,11 @@ from wordmine.operators import compound, counts, graph, select, similar, tagger,
 from wordmine.plans import pipelines
 from wordmine.plans.lineage import materialize
 from wordmine.sources import io
-from wordmine.sources.tables import table
+from wordmine.sources.tables import spread, table
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "text")
+    return spread(table(spark, folder, "documents", "doc_id", "text"))
 
 
 def _docs(spark: SparkSession, folder: str, profile: str = "search") -> DataFrame:
@@ -37,6 +37,10 @@ def _n_docs(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "text", "_c0", "NEWS"))
+
+
 def _occ(spark: SparkSession, folder: str) -> DataFrame:
     return materialize(pipelines.noun_occurrences(_docs(spark, folder), _lexicon(spark, folder)), "occurrences")
 
@@ -46,12 +50,12 @@ def _cleaned(profile: str):
 
 
 def clean_article(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "text", "_c0", "NEWS")
+    rows = _texts(spark, folder)
     return rows.select("_c0", clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "article").alias("clean"))
 
 
 def strip_parens(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "text", "_c0", "NEWS").where("NEWS IS NOT NULL")
+    rows = _texts(spark, folder).where("NEWS IS NOT NULL")
     return rows.select("_c0", clean.strip_parens(F.col("NEWS")).alias("bare"), clean.unbalanced(F.col("NEWS")).alias("unbalanced"))
 
 
@@ -86,13 +90,13 @@ def spacings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paren_suffixes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "text", "_c0", "NEWS").select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
+    rows = _texts(spark, folder).select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
     found = tokens.paren_suffixes(tokens.tokenize(rows, least=3), rows.withColumnRenamed("clean", "raw"))
     return found.where("step = 1").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def paren_parts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "text", "_c0", "NEWS").select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
+    rows = _texts(spark, folder).select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
     return tokens.vocabulary(tokens.paren_parts(tokens.tokenize(rows, least=3)))
 
 

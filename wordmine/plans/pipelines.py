@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmine.functions.measures import all_contexts, first_context, match_percent
@@ -18,23 +18,31 @@ SCORE, TFIDF, LEAST = 0.3, 3.5, 2
 def noun_pattern(lexicon: DataFrame) -> str:
     """A regular expression of the registered nouns of two characters and more, longest first; the lexicon is a list of fixed size."""
     nouns = tagger.lexicon_rows(lexicon).where(F.startswith("tag", F.lit("N")) & (F.length("surface") >= 2)).select(F.upper("surface").alias("noun")).distinct()
-    rows = sorted((r.noun for r in nouns.collect()), key=lambda n: (-len(n), n))
-    return "|".join(re.escape(n) for n in rows) or "(?!)"
+    by_first: dict[str, list[str]] = {}
+    for r in sorted(nouns.collect(), key=lambda r: (-len(r.noun), r.noun)):
+        by_first.setdefault(r.noun[0], []).append(r.noun[1:])
+    if not by_first:
+        return "(?!)"
+    firsts = "".join(re.escape(c) for c in sorted(by_first))
+    return f"(?=[{firsts}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(map(re.escape, rest))})" for c, rest in sorted(by_first.items())) + ")"
 
 
 def noun_occurrences(docs: DataFrame, lexicon: DataFrame, closed: bool = True) -> DataFrame:
-    """``(doc_id, sent_id, pos, noun, at)``: the registered nouns of every sentence from left to right, at each place the longest, with their offset."""
-    pattern = noun_pattern(lexicon)
+    """``(doc_id, sent_id, pos, noun, at)``: the registered nouns of every sentence from left to right, at each place the longest, with their offset.
+
+    One pass marks them with two control characters, which cleaned text doesn't hold.
+    """
     sents = tokens.sentences(docs, closed=closed)
-    lists = sents.select("doc_id", "sent_id", F.regexp_extract_all("sentence", F.lit(pattern), 0).alias("nouns"), F.split("sentence", pattern).alias("gaps")).where(F.size("nouns") > 0)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate(
-        F.zip_with("gaps", "nouns", lambda g, n: F.struct(F.length(g).alias("g"), F.length(n).alias("n"))),
-        start,
-        lambda acc, x: F.struct((acc["at"] + x["g"] + F.coalesce(x["n"], F.lit(0))).cast("int").alias("at"), F.concat(acc["out"], F.array((acc["at"] + x["g"]).cast("int"))).alias("out")),
-    )["out"]
-    each = lists.withColumn("starts", walked).select("doc_id", "sent_id", F.posexplode(F.arrays_zip("nouns", "starts")).alias("pos", "x"))
-    return each.where("x.nouns IS NOT NULL").select("doc_id", "sent_id", "pos", F.col("x.nouns").alias("noun"), F.col("x.starts").alias("at"))
+    marked = F.split(F.regexp_replace("sentence", f"({noun_pattern(lexicon)})", "\u0001$1\u0002"), "\u0001")
+    lists = sents.select("doc_id", "sent_id", marked.alias("parts")).where(F.size("parts") > 1)
+    start = F.struct(F.length(F.col("parts")[0]).alias("at"), F.array().cast("array<struct<noun:string,at:int>>").alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        found = F.struct(F.substring_index(part, "\u0002", 1).alias("noun"), acc["at"].alias("at"))
+        return F.struct((acc["at"] + F.length(part) - 1).cast("int").alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+    walked = F.aggregate(F.slice("parts", 2, F.size("parts")), start, step)["out"]
+    return lists.select("doc_id", "sent_id", F.posexplode(walked).alias("pos", "x")).select("doc_id", "sent_id", "pos", "x.noun", "x.at")
 
 
 def compounds(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE) -> DataFrame:

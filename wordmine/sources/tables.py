@@ -25,3 +25,12 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
         positions.append(exact[0] if exact else next(i for i, n in enumerate(names) if n.lower() == c.lower()))
     plain = df.toDF(*[f"_{i}" for i in range(len(names))])
     return plain.select(*[plain[f"_{i}"].alias(c) for i, c in zip(positions, columns)])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it comes in fewer, as a single small file does.
+
+    Only for work that is heavy for each row; a table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
