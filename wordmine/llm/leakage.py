@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wordmine.llm.lookalike import consistent
 from wordmine.plans.lineage import materialize
-from wordmine.sources.tables import table
+from wordmine.sources.tables import spread, table
 
 #: n-gram length; hashed features of the latent space; its rank; extra directions of the randomised SVD.
 GRAM, FEATURES, RANK, EXTRA = 8, 4096, 128, 16
@@ -375,7 +375,7 @@ def leaked(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, near:
 
 
 def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text")
+    return spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "benchmark", "item_id", "text")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmine.sources.tables import table
+from wordmine.sources.tables import spread, table
 
 #: Rated documents used for fitting at most, chosen by a hash of the id; hashed features; grades.
 SAMPLE, FEATURES, GRADES = 1500, 1 << 16, 5
@@ -238,7 +238,7 @@ def reading_grades(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE)
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The reading grade of each document, see TESTDATA.md."""
-    return reading_grades(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "rater", "grade"))
+    return reading_grades(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "labels", "doc_id", "rater", "grade"))
 
 
 def p8_profile(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordmine.sources.tables import table
+from wordmine.sources.tables import spread, table
 
 BLANKS = " \\t\\r\\n"
 
@@ -18,7 +18,7 @@ def is_blank(body: Column) -> Column:
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """``(src, row_id, body)`` of both tables without blank bodies; a row delivered twice appears twice."""
     parts = [
-        table(spark, folder, name, key, body).select(F.lit(name).alias("src"), F.col(key).cast("bigint").alias("row_id"), F.col(body).alias("body"))
+        spread(table(spark, folder, name, key, body)).select(F.lit(name).alias("src"), F.col(key).cast("bigint").alias("row_id"), F.col(body).alias("body"))
         for name, key, body in (("text", "_c0", "NEWS"), ("longtext", "row_no", "NEWS_BODY"))
     ]
     both = parts[0].unionByName(parts[1])
