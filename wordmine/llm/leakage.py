@@ -258,7 +258,8 @@ def _gram_product(passages: DataFrame, space: Space, own: list[str], basis: np.n
                 total = total + np.frombuffer(data, np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.asarray(total).tobytes()], pa.binary())], ["part", "data"])
 
-    summed = passages.select("passage").mapInArrow(share, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary")
+    few = passages.select("passage").coalesce(min(1024, sc.defaultParallelism))  # each task sends a matrix of fixed size
+    summed = few.mapInArrow(share, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary")
     out = _matrix_share(space, own, basis.astype(np.float32))
     for part, data in summed.collect():  # FEATURES x basis numbers, whatever the corpus
         out[part * height : (part + 1) * height] += np.frombuffer(data, np.float64).reshape(height, -1)
