@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,6 +19,24 @@ def test_equal_looks_have_equal_forms():
     assert L.consistent("дом") == "дом" and L.consistent("") == ""
 
 
+def test_substitution_in_both_directions():
+    for word in ("год", "где", "дом", "ещё", "Юрий", "πόλης", "λόγος", "σήμερα", "Ꮳ Ꭺ", "scope", "naïve", "café", "K리그", "SK하이닉스", "Straße"):
+        for i, c in enumerate(word):
+            base, *marks = unicodedata.normalize("NFD", c)
+            for x in L.CLASSES.get(base, ""):
+                other = word[:i] + unicodedata.normalize("NFC", x + "".join(marks)) + word[i + 1 :]
+                assert L.consistent(other) == L.consistent(word) == L.consistent_spans(other)[0], (word, other)
+    assert [L.consistent(w) for w in ("гoд", "гдe", "дoм", "ещë", "K리그", "naїve")] == ["год", "где", "дом", "ещё", "K리그", "naïve"]
+
+
+def test_every_canonical_sequence_is_composed():
+    for a, b in (("\u0928\u093c", "\u0929"), ("\u0915\u0951\u0952", "\u0915\u0952\u0951"), ("\u0e01\u0e48\u0e38", "\u0e01\u0e38\u0e48")):
+        assert L.consistent(a) == L.consistent(b) == L.consistent_spans(a)[0] == unicodedata.normalize("NFC", b)
+    plain = [c for c in map(chr, range(0x80, 0x10000)) if L._ODD.search(c) is None]
+    marks = [c for c in plain if unicodedata.combining(c)]
+    assert all(unicodedata.is_normalized("NFC", a + b) for a in plain for b in marks if L._ODD.search(a + b) is None)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abgOАеорсΑ가각각́ ​­·…Ａ１٠ํำक़一カ力\n"), max_size=30))
 def test_forms_are_stable_and_positions_fit(text):

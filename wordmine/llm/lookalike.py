@@ -78,7 +78,7 @@ def _folds() -> dict[int, str | None]:
         if kind in ("<wide>", "<narrow>", "<font>", "<noBreak>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"):
             full = unicodedata.normalize("NFKC", chr(code))
             enclosed = "(" in full or full[:1].isdigit() or full.startswith(" ") and len(full) > 1 or "ㄱ" <= chr(code) <= "ㆎ"
-            if kind != "<compat>" or not enclosed:
+            if (kind != "<compat>" or not enclosed) and chr(code) not in CLASSES:
                 out[code] = full
     out.update(dict.fromkeys(map(ord, DASHES), "-"))
     out.update(dict.fromkeys(map(ord, DOTS), "·"))
@@ -91,9 +91,18 @@ FOLDS = _folds()
 _GONE = re.compile(f"[{IGNORABLE}]+")
 _FOLD = re.compile("[" + re.escape("".join(chr(c) for c in sorted(FOLDS) if c < 0x10000 and FOLDS[c] != chr(c))) + "]|[\U00010000-\U0010ffff]")
 #: Anything but text that is its own consistent form.
-_ODD = re.compile("[^\x00-\x7f·à-ÿऀ-ॗॠ-ॿก-าิ-ฺ฿-๛‘-”■▶㈜㎞㏊、-】ぁ-へほ-ゐァ-ェ一-鿿가-힣]|[" + "".join(x for x in RIVALS if x in "力工口卜二八夕へべぺ") + "]")
+_ODD = re.compile(
+    "[^\x00-\x7f·à-ÿऀ-ऻऽ-ॐॕ-ॗॠ-ॿก-าิ-ฺ฿-๛‘-”■▶㈜㎞㏊、-】ぁ-へほ-ゐァ-ェ一-鿿가-힣]|[" + "".join(x for x in RIVALS if x in "力工口卜二八夕へべぺ") + "]"
+    "|[\u0e38\u0e39\u0e48-\u0e4b][\u0e3a\u094d]|[\u0e48-\u0e4b][\u0e38\u0e39]"  # marks out of order
+)
 _WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[̀-ͯ])*")
-_RIVAL = re.compile(f"[{RIVALS}力工口卜二八夕]")
+#: Letters of scripts that may claim an ASCII letter of their words. Without one, and without a look-alike of another script, a word reads as itself.
+_CLAIMING = "".join(c for c in map(chr, range(0x80, 0x10000)) if _script(c) in {_script(x) for x in CLASSES.get("A", "")} - {"latin"})
+_RIVAL = re.compile(f"[{RIVALS}力工口卜二八夕{_CLAIMING}]")
+#: Composed letters with their base and accents, where the base has look-alikes: ``ё`` and ``ë`` are of one shape.
+_APART = {
+    ord(c): d for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in CLASSES and all("\u0300" <= x <= "\u036f" for x in d[1:])
+}
 
 
 def _bigrams() -> dict[str, dict[str, float]]:
@@ -144,13 +153,21 @@ def _folded(m: re.Match) -> str:
     return FOLDS.get(ord(m[0]), m[0])
 
 
+def _apart(m: re.Match) -> str:
+    return m[0].translate(_APART) if _RIVAL.search(m[0]) else m[0]
+
+
+def _read(m: re.Match) -> str:
+    return decode(m[0].translate(_APART)) if _RIVAL.search(m[0]) else m[0]
+
+
 def consistent(text: str) -> str:
     """The consistent form of ``text``; equal for texts that look the same. Empty text gives empty text."""
     if _ODD.search(text) is None:
         return text
     text = unicodedata.normalize("NFC", _FOLD.sub(_folded, _GONE.sub("", text)))
     if _RIVAL.search(text):
-        text = _WORD.sub(lambda m: decode(m[0]) if _RIVAL.search(m[0]) else m[0], text)
+        text = _WORD.sub(_read, text)
         text = unicodedata.normalize("NFC", text)
     return text
 
@@ -203,8 +220,19 @@ def consistent_spans(text: str) -> tuple[str, list[int] | None, list[int] | None
         ends += range(last + 1, len(text) + 1)
     form = "".join(parts)
     if _RIVAL.search(form):
-        changed = _WORD.sub(lambda m: decode(m[0]) if _RIVAL.search(m[0]) else m[0], form)
-        form = changed if len(changed) == len(form) else form
+        apart = _WORD.sub(_apart, form)
+        if len(apart) != len(form):  # base and accents stand where their letter stood
+            index, last = [], 0
+            for m in _WORD.finditer(form):
+                if _RIVAL.search(m[0]):
+                    index += range(last, m.start())
+                    for k, c in enumerate(m[0], m.start()):
+                        index += [k] * len(_APART.get(ord(c), c))
+                    last = m.end()
+            index += range(last, len(form))
+            starts, ends = ([starts[k] for k in index], [ends[k] for k in index]) if moved else (index, [k + 1 for k in index])
+            form, moved = apart, True
+        form = _WORD.sub(_read, form)
         if not unicodedata.is_normalized("NFC", form):  # a letter read in another script may compose with the mark after it
             starts, ends = (starts, ends) if moved else (list(range(len(form))), list(range(1, len(form) + 1)))
             moved, parts, firsts, lasts = True, [], [], []
