@@ -28,6 +28,14 @@ def test_units():
         assert units(text) == want, text
 
 
+def test_single_line_break_of_any_kind_does_not_end_a_unit():
+    for br in ("\r\n", "\n", "\r"):
+        for text in (f"본문이{br}이어진다.", f"열린 (괄호가{br}길다. 그래도) 이어진다.", f"그는 “어렵다.{br}그래도 한다.”라고 말했다.", f"on Jan.{br}3 he left"):
+            assert units(text) == [text], text
+        assert units(f"가다{br}{br}나다{br} {br}다다{br}라다") == ["가다", "나다", f"다다{br}라다"]
+    assert units("가다\r\n\n나다\n\r\n다다\r\r\n라다") == ["가다", "나다", "다다", "라다"]
+
+
 def test_long_text_and_order():
     text = "한 문장이다. " * 20000
     spans = sentence_spans(text)

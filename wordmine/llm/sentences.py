@@ -35,7 +35,7 @@ FINAL_SYLLABLES = "다요죠까네오라자"
 _CLOSERS = {c: o for o, c in PAIRS.items()}
 _QUOTES = "”’」』»\"'"
 _EVENT = re.compile("[" + re.escape(".!?" + TERMINATORS + "".join(PAIRS) + "".join(_CLOSERS)) + "]")
-_BREAK = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
+_BREAK = re.compile(r"(?:\r\n|\n|\r(?!\n))[^\S\r\n]*(?:\r\n|\n|\r)\s*")
 _DATE = re.compile(r"(?<!\d)(?:\d{4}|['’]\d\d)\.[ \t\r\n]{0,2}\d{1,2}\.(?:[ \t\r\n]{0,2}\d{1,2}\.)?")
 _THAI_SPACE = re.compile("(?<=[฀-๿])[ \t\r\n]+|[ \t\r\n]+(?=[฀-๿])")
 _THAI = re.compile("[฀-๿]")
