@@ -37,3 +37,18 @@ def test_best_fit_takes_the_tightest_bin():
 
 def test_attention_cost_binds():
     assert len(set(K.best_fit(np.array([100, 60, 60]), 200, attention=40000).tolist())) == 2
+
+
+def test_attention_cost_keeps_items_apart_whose_tokens_fit(spark):
+    assert K.best_fit(np.array([90, 10]), 100, attention=8200).tolist() == [0, 0]
+    assert K.best_fit(np.array([90, 10]), 100, attention=8199).tolist() == [0, 1]
+    assert K.best_fit(np.array([95, 5, 3]), 100, attention=8000).tolist() == [0, 1, 1]
+    rng = np.random.default_rng(2)
+    rows = _pack(spark, [(i, int(s)) for i, s in enumerate(rng.integers(1, 250, 300))] + [(300, 90), (301, 10)], [100])
+    cost, items = {}, {}
+    for r in rows:
+        cost[r["bin"]] = cost.get(r["bin"], 0) + r["size"] ** 2
+        items[r["bin"]] = items.get(r["bin"], 0) + 1
+    assert max(c for b, c in cost.items() if items[b] > 1) <= K.ATTENTION * 100**2 < max(cost.values())
+    assert len({r["bin"] for r in _pack(spark, [(1, 90), (2, 10)], [100])}) == 2
+    assert len({r["bin"] for r in _pack(spark, [(1, 90), (2, 10)], [100], attention=1.0)}) == 1

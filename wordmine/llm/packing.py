@@ -1,7 +1,7 @@
 """Items of varying length in containers of fixed capacity, by vector best-fit.
 
 Every container has three residuals, tokens, documents and attention cost (the sum of squared part lengths). An item
-may only go where all three allow it, and of these bins it takes the one with the best score: the smallest weighted
+may only go where all three allow it, except that one too costly for any bin has a bin to itself, and of these bins it takes the one with the best score: the smallest weighted
 norm of what is left, or the greatest weighted dot product of item and residual. Items come largest first. The items
 are split by a hash of their id into groups of bounded size that are packed on their own, so the number of tasks
 follows the data and only the last bins of each group can stay loose.
@@ -20,6 +20,8 @@ from wordmine.sources.tables import table
 
 #: Items that are packed together on average, documents in one bin, weights of tokens, documents and attention cost.
 GROUP, MOST_DOCS, WEIGHTS = 8192, 512, (1.0, 0.05, 0.1)
+#: Capacity for the attention cost of a bin of several items, as a share of the squared capacity in tokens.
+ATTENTION = 0.8
 
 PACKED = "capacity bigint, doc_id bigint, part int, n_parts int, bin string, begin bigint, size bigint"
 
@@ -51,9 +53,10 @@ def model_tokens(text: Column, vocabulary: str) -> Column:
 def best_fit(sizes: np.ndarray, capacity: int, most_docs: int = MOST_DOCS, attention: int | None = None, weights: tuple = WEIGHTS, rule: str = "norm") -> np.ndarray:
     """The bin of each item. ``sizes`` are at most ``capacity``; equal sizes are taken in the order given.
 
-    ``attention`` is the capacity for the sum of squares, at least ``capacity`` squared so that any item fits alone.
+    ``attention`` is the capacity for the sum of squares, ``capacity`` squared if not given; below that it keeps items
+    apart whose tokens would fit. An item that exceeds it alone gets a bin of its own.
     """
-    attention = max(attention or 0, capacity * capacity)
+    attention = capacity * capacity if attention is None else attention
     scale = np.array([capacity, most_docs, attention], np.float64)
     w = np.array(weights, np.float64)
     out = np.empty(len(sizes), np.int64)
@@ -62,7 +65,7 @@ def best_fit(sizes: np.ndarray, capacity: int, most_docs: int = MOST_DOCS, atten
     for turn, k in enumerate(np.argsort(-sizes, kind="stable")):
         size = int(sizes[k])
         if turn % 256 == 0:  # bins that no item can enter any more leave the search
-            live = live[(tokens[live] >= least) & (docs[live] >= 1)]
+            live = live[(tokens[live] >= least) & (docs[live] >= 1) & (cost[live] >= least * least)]
         t, d, c = tokens[live], docs[live], cost[live]
         fits = np.flatnonzero((t >= size) & (d >= 1) & (c >= size * size))
         if len(fits):
@@ -94,12 +97,13 @@ def divide(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     return rows.select("capacity", "doc_id", "part", "n_parts", begin.alias("begin"), F.least(F.col("n") - begin, F.col("capacity")).alias("size"))
 
 
-def pack(sizes: DataFrame, capacities: DataFrame, group: int = GROUP, most_docs: int = MOST_DOCS, rule: str = "norm") -> DataFrame:
+def pack(sizes: DataFrame, capacities: DataFrame, group: int = GROUP, most_docs: int = MOST_DOCS, rule: str = "norm", attention: float = ATTENTION) -> DataFrame:
     """Assign documents ``(doc_id, n)`` to bins of each capacity in ``(capacity)``; see ``PACKED`` for the columns.
 
     Only documents larger than a capacity are divided; their full parts fill a bin each and the rest is an item like
     any other. Documents of null or no size aren't placed, repeated rows of a document once, with the largest size.
-    Null and non-positive capacities are left out. Equal sizes are taken in order of ``doc_id``.
+    Null and non-positive capacities are left out. Equal sizes are taken in order of ``doc_id``. The squared sizes in
+    a bin of several items add up to ``attention`` times the squared capacity at most.
     """
     docs = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("doc_id").agg(F.max("n").alias("n"))
     caps = capacities.where("capacity > 0").select(F.col("capacity").cast("bigint")).distinct()
@@ -110,7 +114,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, group: int = GROUP, most_docs:
         rows = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("part", "ascending")])
         capacity = key[0].as_py()
         size = rows["size"].to_numpy()
-        bins = best_fit(size, capacity, most_docs, rule=rule)
+        bins = best_fit(size, capacity, most_docs, int(attention * capacity * capacity), rule=rule)
         names = pa.array([f"{capacity}-{key[1].as_py()}-{b}" for b in bins.tolist()], pa.string())
         cols = [rows["capacity"], rows["doc_id"], rows["part"], rows["n_parts"], names, rows["begin"], rows["size"]]
         yield from pa.table(cols, names=["capacity", "doc_id", "part", "n_parts", "bin", "begin", "size"]).to_batches()
