@@ -46,3 +46,22 @@ def test_marks(spark):
     counts = spark.createDataFrame([("r", 5, 1), ("c", 9, 3), ("m", 4, 2)], "term string, n_total bigint, n_records bigint")
     got = {r.term: r.mark for r in T.mark(counts, spark.createDataFrame([(30,)], "n bigint")).collect()}
     assert got == {"r": "rare", "c": "common", "m": None}
+
+
+def test_found_merges_late_changes_into_stored_counts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a b"), (2, "a"), (3, " ")], "_c0 bigint, NEWS string").write.parquet(f"{tmp_path}/text.parquet")
+    at = lambda d: f"2024-01-{d:02d} 00:00:00"
+    rows = [
+        (1, "c c old", at(1), at(1)), (1, "c new", at(1), at(9)), (2, "d", at(1), at(1)), (2, "d", at(1), at(5)), (3, "late a", at(1), at(20)),
+        (None, "x", at(1), at(1)), (None, "x", at(1), at(8)), (4, "y", None, at(2)), (5, "early", at(3), at(30)), (5, "z", at(3), at(3)), (6, "w", at(1), at(4)), (6, None, at(1), at(5)),
+    ]
+    long = spark.createDataFrame(rows, "row_no bigint, NEWS_BODY string, pub_ts string, load_ts string")
+    long = long.withColumn("pub_ts", F.col("pub_ts").cast("timestamp_ntz")).withColumn("load_ts", F.col("load_ts").cast("timestamp_ntz"))
+    long.write.parquet(f"{tmp_path}/longtext.parquet")
+    stored = []
+    monkeypatch.setattr(T, "store_counts", lambda counts, store=T.store_counts: stored.append(store(counts)) or stored[-1])
+    got = {tuple(r) for r in T.p3_terms(spark, str(tmp_path)).collect()}
+    assert got == _model(["a b", "a", "c new", "d", "late a", "x", "x", "y", "early"])
+    assert {r.term for r in stored[0].collect()} == {"a", "b", "c", "old", "d", "x", "y", "z"}
+    found = {r.term: (r.mark, r.n_total, r.n_records) for r in T.p3_found(spark, str(tmp_path)).collect()}
+    assert len(stored) == 2 and found == {t: ("rare" if k == 1 else "common", n, k) for t, n, k in got}

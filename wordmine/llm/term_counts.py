@@ -7,6 +7,8 @@ term and merged into the stored counts, so the work follows the changes and not
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,24 +89,40 @@ def mark(counts: DataFrame, n: DataFrame, rare_at_most: int = 1, common_share: i
     return counts.crossJoin(F.broadcast(n)).select("term", F.when(rare, "rare").when(common, "common").alias("mark"), "n_total", "n_records")
 
 
-def arrivals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The records of each table as changes to an empty collection; a redelivery replaces the version before."""
+def arrivals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The records of both tables as signed changes ``(body, sign)`` in three batches: text, the prompt deliveries of longtext, the late ones.
+
+    Late is what was loaded more than a day after publication. Of two deliveries of a record the later counts, so a
+    late one takes back the version before. Late rows without a key are records of their own.
+    """
     text = latest(table(spark, folder, "text", "_c0", "NEWS"), "_c0", "NEWS")
-    long = latest(table(spark, folder, "longtext", "row_no", "NEWS_BODY", "load_ts"), "row_no", "NEWS_BODY", "load_ts")
-    return tuple(x.select("body", F.lit(1).alias("sign")) for x in (text, long))
+    rows = table(spark, folder, "longtext", "row_no", "NEWS_BODY", "pub_ts", "load_ts")
+    is_late = F.coalesce(F.col("load_ts") > F.col("pub_ts") + F.expr("INTERVAL 1 DAY"), F.lit(False))
+    late, prompt = rows.where(is_late), rows.where(~is_late)
+    touched = late.where("row_no IS NOT NULL").select("row_no").distinct()
+    newest = lambda df: latest(df, "row_no", "NEWS_BODY", "load_ts")
+    before = newest(prompt.join(touched, "row_no", "left_semi"))
+    after = newest(rows.join(touched, "row_no", "left_semi").unionByName(late.where("row_no IS NULL")))
+    loads = [x.select("body", F.lit(1).alias("sign")) for x in (text, newest(prompt))]
+    return loads[0], loads[1], signed_changes(before, after)
+
+
+def _counts(batches: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """Counts after all batches: the first load is stored, the signed changes of the late batch are merged into it."""
+    text, prompt, late = map(term_deltas, batches)
+    return merge_counts(store_counts(merge_counts(None, text, prompt)), late)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The rare and common terms of both article tables, see TESTDATA.md."""
-    changes = arrivals(spark, folder)
-    counts = merge_counts(None, *[term_deltas(c) for c in changes])
-    n = record_delta(changes[0]).unionByName(record_delta(changes[1])).agg(F.sum("n").alias("n"))
-    return mark(counts, n).where(F.col("mark").isNotNull()).select("term", "mark", "n_total", "n_records")
+    batches = arrivals(spark, folder)
+    n = reduce(DataFrame.unionByName, map(record_delta, batches)).agg(F.sum("n").alias("n"))
+    return mark(_counts(batches), n).where(F.col("mark").isNotNull()).select("term", "mark", "n_total", "n_records")
 
 
 def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     """All terms of both article tables with their counts."""
-    return merge_counts(None, *[term_deltas(c) for c in arrivals(spark, folder)])
+    return _counts(arrivals(spark, folder))
 
 
 def p3_increment(spark: SparkSession, folder: str) -> DataFrame:
