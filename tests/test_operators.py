@@ -225,3 +225,15 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stateless.token_stream(stateless.read_documents(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("toks").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert rows(spark.table("toks")) == rows(tokens.tokenize(tokens.documents(data)))
+
+
+def test_nothing_is_cut_from_very_long_text(spark):
+    long = "x" * (1 << 20)
+    sents = spark.createDataFrame([(1, 0, f"가{long}가")], "doc_id bigint, sent_id int, sentence string")
+    nouns = spark.createDataFrame([(1, 0, "가")], "doc_id bigint, ord int, noun string")
+    assert rows(compound.greedy_occurrences(sents, nouns), "at") == [(0,), (1 << 20,)]
+    one = lambda t: spark.createDataFrame([(1, 0, t)], "doc_id bigint, pos int, token string")
+    assert rows(tokens.paren_parts(one(f"({long}y")), "token") == [(f"{long}y",)] and rows(tokens.paren_parts(one(f"({long}y)")), "token") == [(f"{long}y",)]
+    token = f"({long}(b)"
+    raw = spark.createDataFrame([(1, f"{token} {token}")], "doc_id bigint, raw string")
+    assert (f"{long}(b)",) in rows(tokens.paren_suffixes(one(token), raw).where("step = 1"), "token")

@@ -135,7 +135,7 @@ def greedy_occurrences(sentences: DataFrame, nouns: DataFrame) -> DataFrame:
 
         def once(a: Column, _: Column) -> Column:
             at = F.instr(a["rest"], noun)
-            rest = F.concat(F.substring(a["rest"], F.lit(1), at - 1), F.substring(a["rest"], at + F.length(noun), F.lit(1 << 20)))
+            rest = F.concat(F.substring(a["rest"], F.lit(1), at - 1), F.substring(a["rest"], at + F.length(noun), F.length(a["rest"])))
             hit = F.concat(a["out"], F.array(F.struct((at - 1).cast("int").alias("at"), noun.alias("noun"))))
             return F.struct(F.when(at > 0, rest).otherwise(a["rest"]).alias("rest"), F.when(at > 0, hit).otherwise(a["out"]).alias("out"))
 

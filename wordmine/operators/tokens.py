@@ -104,8 +104,8 @@ def paren_suffixes(tokens: DataFrame, raw: DataFrame, least: int = 2) -> DataFra
         F.regexp_extract_all("token", F.lit("([()])"), 1),
         F.struct(F.col("token").alias("rest"), F.array().cast("array<string>").alias("out")),
         lambda acc, b: F.struct(
-            F.concat(F.substring(acc["rest"], F.lit(1), F.instr(acc["rest"], b) - 1), F.substring(acc["rest"], F.instr(acc["rest"], b) + 1, F.lit(1 << 20))).alias("rest"),
-            F.concat(acc["out"], F.array(F.substring(acc["rest"], F.instr(acc["rest"], b) + 1, F.lit(1 << 20)))).alias("out"),
+            F.concat(F.substring(acc["rest"], F.lit(1), F.instr(acc["rest"], b) - 1), F.substring(acc["rest"], F.instr(acc["rest"], b) + 1, F.length(acc["rest"]))).alias("rest"),
+            F.concat(acc["out"], F.array(F.substring(acc["rest"], F.instr(acc["rest"], b) + 1, F.length(acc["rest"])))).alias("out"),
         ),
     )["out"]
     found = with_text.select("doc_id", "pos", "raw", F.explode(step).alias("token")).where((F.length("token") >= 2) & (count_in(F.col("raw"), F.col("token")) >= least))
@@ -118,8 +118,8 @@ def paren_parts(tokens: DataFrame) -> DataFrame:
     """The older expansion: between both brackets, after an opening one alone, without the last sign for a closing one alone; tokens without brackets stay."""
     t = F.col("token")
     opening, closing = F.contains(t, F.lit("(")), F.contains(t, F.lit(")"))
-    between = F.substring_index(F.substring(t, F.instr(t, "(") + 1, F.lit(1 << 20)), ")", 1)
-    after = F.substring(t, F.instr(t, "(") + 1, F.lit(1 << 20))
+    between = F.substring_index(F.substring(t, F.instr(t, "(") + 1, F.length(t)), ")", 1)
+    after = F.substring(t, F.instr(t, "(") + 1, F.length(t))
     return tokens.withColumn("token", F.when(opening & closing, between).when(opening, after).when(closing, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
 
 
