@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wordmine.functions import measures
 from wordmine.operators import compound, counts, graph, select, similar, tagger, tokens
-from wordmine.plans import pipelines
+from wordmine.plans import catalogue, pipelines
 from wordmine.sources import html, io
 from wordmine.sources.tables import pick
 
@@ -237,3 +237,10 @@ def test_nothing_is_cut_from_very_long_text(spark):
     token = f"({long}(b)"
     raw = spark.createDataFrame([(1, f"{token} {token}")], "doc_id bigint, raw string")
     assert (f"{long}(b)",) in rows(tokens.paren_suffixes(one(token), raw).where("step = 1"), "token")
+
+
+def test_all_spacings_keep_short_and_long_words(spark, tmp_path):
+    words = ["가", "가나", "가나다라마바사", "가나다라마바사아자차카타파", None]
+    spark.createDataFrame([(w, "NNG") for w in words], "surface string, tag string").write.parquet(f"{tmp_path}/lexicon.parquet")
+    got = {r["word"]: r["n"] for r in catalogue.spacings_all(spark, str(tmp_path)).groupBy("word").agg(F.countDistinct("way").alias("n")).collect()}
+    assert got == {"가": 1, "가나": 2, "가나다라마바사": 64, "가나다라마바사아자차카타파": 1}

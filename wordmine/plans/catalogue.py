@@ -89,6 +89,11 @@ def spacings(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.spacings(words)
 
 
+def spacings_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The spacings of all surfaces; ``spacings`` has those of 2 to 6 characters, as its SQL."""
+    return tokens.spacings(_lexicon(spark, folder).select(F.col("surface").alias("word")).distinct())
+
+
 def paren_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     rows = _texts(spark, folder).select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
     found = tokens.paren_suffixes(tokens.tokenize(rows, least=3), rows.withColumnRenamed("clean", "raw"))
@@ -347,6 +352,7 @@ QUERIES = {
     "right_trims": right_trims,
     "three_way_splits": three_way_splits,
     "spacings": spacings,
+    "spacings_all": spacings_all,
     "paren_suffixes": paren_suffixes,
     "paren_parts": paren_parts,
     "prefix_freq": prefix_freq,
