@@ -1,13 +1,13 @@
 """Test passages inside a corpus, found by latent semantic retrieval.
 
 Texts become streams of their letters and digits in consistent form and lower case, so spacing, punctuation and
-invisible characters don't matter. Passages are weighted character n-grams; a distributed randomised SVD of the
-passages of the whole corpus gives the latent space, in which windows of each document are compared with segments of
-the test items by cosine. What comes near is checked by its longest common run of words, for paraphrases by the longest
-common subsequence of words and by the words of a question that follows the passage.
+invisible characters don't matter. An unbroken run shared with an item consists of n-grams of the items throughout, so
+only maximal runs of such n-grams that are long enough are passages. These are weighted by their character n-grams; a
+distributed randomised SVD of them gives the latent space, in which they are compared with segments of the test items
+by cosine. What comes near is checked by its longest common run of words.
 
-Before the search, windows without a chance are put aside without loss: a run shared with an item consists of n-grams
-of the items throughout, so only maximal runs of such n-grams that are long enough are passages to be searched.
+Paraphrases are cut off before the search, since they aren't made of the items' n-grams. ``common_subsequence`` is no
+part of the search, and there is no check of answers or questions.
 """
 
 from __future__ import annotations
