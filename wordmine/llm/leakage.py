@@ -29,8 +29,9 @@ GRAM, BITS, RANK, EXTRA = 4, 15, 192, 16
 FEATURES = 1 << BITS
 #: Characters of the grid on which passages begin; characters of the passages that the SVD is fitted on.
 UNIT, FIT_CHARS = 16, 64
-#: Documents that the SVD is fitted on, on average, chosen by a hash of their id. All are counted, indexed and searched.
-FIT = 1024
+#: Documents that the SVD is fitted on, on average, chosen by a hash of their id, and tasks that do so. All documents are
+#: counted, indexed and searched.
+FIT, FIT_TASKS = 1024, 3
 #: Least cosine of a candidate; least shares of common words and of key terms in a paraphrase.
 NEAR, COMMON, KEYS = 0.75, 0.6, 0.6
 #: Items with a span of fewer characters hold too few n-grams for a latent space; their spans are looked up as they are.
@@ -279,7 +280,7 @@ def _sum_rows(rows: DataFrame, height: int, width: int) -> np.ndarray:
         total = np.zeros(height * width)
         for batch in group:
             for data in batch.column("data").to_pylist():
-                total += np.frombuffer(data, np.float64)
+                total += np.frombuffer(data, np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "data"])
 
     out = np.zeros((FEATURES, width))
@@ -290,7 +291,7 @@ def _sum_rows(rows: DataFrame, height: int, width: int) -> np.ndarray:
 
 def _cut(total: np.ndarray, parts: int) -> pa.RecordBatch:
     height = FEATURES // parts
-    rows = [np.ascontiguousarray(total[i * height : (i + 1) * height]).tobytes() for i in range(parts)]
+    rows = [total[i * height : (i + 1) * height].astype(np.float32).tobytes() for i in range(parts)]
     return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(rows, pa.binary())], ["part", "data"])
 
 
@@ -349,7 +350,8 @@ def latent_basis(sample: DataFrame, idf: np.ndarray, own: list[str], rank: int =
             if total is not None:
                 yield _cut(total, parts)
 
-        summed = _sum_rows(sample.select("plain").mapInArrow(share, "part int, data binary"), FEATURES // parts, width)
+        few = sample.select("plain").coalesce(FIT_TASKS)  # each sends a matrix of fixed size
+        summed = _sum_rows(few.mapInArrow(share, "part int, data binary"), FEATURES // parts, width)
         return summed + _product(own, idf, basis.astype(np.float32))
 
     start = np.random.default_rng(7).standard_normal((FEATURES, width))
