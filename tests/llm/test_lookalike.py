@@ -65,8 +65,38 @@ def test_pairs_equal_brute_force(bodies):
     data += [("text", 100, None), ("text", 101, ""), ("text", None, "news 1 about cheese"), data[0], ("text", 102, data[0][2])]
     rows = {r for r in data if r[1] is not None and r[2] is not None}
     want = {(s, i, j) for s, i, a in rows for t, j, b in rows if s == t and i < j and a != b and L.consistent(a) == L.consistent(b)}
-    assert {tuple(r) for r in L.look_alike_pairs(bodies(data)).collect()} == want
-    assert L.look_alike_pairs(bodies([])).count() == 0
+    assert {tuple(r) for r in L.look_alike_pairs(L.look_digests(bodies(data))).collect()} == want
+    assert L.look_alike_pairs(L.look_digests(bodies([]))).count() == 0
+
+
+RUSSIAN = "Сегодня РАН сообщила, что сор вывезен."
+
+
+def test_script_follows_the_surroundings():
+    assert L.consistent(RUSSIAN) == RUSSIAN and L.consistent(RUSSIAN.replace("РАН", "PAH").replace("сор", "cop")) == RUSSIAN
+    assert L.consistent("Korea РАН, a cop") == "Korea PAH, a cop" and L.consistent("서울 сор") == "서울 cop"
+    mixed = "Новый cop\nthe new cop of Москва"
+    assert L.consistent(mixed) == "Новый сор\nthe new cop of Москва"
+
+
+def test_bigrams_decide_between_scripts(monkeypatch):
+    text = "scope и город: {}"  # as many unmistakable letters of either script near by
+    prior = (("latin", -0.7), ("cyrillic", -0.7))
+    words = ["cop", "сор", "hope", "хор", "рос", "space", "сахар", "оса", "кот", "рок"]
+    got = [L.decode(w, prior) for w in words]
+    assert len({L._script(w[0]) for w in got}) == 2
+    monkeypatch.setattr(L, "BIGRAMS", {s: ({}, {"": -3.0}) for s in L.BIGRAMS})
+    L.decode.cache_clear()
+    flat = [L.decode(w, prior) for w in words]
+    L.decode.cache_clear()
+    assert flat != got and L.consistent(text.format("x"))
+
+
+def test_classes_hold_every_record_once(bodies):
+    data = [("text", 1, "Ａb"), ("text", 2, "Ab"), ("text", 3, "Ab"), ("text", 4, "c"), ("longtext", 1, "Ab"), ("text", None, "Ab"), ("text", 5, None), ("text", 2, "Ab")]
+    rows = L.look_classes(L.look_digests(bodies(data))).collect()
+    assert sorted((r.src, r.row_id, r.n_forms) for r in rows) == [("longtext", 1, 1), ("text", 1, 2), ("text", 2, 2), ("text", 3, 2), ("text", 4, 1)]
+    assert len({r.class_id for r in rows}) == 2
 
 
 def test_extra_columns_and_nulls(bodies, spark):

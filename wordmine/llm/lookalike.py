@@ -2,10 +2,11 @@
 
 Steps: invisible characters go, width, font, spacing and ligature variants are replaced by what they stand for, dots
 and dashes by one of each kind, sequences are composed, and every run of letters that has look-alikes in another
-script becomes a lattice of these letters, through which a Viterbi search finds the reading with the fewest changes of
-script and, among those, the best character bigrams. The lattice holds shapes only, not the letters found, so texts
-of equal looks end in equal forms. Enclosed, squared and raised signs, letter case, digits, accents, the number of
-spaces and line breaks stay as they are.
+script becomes a lattice of these letters. A Viterbi search through it finds the reading with the fewest changes of
+script and, among those, the best score: character bigrams of each script, and how often that script's unmistakable
+letters stand in the same line and text. The lattice and what surrounds it are taken by shape, not by the letters
+found, so texts of equal looks end in equal forms. Enclosed, squared and raised signs, letter case, digits, accents,
+the number of spaces and line breaks stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmine.llm.records import records
-from wordmine.sources.tables import table
+from wordmine.plans.lineage import materialize
 
 #: Characters without a mark of their own.
 IGNORABLE = (
@@ -36,17 +37,35 @@ DOTS = "•‧∙⋅⸱・･·ᐧㆍᆞ"
 SPACES = "               　"
 #: Letters of the same shape, the Latin, Han or Katakana one first.
 SHAPES = (
-    "Aa Аа Α Ꭺ|B В Β|C С Ꮯ|E Е Ε Ꭼ|H Н Η Ꮋ|I І Ι Ӏ|J Ј|K К Κ|M М Μ Ꮇ|N Ν|O О Ο|P Р Ρ|S Ѕ|T Т Τ|X Х Χ|Y У Υ Ү|Z Ζ|Q Ԛ|W Ԝ|"
-    "a а|c с ϲ|d ԁ|e е|h һ|i і|j ј|o о ο օ|p р|q ԛ|s ѕ|v ν ѵ|w ԝ|x х|y у ү|g ɡ|"
+    "A А Α Ꭺ ꓮ Ⲁ|B В Β ꓐ Ⲃ|C С Ꮯ ꓚ Ⲥ|D Ꭰ ꓓ|E Е Ε Ꭼ ꓰ Ⲉ|F ꓝ|G Ꮐ ꓖ|H Н Η Ꮋ ꓧ Ⲏ|I І Ι Ӏ ꓲ Ⲓ|J Ј Ꭻ ꓙ|K К Κ ꓗ Ⲕ|L Ꮮ ꓡ|M М Μ Ꮇ ꓟ Ⲙ|N Ν ꓠ Ⲛ|O О Ο Օ ꓳ Ⲟ|"
+    "P Р Ρ Ꮲ ꓑ Ⲣ|Q Ԛ|R Ꭱ ꓣ|S Ѕ Տ Ꮪ ꓢ|T Т Τ Ꭲ ꓔ Ⲧ|U Ս ꓴ|V Ѵ Ꮩ ꓦ|W Ԝ Ꮃ ꓪ|X Х Χ ꓫ Ⲭ|Y У Υ Ү ꓬ Ⲩ|Z Ζ Ꮓ ꓜ|"
+    "a а|c с ϲ ⲥ|d ԁ|e е|g ɡ ց|h һ հ|i і|j ј|n ո|o о ο օ ⲟ|p р ⲣ|q ԛ զ|s ѕ|u ս|v ν ѵ|w ԝ|x х|y у ү|"
     "力 カ|工 エ|口 ロ|卜 ト|二 ニ|八 ハ|夕 タ|ヘ へ|ベ べ|ペ ぺ"
 )
 #: Seed text of each script, from which the letter bigrams are counted.
 SEED = {
-    "latin": "the people said that the council of the city will open new offices for the industry this year and more companies report results from export production market energy service data system news desk team agency in the north and the south",
-    "cyrillic": "сегодня совет города сообщил что новые предприятия отрасли увеличили выпуск товаров и услуг а рынок энергии растет третий год подряд об этом пишут газеты севера и юга страны",
-    "greek": "σήμερα το συμβούλιο της πόλης ανακοίνωσε ότι οι νέες επιχειρήσεις του κλάδου αύξησαν την παραγωγή και η αγορά ενέργειας μεγαλώνει για τρίτο έτος",
+    "latin": (
+        "the people said that the council of the city will open new offices for the industry this year and more companies report results from export "
+        "production market energy service data system news desk team agency in the north and the south she did not know where her brother had put the "
+        "letters but he was sure that nobody could open them before they came home again what happens when an engine stops working on a hot summer day "
+        "every child should learn to read because books carry us to other places police cop pop scope space cope peace copy ox axe coax apex pace race "
+        "care area era eye yes year say easy sea case close house horse score core ocean cocoa soap poem hope hop cap cape ape map maps top post stop "
+        "la casa del pueblo es una parte de la historia y el agua de los rios corre hacia el mar der die das und nicht ein eine les des une est pour"
+    ),
+    "cyrillic": (
+        "сегодня совет города сообщил что новые предприятия отрасли увеличили выпуск товаров и услуг а рынок энергии растет третий год подряд об этом пишут "
+        "газеты севера и юга страны она не знала куда ее брат положил письма но он был уверен что никто не сможет открыть их раньше чем они вернутся домой "
+        "каждый ребенок должен учиться читать потому что книги уносят нас в другие места академия наук ран сор спор рос нос сон рот кот ток рок срок сорок "
+        "вор ров ура утро хор хоро хата сахар хор рука наука раса роса коса оса сова слово око окно оно она они мера время море хотеть терять стать "
+        "як справи сьогодні міста України який може бути для всіх людей нашої країни ова ево ски ски ого его ому ему ами ями"
+    ),
+    "greek": (
+        "σήμερα το συμβούλιο της πόλης ανακοίνωσε ότι οι νέες επιχειρήσεις του κλάδου αύξησαν την παραγωγή και η αγορά ενέργειας μεγαλώνει για τρίτο έτος "
+        "κάθε παιδί πρέπει να μάθει να διαβάζει γιατί τα βιβλία μας ταξιδεύουν σε άλλους τόπους δεν ήξερε πού είχε βάλει ο αδελφός της τα γράμματα αλλά ήταν "
+        "σίγουρος ότι κανείς δεν θα μπορούσε να τα ανοίξει πριν γυρίσουν στο σπίτι νότος νόμος τόνος πόνος όρος χρόνος νερό ουρανός"
+    ),
 }
-SCRIPTS = ("latin", "han", "katakana", "hiragana", "hangul", "cyrillic", "greek", "cherokee", "armenian", "other")
+SCRIPTS = ("latin", "han", "katakana", "hiragana", "hangul", "cyrillic", "greek", "cherokee", "armenian", "coptic", "lisu", "other")
 
 
 def _script(ch: str) -> str:
@@ -57,13 +76,7 @@ def _script(ch: str) -> str:
 
 def _classes() -> dict[str, str]:
     """Each letter that has look-alikes, with all letters of its shape."""
-    out = {}
-    for group in SHAPES.split("|"):
-        letters = [x for word in group.split(" ") for x in word]
-        if group.startswith("Aa"):  # the first group gives both cases of one shape pair
-            letters = [x for x in letters if x not in "aа"]
-        out.update(dict.fromkeys(letters, "".join(letters)))
-    return out
+    return {x: group.replace(" ", "") for group in SHAPES.split("|") for x in group.replace(" ", "")}
 
 
 CLASSES = _classes()
@@ -96,57 +109,102 @@ _ODD = re.compile(
     "|[\u0e38\u0e39\u0e48-\u0e4b][\u0e3a\u094d]|[\u0e48-\u0e4b][\u0e38\u0e39]"  # marks out of order
 )
 _WORD = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[̀-ͯ])*")
-#: Letters of scripts that may claim an ASCII letter of their words. Without one, and without a look-alike of another script, a word reads as itself.
-_CLAIMING = "".join(c for c in map(chr, range(0x80, 0x10000)) if _script(c) in {_script(x) for x in CLASSES.get("A", "")} - {"latin"})
+#: Scripts that share shapes with Latin letters. Their other letters are unmistakable and speak for their script.
+_SHARING = tuple(x for x in SCRIPTS if x != "latin" and any(_script(c) == x for c in "".join(v for k, v in CLASSES.items() if k.isascii())))
+_CLAIMING = "".join(c for c in map(chr, range(0x80, 0x10000)) if _script(c) in _SHARING)
 _RIVAL = re.compile(f"[{RIVALS}力工口卜二八夕{_CLAIMING}]")
+_KANJI = re.compile("[\u3040-\u30ff\u4e00-\u9fff]")
+_ALIKE = re.compile("[" + "".join(CLASSES) + "]")
 #: Composed letters with their base and accents, where the base has look-alikes: ``ё`` and ``ë`` are of one shape.
 _APART = {
     ord(c): d for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in CLASSES and all("\u0300" <= x <= "\u036f" for x in d[1:])
 }
 
 
-def _bigrams() -> dict[str, dict[str, float]]:
-    """Log-probabilities of letter pairs in each script's seed text, with add-one smoothing."""
+def _bigrams() -> dict[str, tuple[dict[str, float], dict[str, float]]]:
+    """Log-probabilities of a letter after another in each script's seed text, a space being the edge of a word, and of one never seen after it."""
     out = {}
     for script, text in SEED.items():
-        for form in (text,):
-            pairs, firsts = Counter(zip(form, form[1:])), Counter(form)
-            kinds = len(firsts)
-            out[script] = {a + b: math.log((n + 1) / (firsts[a] + kinds)) for (a, b), n in pairs.items()} | {"": math.log(1 / (len(form) / kinds + kinds))}
+        text = f" {text} "
+        pairs, firsts = Counter(zip(text, text[1:])), Counter(text[:-1])
+        kinds = len(firsts)
+        seen = {a + b: math.log((n + 0.5) / (firsts[a] + 0.5 * kinds)) for (a, b), n in pairs.items()}
+        out[script] = seen, {a: math.log(0.5 / (n + 0.5 * kinds)) for a, n in firsts.items()} | {"": math.log(1 / kinds)}
     return out
 
 
 BIGRAMS = _bigrams()
-_SWITCH, _RANK, _PLACE = 1e6, 1e3, 1e2
+#: What a change of script costs, above any score of letters; the score of a letter in scripts without a seed; what letters of the whole text count beside those of the line; what no evidence at all counts.
+_SWITCH, _UNKNOWN, _FAR, _NONE = 1e4, -4.0, 0.05, 0.02
 
 
 def _gain(script: str, a: str, b: str) -> float:
-    table_ = BIGRAMS.get(script)
-    return table_.get((a + b).lower(), table_[""]) if table_ else -5.0
+    if script not in BIGRAMS:
+        return _UNKNOWN
+    seen, never = BIGRAMS[script]
+    return seen[a + b] if a + b in seen else never.get(a, never[""])
 
 
 @lru_cache(maxsize=65536)
-def decode(word: str) -> str:
-    """The best reading of a run of letters: fewest script changes, then the script first in ``SCRIPTS``, then the plainest
-    letters, then bigrams.
+def decode(word: str, prior: tuple[tuple[str, float], ...] = (("latin", 0.0),)) -> str:
+    """The best reading of a run of letters: fewest changes of script, then the greatest sum of ``prior`` and bigrams, then the plainest letters.
 
-    The options of a position depend on its shape alone. Marks that combine go with the letter before.
+    ``prior`` has the log-weight of each script that may claim letters of other scripts' shapes. A script outside it is
+    read only where the word holds one of its unmistakable letters, or where the shape belongs to no script in it.
+    Options depend on shapes alone. Marks that combine go with the letter before.
     """
-    options = [[(c, _script(c), place) for place, c in enumerate(CLASSES.get(x, x))] if not unicodedata.combining(x) else [(x, "", 0)] for x in word]
+    weight = dict(prior)
+    own = {_script(x) for x in word if x not in CLASSES and not unicodedata.combining(x)}
+    options: list[list[tuple[str, str]]] = []
+    for x in word:
+        if unicodedata.combining(x):
+            options.append([(x, "")])
+            continue
+        every = [(c, s) for s, c in {_script(c): c for c in reversed(CLASSES.get(x, x))}.items()][::-1]  # the plainest letter of each script
+        options.append([o for o in every if o[1] in weight or o[1] in own] or every)
     states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
     for choices in options:
         new: dict[tuple[str, str], tuple[float, str]] = {}
         for (last, script), (score, path) in states.items():
-            for c, s, place in choices:
+            for place, (c, s) in enumerate(choices):
                 if not s:
                     key, value = (last, script), score
                 else:
                     key = (c, s)
-                    value = score - SCRIPTS.index(s) * _RANK - place * _PLACE - (_SWITCH if script and s != script else 0) + (_gain(s, last, c) if script == s else 0)
+                    value = score - place * 1e-6 + _gain(s, last.lower() if s == script else " ", c.lower())
+                    value += weight.get(s, 0.0) if not script else -_SWITCH if s != script else 0.0
                 if key not in new or (value, path + c) > new[key]:
                     new[key] = (value, path + c)
         states = new
-    return max(states.values())[1]
+    return max((score + (_gain(s, last.lower(), " ") if s else 0.0), path) for (last, s), (score, path) in states.items())[1]
+
+
+def _evidence(text: str) -> Counter:
+    """How many unmistakable letters of each script a text has."""
+    out: Counter = Counter()
+    for c, n in Counter(text).items():
+        if c not in CLASSES and c.isalpha():
+            s = _script(unicodedata.normalize("NFD", c)[0])
+            if s == "latin" or s in _SHARING or s in ("han", "katakana", "hiragana"):
+                out[s] += n
+    return out
+
+
+def readings(text: str) -> str:
+    """Every run of letters of a folded text, with base letters and accents apart, in its best reading; the length stays."""
+    far = _evidence(text)
+    sharing = [s for s in _SHARING if far[s]]
+    kanji = _KANJI.search(text) is not None
+    scripts = ("latin", *sharing, *(("han", "katakana", "hiragana") if kanji else ()))
+    out = []
+    for line in text.split("\n"):
+        if _ALIKE.search(line):
+            near = _evidence(line) if len(scripts) > 1 else {}
+            total = [near.get(s, 0) + _FAR * far[s] + _NONE for s in scripts]
+            prior = tuple((s, round(math.log(n / sum(total)), 1)) for s, n in zip(scripts, total))
+            line = _WORD.sub(lambda m, prior=prior: decode(m[0], prior) if _ALIKE.search(m[0]) else m[0], line)
+        out.append(line)
+    return "\n".join(out)
 
 
 def _folded(m: re.Match) -> str:
@@ -154,11 +212,7 @@ def _folded(m: re.Match) -> str:
 
 
 def _apart(m: re.Match) -> str:
-    return m[0].translate(_APART) if _RIVAL.search(m[0]) else m[0]
-
-
-def _read(m: re.Match) -> str:
-    return decode(m[0].translate(_APART)) if _RIVAL.search(m[0]) else m[0]
+    return m[0].translate(_APART)
 
 
 def consistent(text: str) -> str:
@@ -167,8 +221,7 @@ def consistent(text: str) -> str:
         return text
     text = unicodedata.normalize("NFC", _FOLD.sub(_folded, _GONE.sub("", text)))
     if _RIVAL.search(text):
-        text = _WORD.sub(_read, text)
-        text = unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFC", readings(_WORD.sub(_apart, text)))
     return text
 
 
@@ -224,15 +277,14 @@ def consistent_spans(text: str) -> tuple[str, list[int] | None, list[int] | None
         if len(apart) != len(form):  # base and accents stand where their letter stood
             index, last = [], 0
             for m in _WORD.finditer(form):
-                if _RIVAL.search(m[0]):
-                    index += range(last, m.start())
-                    for k, c in enumerate(m[0], m.start()):
-                        index += [k] * len(_APART.get(ord(c), c))
-                    last = m.end()
+                index += range(last, m.start())
+                for k, c in enumerate(m[0], m.start()):
+                    index += [k] * len(_APART.get(ord(c), c))
+                last = m.end()
             index += range(last, len(form))
             starts, ends = ([starts[k] for k in index], [ends[k] for k in index]) if moved else (index, [k + 1 for k in index])
             form, moved = apart, True
-        form = _WORD.sub(_read, form)
+        form = readings(form)
         if not unicodedata.is_normalized("NFC", form):  # a letter read in another script may compose with the mark after it
             starts, ends = (starts, ends) if moved else (list(range(len(form))), list(range(1, len(form) + 1)))
             moved, parts, firsts, lasts = True, [], [], []
@@ -276,21 +328,24 @@ def look_digests(bodies: DataFrame) -> DataFrame:
     return rows.mapInArrow(_digests, "src string, row_id bigint, form binary, raw binary")
 
 
-def look_classes(bodies: DataFrame) -> DataFrame:
-    """One row per record: ``(src, row_id, form, raw, n_forms)``, the number of different bodies of the same looks."""
-    digests = look_digests(bodies).distinct()
-    sizes = digests.groupBy("src", "form", "raw").count().groupBy("src", "form").agg(F.count(F.lit(1)).alias("n_forms"))
-    return digests.join(sizes, ["src", "form"])
+def look_classes(digests: DataFrame) -> DataFrame:
+    """One row per record of ``look_digests``: ``(src, row_id, class_id, n_forms)``, with the number of different bodies of the same looks.
+
+    ``class_id`` is the digest of the looks in hexadecimal digits. Records with a null id are left out.
+    """
+    rows = digests.where(F.col("row_id").isNotNull()).distinct()
+    sizes = rows.groupBy("src", "form", "raw").agg(F.lit(1).alias("one")).groupBy("src", "form").agg(F.count("one").alias("n_forms"))
+    return rows.join(sizes, ["src", "form"]).select("src", "row_id", F.lower(F.hex("form")).alias("class_id"), "n_forms").distinct()
 
 
-def look_alike_pairs(bodies: DataFrame) -> DataFrame:
-    """``(src, id_a, id_b)``, ``id_a < id_b``, of records that look the same and differ in characters.
+def look_alike_pairs(digests: DataFrame) -> DataFrame:
+    """``(src, id_a, id_b)``, ``id_a < id_b``, of records of ``look_digests`` that look the same and differ in characters.
 
     Only classes with at least two different bodies reach the join, found by a map-side combined aggregate, and exact
     copies are never paired with each other. A class may be of any size: the join is by the digest of its looks and
     adaptive execution splits a large one. Records with a null id or body give no pair; repeated rows count once.
     """
-    digests = look_digests(bodies).where(F.col("row_id").isNotNull())
+    digests = digests.where(F.col("row_id").isNotNull())
     mixed = digests.groupBy("src", "form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("src", "form")
     members = digests.join(mixed, ["src", "form"], "left_semi").distinct()
     a = members.select("src", "form", F.col("row_id").alias("id_a"), F.col("raw").alias("raw_a"))
@@ -298,9 +353,19 @@ def look_alike_pairs(bodies: DataFrame) -> DataFrame:
     return a.join(b, ["src", "form"]).where("id_a < id_b AND raw_a <> raw_b").select("src", "id_a", "id_b").distinct()
 
 
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The digests of both article tables, folded once and kept in the shared folder."""
+    return materialize(look_digests(records(spark, folder)), "looks")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records of the same table that look the same but differ in characters, see TESTDATA.md."""
-    return look_alike_pairs(records(spark, folder))
+    return look_alike_pairs(_stored(spark, folder))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record with the class of its looks and the number of different bodies in it."""
+    return look_classes(_stored(spark, folder))
 
 
 def p2_consistent(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,5 +373,5 @@ def p2_consistent(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_text(records(spark, folder), "body").select("src", "row_id", "form").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_consistent": p2_consistent}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_consistent": p2_consistent}
 ORACLES: dict[str, str] = {}
