@@ -1,4 +1,4 @@
-from wordmine.llm.sentences import sentence_spans, sentence_units
+from wordmine.llm.sentences import list_items, sentence_spans, sentence_units
 
 
 def units(text):
@@ -46,3 +46,28 @@ def test_operator(bodies):
     got = sentence_units(bodies([("text", 1, "가다. 나다."), ("text", 1, "가다. 나다."), ("text", 2, None), ("text", 3, ""), ("longtext", None, "x")])).collect()
     assert sorted(map(tuple, got), key=str) == sorted([("text", 1, 0, 3), ("text", 1, 4, 7), ("longtext", None, 0, 1)], key=str)
     assert sentence_units(bodies([])).count() == 0
+
+
+def _units(text):
+    return [text[a:b] for a, b in sentence_spans(text)]
+
+
+def test_list_levels():
+    assert _units("(1) 가. 첫째 항목이다. 다음이다.") == ["(1) 가. 첫째 항목이다.", "다음이다."]
+    text = "1. Item one is here.\n   a) Sub item one. Done.\n   b) Sub item two.\n2. Item two"
+    assert _units(text) == ["1. Item one is here.", "a) Sub item one.", "Done.", "b) Sub item two.", "2. Item two"]
+    assert [level for _, level in list_items(text, 0, len(text)).values()] == [0, 1, 1, 0]
+    assert _units("가. 첫째\n나. 둘째\n  1) 하나\n  2) 둘\n다. 셋째") == ["가. 첫째", "나. 둘째", "1) 하나", "2) 둘", "다. 셋째"]
+    assert _units("- one\n- two\n- three") == ["- one", "- two", "- three"]
+    assert _units("끝났다.\n3. TAXO는 늘었다.") == ["끝났다.", "3. TAXO는 늘었다."]
+    assert _units("그는 2018. 4.\n24. 바이오에서 왔다.") == ["그는 2018. 4.\n24. 바이오에서 왔다."]
+    assert _units("“보라\n1. 하나\n2. 둘”이라고 했다.") == ["“보라\n1. 하나\n2. 둘”이라고 했다."]
+
+
+def test_terminators_of_more_scripts():
+    for mark in "\u17d4\u17d5\u104b\u0f0d\u1362\u0964":
+        assert _units(f"ក{mark}ខ{mark}{mark} គ") == [f"ក{mark}", f"ខ{mark}{mark}", "គ"]
+
+
+def test_long_runs_take_linear_time():
+    assert len(_units("a.b" * 200_000)) == 1

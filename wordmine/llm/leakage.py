@@ -25,15 +25,15 @@ from wordmine.plans.lineage import materialize
 from wordmine.sources.tables import spread, table
 
 #: n-gram length; bits of the hashed features and their number; rank of the latent space; extra directions of the SVD.
-GRAM, BITS, RANK, EXTRA = 4, 15, 192, 16
+GRAM, BITS, RANK, EXTRA = 4, 14, 192, 16
 FEATURES = 1 << BITS
 #: Characters of the grid on which passages begin; characters of the passages that the SVD is fitted on.
 UNIT, FIT_CHARS = 16, 64
 #: Documents that the SVD is fitted on, on average, chosen by a hash of their id, and tasks that do so. All documents are
 #: counted, indexed and searched.
-FIT, FIT_TASKS = 1024, 3
+FIT, FIT_TASKS = 1024, 2
 #: Least cosine of a candidate; least shares of common words and of key terms in a paraphrase.
-NEAR, COMMON, KEYS = 0.75, 0.6, 0.6
+NEAR, COMMON, KEYS = 0.7, 0.6, 0.6
 #: Items with a span of fewer characters hold too few n-grams for a latent space; their spans are looked up as they are.
 SHORT = UNIT
 #: Characters of test items in one block, and of documents searched at once.
@@ -337,28 +337,33 @@ def latent_basis(sample: DataFrame, idf: np.ndarray, own: list[str], rank: int =
     width = rank + extra
     sc = sample.sparkSession.sparkContext
 
-    def times(basis: np.ndarray) -> np.ndarray:
-        shared = sc.broadcast((idf, basis.astype(np.float32)))  # of fixed size
+    def times(basis: np.ndarray | None) -> np.ndarray:
+        shared = None if basis is None else sc.broadcast(basis)  # of fixed size
 
         def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            b, total = _directions(width) if shared is None else shared.value, None
             for batch in batches:
                 texts = [t.replace(" ", "") for t in batch.column("plain").to_pylist()]
                 for lo in range(0, len(texts), 256):
-                    got = _product(texts[lo : lo + 256], *shared.value)
+                    got = _product(texts[lo : lo + 256], idf, b)
                     total = got if total is None else total + got
             if total is not None:
                 yield _cut(total, parts)
 
         few = sample.select("plain").coalesce(FIT_TASKS)  # each sends a matrix of fixed size
         summed = _sum_rows(few.mapInArrow(share, "part int, data binary"), FEATURES // parts, width)
-        return summed + _product(own, idf, basis.astype(np.float32))
+        if shared is not None:
+            shared.destroy()
+        return summed + _product(own, idf, _directions(width) if basis is None else basis)
 
-    start = np.random.default_rng(7).standard_normal((FEATURES, width))
-    q, _ = np.linalg.qr(times(start))
+    q = np.linalg.qr(times(None))[0].astype(np.float32)
     values, vectors = np.linalg.eigh(q.T @ times(q))
-    top = np.argsort(values)[::-1][:rank]
-    return (q @ vectors[:, top]).astype(np.float32)
+    return (q @ vectors[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
+
+
+def _directions(width: int) -> np.ndarray:
+    """The seeded random directions that the iteration begins with, the same in every task."""
+    return np.random.default_rng(7).standard_normal((FEATURES, width), dtype=np.float32)
 
 
 def _short_spans(items: list[Item]):
@@ -440,8 +445,8 @@ def leaked(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, near:
         if basis is None:
             own = ["".join(i.words) for i in part]
             basis = latent_basis(materialize(chosen, "fit"), np.append(idf, np.float32(0)), own)
-            basis = np.concatenate([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32)
-        space = Space(basis, part)
+            basis = np.concatenate([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
+        space = Space(basis.astype(np.float32), part)
         for item in part:
             item.keys = key_terms(item, idf)
         space.add_items()

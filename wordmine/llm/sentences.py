@@ -1,8 +1,9 @@
 """Sentence units of documents in any script.
 
 A pushdown automaton reads the marks of each paragraph: openings of quotations and brackets are pushed, closings pop
-the innermost opening of their kind, and what stays open in a paragraph never counted. Terminators end a unit on the
-ground level only, after tests against a trie of abbreviations, numbers, dates, addresses and list labels; a
+the innermost opening of their kind, and what stays open in a paragraph never counted. Labels at the beginning of
+lines open list levels: the first label of a kind is pushed, the next one of a level pops all levels inside it, and a
+level counts once it has two items; each of its items begins a unit. Terminators end a unit on the ground level only, after tests against a trie of abbreviations, numbers, dates, addresses and list labels; a
 quotation that holds a whole sentence may end one when it closes. Scripts bring their own terminators, and Thai its
 spaces. Text is read in its consistent form, so width, kinds of dots and invisible characters make no difference, and
 offsets are given in the text as stored.
@@ -28,14 +29,20 @@ ABBREVIATIONS = (
     "डॉ प्रो श्री श्रीमती पं कु सं बजे г ул стр z.B d.h bzw M Mme Sra Sig"
 )
 MAY_END = ("a.m", "p.m", "etc", "Inc", "Ltd", "Co", "Corp", "Jr", "Sr", "Bros", "al")
-TERMINATORS = "。।॥։؟۔።፧᙮꓿︒｡"
+TERMINATORS = "。।॥։؟۔።᙮꓿︒｡\u17d4\u17d5\u104b\u0f0d\u0f0e\u1803\u1809"
 PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "〔": "〕", "“": "”", "‘": "’", "«": "»", '"': '"', "'": "'"}
 FINAL_SYLLABLES = "다요죠까네오라자"
+SYLLABLES = "가나다라마바사아자차카타파하"
+ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split()
 
 _CLOSERS = {c: o for o, c in PAIRS.items()}
 _QUOTES = "”’」』»\"'"
 _EVENT = re.compile("[" + re.escape(".!?" + TERMINATORS + "".join(PAIRS) + "".join(_CLOSERS)) + "]")
 _BREAK = re.compile(r"(?:\r\n|\n|\r(?!\n))[^\S\r\n]*(?:\r\n|\n|\r)\s*")
+#: A label at the beginning of a line: number, syllable, letters or circled number with its marks, or a bullet.
+_LABEL = re.compile(rf"(?m)^[ \t]*(?:(?P<open>\(?)(?P<name>\d{{1,3}}|[{SYLLABLES}]|[ivx]{{1,5}}|[IVX]{{1,5}}|[A-Za-z])(?P<close>[.)])|(?P<ring>[①-⑳])|(?P<bullet>[-·*○●◦]))(?=[ \t]+(?!\d+\.)\S)")
+#: Labels that follow each other at the beginning of a unit, up to the mark of the last one.
+_LABELS = re.compile(rf"(?:\(?(?:\d{{1,3}}|[{SYLLABLES}]|[ivx]{{1,5}}|[A-Za-z])[.)]\s*|[①-⑳]\s*)*(?:\d{{1,3}}|[{SYLLABLES}]|[ivx]{{1,5}}|[a-z])")
 _DATE = re.compile(r"(?<!\d)(?:\d{4}|['’]\d\d)\.[ \t\r\n]{0,2}\d{1,2}\.(?:[ \t\r\n]{0,2}\d{1,2}\.)?")
 _THAI_SPACE = re.compile("(?<=[฀-๿])[ \t\r\n]+|[ \t\r\n]+(?=[฀-๿])")
 _THAI = re.compile("[฀-๿]")
@@ -97,17 +104,18 @@ def _ends_dot(text: str, i: int, j: int, low: int, high: int, unit: int) -> bool
         if after in ",;:)]}>”’\"'/@-":
             return False
         if _plain(before) and _plain(after):
-            word = re.search(r"\S*$", text[max(low, i - 60) : i])[0]
-            return before.islower() and after.isupper() and text[j + 1 : j + 2].islower() and len(word) > 1 and word.isalpha()
+            k = i
+            while k > low and text[k - 1].isalpha():
+                k -= 1
+            return before.islower() and after.isupper() and text[j + 1 : j + 2].islower() and i - k > 1 and (k == low or text[k - 1].isspace())
         if before.isdigit() and (after.isdigit() or "가" <= after <= "힣"):
             return False
         if _plain(before) and abbreviation(text, i, unit):
             return False
         return True
+    if i - unit < 40 and _LABELS.fullmatch(text[unit:i].strip()):
+        return False
     if before.isdigit():
-        label = text[unit:i].strip()
-        if label.isdigit() and len(label) <= 3:
-            return False
         return not then.isdigit()
     found = abbreviation(text, i, unit)
     if found:
@@ -173,18 +181,71 @@ def _nesting(text: str, low: int, high: int, marks: list[int]) -> dict[int, int]
     return pairs
 
 
+def _ordinals(m: re.Match) -> list[tuple[str, int]]:
+    """What a label may be: its kind with marks, and its place in the order of that kind, 1 for the first."""
+    if m["bullet"]:
+        return [(m["bullet"], 0)]
+    if m["ring"]:
+        return [("ring", ord(m["ring"]) - ord("①") + 1)]
+    name, marks = m["name"], m["open"] + m["close"]
+    if name.isdigit():
+        return [("digit" + marks, int(name))]
+    if name in SYLLABLES:
+        return [("syllable" + marks, SYLLABLES.index(name) + 1)]
+    case = "upper" if name.isupper() else "lower"
+    out = [(f"roman {case}{marks}", ROMAN.index(name.lower()) + 1)] if name.lower() in ROMAN else []
+    return out + ([(f"letter {case}{marks}", ord(name.lower()) - 96)] if len(name) == 1 else [])
+
+
+def list_items(text: str, low: int, high: int) -> dict[int, tuple[int, int]]:
+    """Where items of a paragraph's lists begin, each with the end of its label and its level, 0 for the outermost.
+
+    Labels open, continue and close levels on a stack; a label that does none of these is text. A level of a single
+    item doesn't count, and a bullet after an unfinished line opens none.
+    """
+    stack: list[list] = []  # kind, last place, begin and end of the first label, whether it counts
+    out: dict[int, tuple[int, int]] = {}
+    for m in _LABEL.finditer(text, low, high):
+        begin = m.start() + len(m[0]) - len(m[0].lstrip())
+        ways = _ordinals(m)
+        if m["bullet"] and all(kind != m["bullet"] for kind, *_ in stack):
+            k = begin - 1
+            while k >= low and text[k].isspace():
+                k -= 1
+            if k >= low and text[k].isalnum():
+                continue
+        held = next((d for d in range(len(stack) - 1, -1, -1) for kind, n in ways if stack[d][0] == kind and (n == 0 or n == stack[d][1] + 1)), None)
+        if held is not None:
+            del stack[held + 1 :]
+            level = stack[held]
+            level[1] = next(n for kind, n in ways if kind == level[0])
+            out[level[2]] = level[3], held
+            out[begin] = m.end(), held
+        else:
+            first = next((w for w in ways if w[1] <= 1), None)
+            if first is not None:
+                stack.append([*first, begin, m.end()])
+    return dict(sorted(out.items()))
+
+
 def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> None:
     cuts: list[int] = []
     marks = [m.start() for m in _EVENT.finditer(text, low, high)]
     if marks:
         nested = [i for i in marks if text[i] in PAIRS or text[i] in _CLOSERS]
         pairs = _nesting(text, low, high, nested) if nested else {}
-        dates = {i for m in _DATE.finditer(text, low, high) for i in range(m.start(), m.end()) if text[i] == "."}
+        items = list_items(text, low, high) if _LABEL.search(text, low, high) else {}
+        inside = lambda at: any(a < at <= b for a, b in pairs.items())
+        items = {at: end for at, (end, _) in items.items() if not inside(at)} if items else items
+        cuts += [at for at in items if at > low]
+        dates = {i for at, end in items.items() for i in range(at, end)} | {i for m in _DATE.finditer(text, low, high) for i in range(m.start(), m.end()) if text[i] == "."}
         unit, until, last, opener, skip = low, -1, -1, -1, -1
         for i in marks:
             ch = text[i]
             if i < skip:
                 continue
+            if items and unit < i:
+                unit = max([unit, *(at for at in items if at <= i)])
             if i < until:  # inside: remember the last terminator, for when the quotation closes
                 if ch in ".!?" or ch in TERMINATORS:
                     last = i
@@ -216,6 +277,9 @@ def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> No
                 skip = j
                 ends = _ends_mark(text, i, j, low, high)
             else:
+                while j < high and text[j] in TERMINATORS:
+                    j += 1
+                skip = j
                 ends = True
             if ends:
                 while j < high and (text[j] in _CLOSERS and text[j] not in PAIRS and j not in pairs.values()):
@@ -228,7 +292,7 @@ def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> No
             after = text[m.end()] if m.end() < high else " "
             if not before.isdigit() and not after.isdigit() and before not in "%.,":
                 cuts.append(m.start())
-        cuts.sort()
+    cuts.sort()
     begin = low
     for cut in [*cuts, high]:
         a, b = begin, cut
