@@ -231,13 +231,14 @@ def list_items(text: str, low: int, high: int) -> dict[int, tuple[int, int]]:
 def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> None:
     cuts: list[int] = []
     marks = [m.start() for m in _EVENT.finditer(text, low, high)]
-    if marks:
+    labels = _LABEL.search(text, low, high) is not None
+    if marks or labels:
         nested = [i for i in marks if text[i] in PAIRS or text[i] in _CLOSERS]
         pairs = _nesting(text, low, high, nested) if nested else {}
-        items = list_items(text, low, high) if _LABEL.search(text, low, high) else {}
-        inside = lambda at: any(a < at <= b for a, b in pairs.items())
-        items = {at: end for at, (end, _) in items.items() if not inside(at)} if items else items
-        cuts += [at for at in items if at > low]
+        items: dict[int, int] = {}
+        if labels:
+            items = {at: end for at, (end, _) in list_items(text, low, high).items() if not any(a < at <= b for a, b in pairs.items())}
+            cuts += [at for at in items if at > low]
         dates = {i for at, end in items.items() for i in range(at, end)} | {i for m in _DATE.finditer(text, low, high) for i in range(m.start(), m.end()) if text[i] == "."}
         unit, until, last, opener, skip = low, -1, -1, -1, -1
         for i in marks:
