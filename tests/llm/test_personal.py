@@ -45,6 +45,54 @@ def test_links_grow_with_the_nodes():
     assert len(P.edges(text, nodes)) <= 3 * len(nodes)
 
 
+#: Everyday sentences in other words and shapes than the training sentences; ``{kind|mention}``.
+HELD_OUT = """
+어제 {name|박보검} 배우가 제주를 찾았다. 관객은 손을 흔들었다.
+{name|유재석}이 사회를 맡았다. 안정성은 높아졌고 이용자는 늘었다.
+회의에는 {name|강민호} 전무와 {name|오은영} 박사가 참석했다.
+{name|황보라} 배우와 {name|제갈량} 장군의 이야기다.
+주민등록번호는 {id|850412-2345678}이고 여권번호는 {id|M87654321}이다.
+외국인등록번호 {id|920511-6123456} 확인 바랍니다.
+문의는 {email|help.desk@school.ac.kr} 또는 {phone|02-2123-4567}로 주세요.
+제보는 {phone|010-9876-5432}, 팩스는 {phone|031-987-6543}입니다.
+접수처는 {address|서울특별시 마포구 월드컵북로 396 누리꿈스퀘어 9층}입니다.
+본사는 {address|부산광역시 해운대구 센텀중앙로 97}에 있다.
+{address|세종대로 110 서울시청 5층}에서 만나자.
+사업자등록번호 214-86-12345, 주문번호 20230915-0001234.
+국제표준도서번호 ISBN 978-89-1234-567-8이 붙었다.
+배구 감독이 바뀌었고 연구 교수가 새로 왔다. 기업 대표는 없었다.
+정부는 지원금을 늘렸다. 전문가는 반대했다. 이재민은 학교로 옮겼다.
+I met {name|Emily Carter} and {name|Carlos Mendes} in Madrid last spring.
+Dr. {name|Susan Miller} called {phone|212-555-0147} twice.
+Reach us at {phone|+44 20 7946 0958} or {email|jobs@company.co.uk} today.
+Ship it to {address|221 Baker Street, London} before noon.
+New York and Los Angeles are large cities. Big Ben was silent.
+{name|王芳}女士和{name|刘伟}先生参加了会议。
+{name|佐藤 健}さんは駅で待っていた。
+가격은 1,234-5,678원 사이다. 2023-09-15 14:00에 시작한다.
+이번 주말 전국에 비가 온다. 조합은 방안을 냈다. 한국은 이겼다.
+"""
+
+
+def test_held_out_sentences():
+    right = wrong = missed = 0
+    for text, spans in P._marked(HELD_OUT.strip()):
+        got = {(P.KINDS.index(k), a, b) for k, a, b in P.find_mentions([text])[0]}
+        right, wrong, missed = right + len(got & spans), wrong + len(got - spans), missed + len(spans - got)
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9, (right, wrong, missed)
+
+
+def test_similar_tokens_are_linked():
+    text = "Mr. Alan Brook said so. A. Brook left. 전화 +82 10 1234 5678, 010-1234-5678"
+    nodes = P.candidates(text)
+    linked = {(text[nodes[i].start : nodes[i].end], text[nodes[j].start : nodes[j].end]) for i, j, kind in P.edges(text, nodes) if kind == 2}
+    assert linked == {("Alan Brook", "A. Brook"), ("+82 10 1234 5678", "010-1234-5678")}
+
+
+def test_many_mentions_take_linear_time():
+    assert len(P.find_mentions(["글·사진 김하늘 a@b.example 010-1234-5678\n" * 5000])[0]) == 15000
+
+
 def test_operator(bodies, spark):
     data = [("text", 1, "글·사진 김하늘 a@b.example"), ("text", 1, "글·사진 김하늘 a@b.example"), ("text", 2, None), ("text", 3, ""), ("text", None, "x")]
     got = {(r.row_id, r.kind, r.start_pos, r.end_pos) for r in P.personal_mentions(bodies(data)).collect()}
