@@ -25,7 +25,7 @@ from wordmine.plans.lineage import materialize
 from wordmine.sources.tables import spread, table
 
 #: n-gram length; bits of the hashed features and their number; rank of the latent space; extra directions of the SVD.
-GRAM, BITS, RANK, EXTRA = 4, 14, 192, 16
+GRAM, BITS, RANK, EXTRA = 4, 14, 128, 16
 FEATURES = 1 << BITS
 #: Characters of the grid on which passages begin; characters of the passages that the SVD is fitted on.
 UNIT, FIT_CHARS = 16, 64
@@ -33,7 +33,7 @@ UNIT, FIT_CHARS = 16, 64
 #: counted, indexed and searched.
 FIT, FIT_TASKS = 1024, 2
 #: Least cosine of a candidate; least shares of common words and of key terms in a paraphrase.
-NEAR, COMMON, KEYS = 0.7, 0.6, 0.6
+NEAR, COMMON, KEYS = 0.75, 0.6, 0.6
 #: Items with a span of fewer characters hold too few n-grams for a latent space; their spans are looked up as they are.
 SHORT = UNIT
 #: Characters of test items in one block, and of documents searched at once.
@@ -153,7 +153,7 @@ class Space:
         return out
 
     def add_items(self) -> None:
-        """Segments of every item, of the length of its class of passages and at every fourth of it."""
+        """Half overlapping segments of every item, as long as the passages of its class."""
         by: dict[int, list[int]] = {}
         for k, item in enumerate(self.items):
             if item.least >= SHORT:
@@ -164,7 +164,7 @@ class Space:
                 rows = self.basis[gram_buckets(_codes("".join(self.items[k].words)))]
                 total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype=np.float64)])
                 size = m * UNIT - GRAM + 1
-                starts = np.unique(np.append(np.arange(0, max(1, len(rows) - size + 1), max(1, m * UNIT // 4)), max(0, len(rows) - size)))
+                starts = np.unique(np.append(np.arange(0, max(1, len(rows) - size + 1), m * UNIT // 2), max(0, len(rows) - size)))
                 vectors.append(total[np.minimum(starts + size, len(rows))] - total[starts])
                 owner.append(np.full(len(starts), k))
             self.classes.append((m, _normal(np.concatenate(vectors)).astype(np.float32), np.concatenate(owner)))
