@@ -25,7 +25,7 @@ from wordmine.plans.lineage import materialize
 from wordmine.sources.tables import spread, table
 
 #: n-gram length; bits of the hashed features and their number; rank of the latent space; extra directions of the SVD.
-GRAM, BITS, RANK, EXTRA = 4, 14, 128, 16
+GRAM, BITS, RANK, EXTRA = 4, 13, 128, 16
 FEATURES = 1 << BITS
 #: Characters of the grid on which passages begin; characters of the passages that the SVD is fitted on.
 UNIT, FIT_CHARS = 16, 64
@@ -127,6 +127,11 @@ def _grid(streams: list[str], gap: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([_codes(joined), np.zeros(GRAM - 1, np.uint32)]), units
 
 
+def whole(basis: np.ndarray) -> np.ndarray:
+    """A basis in whole numbers of 16 bits, small enough that ``UNIT`` of them can be added; what is lost is far below the noise of the space."""
+    return np.rint(basis * (32000 // UNIT / max(1e-9, float(np.abs(basis).max(initial=0))))).astype(np.int16)
+
+
 def _normal(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
 
@@ -135,12 +140,12 @@ def _normal(rows: np.ndarray) -> np.ndarray:
 class Space:
     """The latent space, and the segments of the items of a block in it by length of passage."""
 
-    basis: np.ndarray  # FEATURES + 1 rows, weighted by idf; the last is zero
+    basis: np.ndarray  # FEATURES + 1 rows of small whole numbers, weighted by idf; the last is zero
     items: list[Item]
     classes: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)  # units, segments, which item
 
     def units(self, codes: np.ndarray) -> np.ndarray:
-        """The vectors of all grid units, the sums of their n-grams; filler gives zeros."""
+        """The vectors of all grid units, the sums of their n-grams; filler gives zeros. No sum of ``UNIT`` rows leaves the range of 16 bits."""
         real = np.flatnonzero(codes[: len(codes) - GRAM + 1 : UNIT])
         grams = gram_buckets(codes).reshape(-1, UNIT)[real]
         out = np.zeros(((len(codes) - GRAM + 1) // UNIT, self.basis.shape[1]), np.float32)
@@ -446,7 +451,7 @@ def leaked(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, near:
             own = ["".join(i.words) for i in part]
             basis = latent_basis(materialize(chosen, "fit"), np.append(idf, np.float32(0)), own)
             basis = np.concatenate([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
-        space = Space(basis.astype(np.float32), part)
+        space = Space(whole(basis), part)
         for item in part:
             item.keys = key_terms(item, idf)
         space.add_items()
