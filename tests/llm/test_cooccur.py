@@ -24,7 +24,7 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     both = Counter(p for s in sets for p in combinations(sorted(s), 2))
     n = len(data)
     monkeypatch.setattr(C, "FLUSH", 7)
-    got = {(r.item_a, r.item_b): r for r in C.pair_statistics(_sets(spark, data), spark.createDataFrame([(n,)], "n bigint")).collect()}
+    got = {(r.item_a, r.item_b): r for r in C.pair_statistics(C.stripe_counts(_sets(spark, data)), spark.createDataFrame([(n,)], "n bigint")).collect()}
     assert {k: r.n_ab for k, r in got.items()} == dict(both)
     for (a, b), r in got.items():
         assert (r.n_a, r.n_b) == (single[a], single[b]) and math.isclose(r.lift, both[a, b] * n / (single[a] * single[b]))
@@ -37,5 +37,14 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
 def test_frequent_pairs_thresholds(spark):
     data = [["a", "b"]] * 5 + [["c", "d"]] * 4 + [["e"]] * 20
     n = spark.createDataFrame([(29,)], "n bigint")
-    assert [(r.item_a, r.item_b) for r in C.frequent_pairs(_sets(spark, data), n).collect()] == [("a", "b")]
-    assert C.frequent_pairs(_sets(spark, [["a", "b"]]).limit(0), n).count() == 0
+    assert [(r.item_a, r.item_b) for r in C.frequent_pairs(C.stripe_counts(_sets(spark, data)), n).collect()] == [("a", "b")]
+    assert C.frequent_pairs(C.stripe_counts(_sets(spark, [["a", "b"]]).limit(0)), n).count() == 0
+
+
+def test_level_decides_where_support_is_weak(spark):
+    data = [["a", "b"]] + [["a"]] * 3 + [["b"]] * 3 + [["c", "d"]] * 3 + [["x"]] * 10
+    n = spark.createDataFrame([(20,)], "n bigint")
+    counts = C.stripe_counts(_sets(spark, data))
+    pairs = lambda level: {(r.item_a, r.item_b) for r in C.frequent_pairs(counts, n, 1, 500, 1, level).collect()}
+    assert pairs(0.0) == {("a", "b"), ("c", "d")} and pairs(C.LEVEL) == {("c", "d")}
+    assert {(r.item_a, r.significant) for r in C.pair_statistics(counts, n).collect()} == {("a", False), ("c", True)}

@@ -2,7 +2,8 @@
 
 Each task folds its records into stripes, one associative array of neighbours for every item, and sends an item's
 stripe in blocks of neighbours. Blocks of the same item are merged by key, entry by entry; no task ever holds all
-neighbours, or all records, of a frequent item. Item counts travel as the stripe's own entry.
+neighbours, or all records, of a frequent item. Item counts travel as the stripe's own entry. Whether two items come
+together more often than chance is decided by the log-likelihood ratio at a stated level of significance.
 """
 
 from __future__ import annotations
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 
 from wordmine.llm.lookalike import consistent
 from wordmine.llm.records import is_blank
+from wordmine.plans.lineage import materialize
 from wordmine.sources.tables import table
 
 #: Entries a task holds before it sends its stripes on, and entries in one sent block.
 FLUSH, BLOCK = 1_000_000, 4096
+#: Least log-likelihood ratio of a pair that isn't chance: the 95 % point of its distribution, chi-square with one degree of freedom.
+LEVEL = 3.841
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _TAG = re.compile(r"#([^\W]+)")
@@ -80,11 +84,12 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stripe_counts(sets: DataFrame) -> DataFrame:
     """``(item, near, n)``: in how many of the ``items`` arrays both occur, ``item <= near``; equal names give the item's own count.
 
-    Null arrays and null items count for nothing, repeats within an array once.
+    Null arrays and null items count for nothing, repeats within an array once. The counts are kept in the shared
+    folder, for they are read several times.
     """
     blocks = sets.select("items").mapInArrow(_stripes, "item string, stripe map<string,bigint>")
     entries = blocks.select("item", F.explode("stripe").alias("near", "n"))
-    return entries.groupBy("item", "near").agg(F.sum("n").alias("n"))
+    return materialize(entries.groupBy("item", "near").agg(F.sum("n").alias("n")), "stripes")
 
 
 def _part(n: Column) -> Column:
@@ -98,40 +103,35 @@ def log_likelihood(ab: Column, a: Column, b: Column, n: Column) -> Column:
     return 2 * (cells - _part(a) - _part(n - a) - _part(b) - _part(n - b) + _part(n))
 
 
-def pair_statistics(sets: DataFrame, n: DataFrame) -> DataFrame:
-    """``(item_a, item_b, n_ab, n_a, n_b, lift, llr)`` of all pairs of the ``items`` arrays; ``n`` has one row ``n``, the number of records.
+def pair_statistics(counts: DataFrame, n: DataFrame, level: float = LEVEL) -> DataFrame:
+    """``(item_a, item_b, n_ab, n_a, n_b, n_all, lift, llr, significant)`` of all pairs of ``stripe_counts``; ``n`` has one row ``n``, the number of records.
 
-    ``lift`` is ``n_ab * n / (n_a * n_b)``. ``item_a < item_b`` by code point.
+    ``lift`` is ``n_ab * n / (n_a * n_b)``. ``significant`` is true where a pair comes more often than chance by a
+    log-likelihood ratio of at least ``level``. ``item_a < item_b`` by code point.
     """
-    counts = stripe_counts(sets)
     own = counts.where("item = near").select("item", F.col("n").alias("own"))
     pairs = counts.where("item < near").select(F.col("item").alias("item_a"), F.col("near").alias("item_b"), F.col("n").alias("n_ab"))
     full = pairs.join(own.select(F.col("item").alias("item_a"), F.col("own").alias("n_a")), "item_a").join(own.select(F.col("item").alias("item_b"), F.col("own").alias("n_b")), "item_b")
-    full = full.crossJoin(F.broadcast(n.select(F.col("n").alias("n_all"))))
+    full = full.crossJoin(F.broadcast(n.select(F.col("n").alias("n_all"))))  # one row
     lift = F.col("n_ab").cast("double") * F.col("n_all") / (F.col("n_a").cast("double") * F.col("n_b"))
     llr = log_likelihood(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n_all"))
-    return full.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_all", lift.alias("lift"), llr.alias("llr"))
+    return full.withColumn("lift", lift).withColumn("llr", llr).withColumn("significant", (F.col("lift") > 1) & (F.col("llr") >= level))
 
 
-def frequent_pairs(sets: DataFrame, n: DataFrame, least: int = 5, share: int = 500, ratio: int = 4) -> DataFrame:
-    """The pairs found in at least ``least`` records and a ``share``-th of all, ``ratio`` times as often as by chance.
+def frequent_pairs(counts: DataFrame, n: DataFrame, least: int = 5, share: int = 500, ratio: int = 4, level: float = LEVEL) -> DataFrame:
+    """The significant pairs found in at least ``least`` records and a ``share``-th of all, ``ratio`` times as often as by chance.
 
-    Both counts are exact before anything is dropped: a pair is left out only by its own total. Chance is exceeded in
-    the sense of the log-likelihood ratio as well, which any pair of such lift and support satisfies.
+    Counts are exact before anything is dropped: a pair is left out only by its own total. With the numbers given here
+    the least ratio a pair can have is 6.3, so ``LEVEL`` confirms them; with weaker support it decides.
     """
-    counts = stripe_counts(sets)
-    own = counts.where("item = near").select("item", F.col("n").alias("own"))
-    pairs = counts.where(f"item < near AND n >= {least}").crossJoin(F.broadcast(n.select(F.col("n").alias("n_all")))).where(f"n * {share} >= n_all")
-    pairs = pairs.select(F.col("item").alias("item_a"), F.col("near").alias("item_b"), F.col("n").alias("n_ab"), "n_all")
-    full = pairs.join(own.select(F.col("item").alias("item_a"), F.col("own").alias("n_a")), "item_a").join(own.select(F.col("item").alias("item_b"), F.col("own").alias("n_b")), "item_b")
     wide = [F.col(c).cast("decimal(19,0)") for c in ("n_ab", "n_all", "n_a", "n_b")]
-    full = full.where(wide[0] * wide[1] >= wide[2] * wide[3] * ratio)
-    return full.withColumn("llr", log_likelihood(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n_all"))).where("llr > 0")
+    enough = (F.col("n_ab") >= least) & (F.col("n_ab") * share >= F.col("n_all")) & (wide[0] * wide[1] >= wide[2] * wide[3] * ratio)
+    return pair_statistics(counts, n, level).where(enough & F.col("significant"))
 
 
 def _articles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     articles = table(spark, folder, "text", "_c0", "NEWS").where(~is_blank(F.col("NEWS")))
-    return hashtag_sets(articles, "NEWS"), articles.agg(F.count(F.lit(1)).alias("n"))
+    return stripe_counts(hashtag_sets(articles, "NEWS")), articles.agg(F.count(F.lit(1)).alias("n"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,8 +140,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair of hashtags with its common articles, ratio to chance and log-likelihood ratio."""
-    return pair_statistics(*_articles(spark, folder)).select("item_a", "item_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
+    """Every pair of hashtags with its common articles, ratio to chance, log-likelihood ratio and whether that is significant."""
+    return pair_statistics(*_articles(spark, folder)).select("item_a", "item_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"), "significant")
 
 
 QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs}
