@@ -1,22 +1,25 @@
 """Frequencies of every distinct term, kept up to date by signed changes.
 
-The counts live in a table ``(term, n_total, n_records)`` split by a hash of the term. A batch of changed records
-becomes signed rows, +1 for a version that enters and -1 for one that leaves; only those are tokenised, summed per
-term and merged into the stored counts, so the work follows the changes and not the collection.
+The counts live in a table ``(term, n_total, n_records)`` split by a hash of the term into parts whose number follows
+the number of terms. A batch of changed records becomes signed rows, +1 for a version that enters and -1 for one that
+leaves; only those are tokenised and summed per term. Merging reads and writes the parts that hold a changed term and
+leaves all others where they are. The row without a term counts the records themselves.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordmine.llm.records import BLANKS, is_blank, records
-from wordmine.plans.lineage import materialize, shared_dir
+from wordmine.plans.lineage import materialize
 from wordmine.sources.tables import table
 
-PARTS = 64
+#: Terms in one part of the stored counts, on average.
+PART_TERMS = 250_000
+COUNTS = "term string, n_total bigint, n_records bigint"
 
 
 def tokens(body: Column) -> Column:
@@ -24,16 +27,6 @@ def tokens(body: Column) -> Column:
     return F.filter(F.split(body, f"[{BLANKS}]+"), lambda t: t != "")
 
 
-def latest(df: DataFrame, key: str, body: str, order: str | None = None) -> DataFrame:
-    """One row per ``key`` as ``(key, body)``: that with the greatest ``order`` (nulls first, then the greater body).
-
-    Rows with a null key are separate records and all kept. An empty table gives an empty table.
-    """
-    rank = F.struct(F.col(order) if order else F.lit(0), F.col(body))
-    keyed = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(rank).getField(body).alias("body"))
-    return keyed.select(F.col(key).alias("key"), "body").unionByName(df.where(F.col(key).isNull()).select(F.col(key).alias("key"), F.col(body).alias("body")))
-
-
 def signed_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """``(body, sign)`` that turn the records ``old`` into ``new``, both ``(key, body)`` with unique keys.
 
@@ -46,16 +39,21 @@ def signed_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(F.explode(sides).alias("x")).select("x.body", "x.sign").where(F.col("body").isNotNull())
 
 
-def term_deltas(changes: DataFrame) -> DataFrame:
-    """Signed ``(term, n_total, n_records)`` of ``(body, sign)`` rows. Blank bodies give no row.
+def term_deltas(changes: DataFrame, records_too: bool = False) -> DataFrame:
+    """Signed ``(term, n_total, n_records)`` of ``(body, sign)`` rows, for each ``batch`` if there is such a column. Blank bodies give no row.
 
     Within a record equal tokens are made neighbours by sorting, so its first of each kind can be told without a
-    second grouping; both counts come from one map-side combined aggregate keyed by the term alone.
+    second grouping; both counts come from one map-side combined aggregate. With ``records_too`` the row of the null
+    term counts the records.
     """
-    sorted_ = changes.where(~is_blank(F.col("body"))).select("sign", F.sort_array(tokens(F.col("body"))).alias("t"))
+    by = [c for c in changes.columns if c == "batch"]
+    sorted_ = changes.where(~is_blank(F.col("body"))).select(*by, "sign", F.sort_array(tokens(F.col("body"))).alias("t"))
     marked = F.transform(F.col("t"), lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(F.col("t"), i - 1) == x), 0).otherwise(1).alias("first")))
-    each = sorted_.select("sign", F.explode(marked).alias("x"))
-    return each.groupBy(F.col("x.term").alias("term")).agg(F.sum("sign").cast("bigint").alias("n_total"), F.sum(F.col("sign") * F.col("x.first")).cast("bigint").alias("n_records"))
+    if records_too:
+        marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first"))), marked)
+    each = sorted_.select(*by, "sign", F.explode(marked).alias("x"))
+    sums = F.sum("sign").cast("bigint").alias("n_total"), F.sum(F.col("sign") * F.col("x.first")).cast("bigint").alias("n_records")
+    return each.groupBy(*by, F.col("x.term").alias("term")).agg(*sums)
 
 
 def merge_counts(counts: DataFrame | None, *deltas: DataFrame) -> DataFrame:
@@ -68,82 +66,118 @@ def merge_counts(counts: DataFrame | None, *deltas: DataFrame) -> DataFrame:
     return summed.where((F.col("n_total") != 0) | (F.col("n_records") != 0))
 
 
-def store_counts(counts: DataFrame, label: str = "term-counts", parts: int = PARTS) -> DataFrame:
-    """Persist counts in the shared folder, in ``parts`` directories by the term's hash; gives the stored table."""
-    split = counts.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    return materialize(split.repartition("part"), label, by=["part"])
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+
+
+@dataclass(frozen=True)
+class CountStore:
+    """Stored counts: the number of parts and, for each part that holds any term, the folder it lies in."""
 
+    spark: SparkSession
+    parts: int
+    folders: dict[int, str]
 
-def record_delta(changes: DataFrame) -> DataFrame:
-    """The signed number of non-blank records, one row ``n``."""
-    return changes.where(~is_blank(F.col("body"))).agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("bigint").alias("n"))
+    @staticmethod
+    def create(counts: DataFrame, part_terms: int = PART_TERMS) -> CountStore:
+        """A store with the counts ``(term, n_total, n_records)``; they are kept in the shared folder once more, to be counted."""
+        held = materialize(counts.select("term", "n_total", "n_records"), "counts")
+        parts = max(1, -(-held.count() // part_terms))
+        return CountStore(counts.sparkSession, parts, {}).apply(held)
 
+    def read(self, parts: list[int] | None = None) -> DataFrame:
+        """The counts of the given parts, or of all."""
+        folders = [self.folders[p] for p in (self.folders if parts is None else parts) if p in self.folders]
+        return self.spark.read.schema(COUNTS).parquet(*folders) if folders else self.spark.createDataFrame([], COUNTS)
 
-def mark(counts: DataFrame, n: DataFrame, rare_at_most: int = 1, common_share: int = 10) -> DataFrame:
-    """``counts`` with ``mark``: ``rare`` up to ``rare_at_most`` records, ``common`` from 1/``common_share`` of the ``n`` records, else null.
+    def apply(self, delta: DataFrame) -> CountStore:
+        """A store with the signed changes merged in. Only parts that hold a changed term are read and written; the old store stays as it is."""
+        real = delta.where("n_total <> 0 OR n_records <> 0")
+        split = materialize(real.select("term", "n_total", "n_records").withColumn("part", _part(self.parts)).repartition("part"), "term-changes", by=["part"])
+        touched = sorted(r.part for r in split.select("part").distinct().collect())  # as many as there are parts
+        merged = merge_counts(self.read(touched), split).withColumn("part", _part(self.parts)).repartition("part")
+        path, written = materialize_parts(merged, "term-counts")
+        kept = {p: f for p, f in self.folders.items() if p not in set(touched)}
+        return CountStore(self.spark, self.parts, kept | {p: f"{path}/part={p}" for p in written})
 
-    A term that is both counts as rare. ``n`` has one row, so the join sends a single number to the tasks.
+
+def materialize_parts(df: DataFrame, label: str) -> tuple[str, list[int]]:
+    """Write ``df`` by its column ``part``; the folder, and the parts that hold rows."""
+    stored = materialize(df, label, by=["part"])
+    found = [r.part for r in stored.select("part").distinct().collect()]
+    path = stored.inputFiles()[0].rsplit("/part=", 1)[0] if found else ""
+    return path, sorted(found)
+
+
+def mark(counts: DataFrame, rare_at_most: int = 1, common_share: int = 10) -> DataFrame:
+    """``counts`` with ``mark``: ``rare`` up to ``rare_at_most`` records, ``common`` from 1/``common_share`` of all records, else null.
+
+    The number of records is that of the null term, one row, which is the only one sent to the tasks. A term that is
+    both counts as rare.
     """
+    n = counts.where("term IS NULL").agg(F.coalesce(F.max("n_records"), F.lit(0)).alias("n"))
     rare = F.col("n_records") <= rare_at_most
     common = F.col("n_records") * common_share >= F.col("n")
-    return counts.crossJoin(F.broadcast(n)).select("term", F.when(rare, "rare").when(common, "common").alias("mark"), "n_total", "n_records")
+    words = counts.where("term IS NOT NULL").crossJoin(F.broadcast(n))
+    return words.select("term", F.when(rare, "rare").when(common, "common").alias("mark"), "n_total", "n_records")
 
 
-def arrivals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The records of both tables as signed changes ``(body, sign)`` in three batches: text, the prompt deliveries of longtext, the late ones.
+def versions(rows: DataFrame) -> DataFrame:
+    """Deliveries ``(src, key, body, at, late)`` as signed changes ``(batch, body, sign)``: batch 0 are the prompt ones, batch 1 what the late ones change.
 
-    Late is what was loaded more than a day after publication. Of two deliveries of a record the later counts, so a
-    late one takes back the version before. Late rows without a key are records of their own.
+    Of several deliveries of a record that with the greatest ``at`` counts (nulls least, then the greater body). In
+    batch 1 a late one enters and the version before leaves; where both have equal bodies that cancels when terms are
+    summed. Rows without a key are records of their own. Bodies are shuffled once, by their record.
     """
-    text = latest(table(spark, folder, "text", "_c0", "NEWS"), "_c0", "NEWS")
+    by = Window.partitionBy("src", "key").orderBy(F.col("at").desc_nulls_last(), F.col("body").desc_nulls_last())
+    prompt = ~F.col("late")
+    prompts = F.sum(prompt.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    keyed = rows.where("key IS NOT NULL").select("body", "late", F.row_number().over(by).alias("place"), prompts.alias("prompts"))
+    first, last = (prompt & (F.col("prompts") == 1)).cast("int"), (F.col("place") == 1).cast("int")
+    flags = keyed.select("body", first.alias("first"), (last - first).alias("change"))
+    loose = rows.where("key IS NULL").select("body", prompt.cast("int").alias("first"), F.col("late").cast("int").alias("change"))
+    both = flags.select("body", "first", "change").unionByName(loose)
+    each = F.array(F.struct(F.lit(0).alias("batch"), F.col("first").alias("sign")), F.struct(F.lit(1).alias("batch"), F.col("change").alias("sign")))
+    return both.select("body", F.explode(F.filter(each, lambda x: x["sign"] != 0)).alias("x")).select("x.batch", "body", "x.sign")
+
+
+def deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of both tables as ``(src, key, body, at, late)``; late is what was loaded more than a day after publication."""
+    text = table(spark, folder, "text", "_c0", "NEWS").select(F.lit("text").alias("src"), F.col("_c0").alias("key"), F.col("NEWS").alias("body"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(False).alias("late"))
+    late = F.coalesce(F.col("load_ts") > F.col("pub_ts") + F.expr("INTERVAL 1 DAY"), F.lit(False))
     rows = table(spark, folder, "longtext", "row_no", "NEWS_BODY", "pub_ts", "load_ts")
-    is_late = F.coalesce(F.col("load_ts") > F.col("pub_ts") + F.expr("INTERVAL 1 DAY"), F.lit(False))
-    late, prompt = rows.where(is_late), rows.where(~is_late)
-    touched = late.where("row_no IS NOT NULL").select("row_no").distinct()
-    newest = lambda df: latest(df, "row_no", "NEWS_BODY", "load_ts")
-    before = newest(prompt.join(touched, "row_no", "left_semi"))
-    after = newest(rows.join(touched, "row_no", "left_semi").unionByName(late.where("row_no IS NULL")))
-    loads = [x.select("body", F.lit(1).alias("sign")) for x in (text, newest(prompt))]
-    return loads[0], loads[1], signed_changes(before, after)
+    return text.unionByName(rows.select(F.lit("longtext").alias("src"), F.col("row_no").alias("key"), F.col("NEWS_BODY").alias("body"), F.col("load_ts").alias("at"), late.alias("late")))
 
 
-def _counts(batches: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """Counts after all batches: the first load is stored, the signed changes of the late batch are merged into it."""
-    text, prompt, late = map(term_deltas, batches)
-    return merge_counts(store_counts(merge_counts(None, text, prompt)), late)
+def _stored(rows: DataFrame) -> CountStore:
+    """Counts after both batches: the first load is stored, the signed changes of the late batch are merged into it."""
+    deltas = materialize(term_deltas(versions(rows), records_too=True), "term-deltas", by=["batch"])
+    return CountStore.create(deltas.where("batch = 0")).apply(deltas.where("batch = 1"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The rare and common terms of both article tables, see TESTDATA.md."""
-    batches = arrivals(spark, folder)
-    n = reduce(DataFrame.unionByName, map(record_delta, batches)).agg(F.sum("n").alias("n"))
-    return mark(_counts(batches), n).where(F.col("mark").isNotNull()).select("term", "mark", "n_total", "n_records")
+    return mark(_stored(deliveries(spark, folder)).read()).where(F.col("mark").isNotNull()).select("term", "mark", "n_total", "n_records")
 
 
 def p3_terms(spark: SparkSession, folder: str) -> DataFrame:
     """All terms of both article tables with their counts."""
-    return _counts(arrivals(spark, folder))
+    return _stored(deliveries(spark, folder)).read().where("term IS NOT NULL")
 
 
 def p3_increment(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of ``longtext`` after three versions: the prompt deliveries, then the late ones, then a withdrawal.
 
-    The late batch holds the rows loaded more than a day after publication, the withdrawal takes back the records
-    of publishers without a code. Each version is stored and only its changes are counted, so the result must equal
-    a full count of what is left.
+    The withdrawal takes back the records of publishers without a code. Each version is stored and only its changes are
+    counted and merged, so the result must equal a full count of what is left. Records without a key are kept.
     """
-    rows = table(spark, folder, "longtext", "row_no", "NEWS_BODY", "press_cd", "pub_ts", "load_ts")
-    key = F.col("row_no").isNotNull()
-    late = F.coalesce(F.col("load_ts") > F.col("pub_ts") + F.expr("INTERVAL 1 DAY"), F.lit(False))
-    empty = latest(rows.where(F.lit(False)), "row_no", "NEWS_BODY", "load_ts")
-    prompt = latest(rows.where(key & ~late), "row_no", "NEWS_BODY", "load_ts")
-    counts = store_counts(merge_counts(None, term_deltas(signed_changes(empty, prompt))))
-    touched = rows.where(key & late).select("row_no").distinct()
-    before = latest(rows.where(key & ~late).join(touched, "row_no", "left_semi"), "row_no", "NEWS_BODY", "load_ts")
-    after = latest(rows.where(key).join(touched, "row_no", "left_semi"), "row_no", "NEWS_BODY", "load_ts")
-    counts = store_counts(merge_counts(counts, term_deltas(signed_changes(before, after))))
-    gone = latest(rows.where(key & F.col("press_cd").isNull()), "row_no", "NEWS_BODY", "load_ts")
-    return merge_counts(counts, term_deltas(signed_changes(gone, empty)))
+    rows = deliveries(spark, folder).where("src = 'longtext'")
+    gone = table(spark, folder, "longtext", "row_no", "NEWS_BODY", "press_cd", "load_ts").where("press_cd IS NULL")
+    by = Window.partitionBy("row_no").orderBy(F.col("load_ts").desc_nulls_last(), F.col("NEWS_BODY").desc_nulls_last())
+    keyed = gone.where("row_no IS NOT NULL").withColumn("place", F.row_number().over(by)).where("place = 1")
+    taken = keyed.select("NEWS_BODY").unionByName(gone.where("row_no IS NULL").select("NEWS_BODY"))
+    withdrawn = term_deltas(taken.select(F.col("NEWS_BODY").alias("body"), F.lit(-1).alias("sign")))
+    return _stored(rows).apply(withdrawn).read().where("term IS NOT NULL")
 
 
 QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p3_increment": p3_increment}
