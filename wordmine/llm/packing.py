@@ -1,10 +1,11 @@
 """Items of varying length in containers of fixed capacity, by vector best-fit.
 
 Every container has three residuals, tokens, documents and attention cost (the sum of squared part lengths). An item
-may only go where all three allow it, except that one too costly for any bin has a bin to itself, and of these bins it takes the one with the best score: the smallest weighted
-norm of what is left, or the greatest weighted dot product of item and residual. Items come largest first. The items
-are split by a hash of their id into groups of bounded size that are packed on their own, so the number of tasks
-follows the data and only the last bins of each group can stay loose.
+may only go where all three allow it, except that one too costly for any bin has a bin to itself, and of these bins it
+takes the one with the best score: the smallest weighted norm of what is left, or the greatest weighted dot product of
+item and residual. Items come largest first. The items are split by a hash of their id into groups of bounded size that
+are packed on their own, so the number of tasks follows the data. No bin holds items of two groups: only the last bins of
+each group can stay loose, one or two in some thousand, which is what packing groups apart costs.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def best_fit(sizes: np.ndarray, capacity: int, most_docs: int = MOST_DOCS, atten
 
 def divide(sizes: DataFrame, capacities: DataFrame) -> DataFrame:
     """``(capacity, doc_id, part, n_parts, begin, size)``: every document whole, or in full parts and a rest if it exceeds the capacity."""
-    each = sizes.crossJoin(F.broadcast(capacities))
+    each = sizes.crossJoin(capacities)  # sent to the tasks only if Spark's own limit for broadcasts allows it
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity"))).cast("int")
     rows = each.withColumn("n_parts", parts).select("capacity", "doc_id", "n", "n_parts", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
     begin = F.col("part") * F.col("capacity")
@@ -149,8 +150,27 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return total.withColumn("unused", 1 - F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")))
 
 
-QUERIES = {"p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill}
+def p6_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """What the packing placed of each document in bins of each capacity: tokens, parts, and different places of parts."""
+    placed = pack(*_inputs(spark, folder)).groupBy("capacity", "doc_id")
+    return placed.agg(F.sum("size").alias("n_tokens"), F.count(F.lit(1)).alias("n_parts"), F.count_distinct("begin").alias("n_places"))
+
+
+def p6_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity the bins that exceed it in tokens, documents, or attention cost beside another item; none may."""
+    packed = pack(*_inputs(spark, folder))
+    cost = F.sum(F.col("size") * F.col("size"))
+    bins = packed.groupBy("capacity", "bin").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("n"), cost.alias("cost"))
+    over = (F.col("used") > F.col("capacity")).cast("bigint"), (F.col("n") > MOST_DOCS).cast("bigint"), ((F.col("n") > 1) & (F.col("cost") > ATTENTION * F.col("capacity") * F.col("capacity"))).cast("bigint")
+    return bins.groupBy("capacity").agg(F.sum("used").alias("n_tokens"), *[F.sum(x).alias(name) for x, name in zip(over, ("over_tokens", "over_docs", "over_cost"))])
+
+
+QUERIES = {"p6_placed": p6_placed, "p6_limits": p6_limits, "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill}
+_SIZES = """sizes AS (SELECT doc_id, max(octet_length(encode(text))) AS n FROM documents WHERE doc_id IS NOT NULL AND text <> '' GROUP BY doc_id),
+caps AS (SELECT DISTINCT capacity FROM containers WHERE capacity > 0)"""
 ORACLES = {
     "p6_found": """SELECT DISTINCT c.capacity, d.doc_id FROM documents d, containers c
 WHERE d.doc_id IS NOT NULL AND octet_length(encode(d.text)) > c.capacity AND c.capacity > 0""",
+    "p6_placed": f"""WITH {_SIZES} SELECT capacity, doc_id, n AS n_tokens, ceil(n::DOUBLE / capacity)::BIGINT AS n_parts, ceil(n::DOUBLE / capacity)::BIGINT AS n_places FROM sizes, caps""",
+    "p6_limits": f"""WITH {_SIZES} SELECT capacity, sum(n)::BIGINT AS n_tokens, 0::BIGINT AS over_tokens, 0::BIGINT AS over_docs, 0::BIGINT AS over_cost FROM sizes, caps GROUP BY capacity""",
 }
