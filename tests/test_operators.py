@@ -242,5 +242,68 @@ def test_nothing_is_cut_from_very_long_text(spark):
 def test_all_spacings_keep_short_and_long_words(spark, tmp_path):
     words = ["가", "가나", "가나다라마바사", "가나다라마바사아자차카타파", None]
     spark.createDataFrame([(w, "NNG") for w in words], "surface string, tag string").write.parquet(f"{tmp_path}/lexicon.parquet")
-    got = {r["word"]: r["n"] for r in catalogue.spacings_all(spark, str(tmp_path)).groupBy("word").agg(F.countDistinct("way").alias("n")).collect()}
+    got = {r["word"]: r["n"] for r in catalogue.spacings(spark, str(tmp_path)).groupBy("word").agg(F.countDistinct("way").alias("n")).collect()}
     assert got == {"가": 1, "가나": 2, "가나다라마바사": 64, "가나다라마바사아자차카타파": 1}
+
+
+def test_words_are_literal_in_patterns(spark):
+    df = spark.createDataFrame([(r"a \\E b \\E c", r"\\E"), ("x.y x.y", "x.y")], "t string, w string")
+    got = [r[0] for r in df.select(measures.all_contexts(F.col("t"), F.col("w"))).collect()]
+    assert got[0].count("<") == 2 and got[1].count("<x.y>") == 2
+
+
+def test_occurrences_of_any_length(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 5, 9, 20, 40]))) for _ in range(40)] + ["", None]
+    needles = sorted({t[i : i + k] for t in vocab if t for k in (1, 2, 7, 8, 9, 15, 16, 17, 33) for i in (0, 3) if len(t[i : i + k]) == k})
+    got = rows(counts.occurrences(spark.createDataFrame([(v,) for v in vocab], "token string"), spark.createDataFrame([(n,) for n in needles], "needle string"), 1))
+    assert got == sorted((t, n, t.count(n)) for t in {v for v in vocab if v} for n in needles if n in t)
+    long = spark.createDataFrame([("xy" * 10000,)], "token string")
+    assert rows(counts.occurrences(long, spark.createDataFrame([("yx",), ("xy" * 30,)], "needle string"))) == [("xy" * 10000, "xy" * 30, 333), ("xy" * 10000, "yx", 9999)]
+
+
+def test_pairs_count_by_either_text(spark):
+    docs = spark.createDataFrame([(1, "가(x)나 가(y)나 가나", "가나 가나 가나")], "doc_id bigint, clean string, bare string")
+    pairs = spark.createDataFrame([(1, "가", "나")], "doc_id bigint, a string, b string")
+    assert rows(compound.with_counts(pairs, docs)) == [] and rows(compound.with_counts(pairs, docs, also="bare")) == [(1, "가", "나", 1)]
+
+
+def test_noun_orders(spark):
+    nouns = spark.createDataFrame([(1, 0, "가"), (1, 1, "가나다"), (1, 2, "라"), (1, 3, "나다"), (2, 0, "가")], "doc_id bigint, ord int, noun string")
+    assert [r[2] for r in rows(compound.with_order(nouns)) if r[0] == 1] == ["가나다", "라", "가", "나다"]
+    assert [r[2] for r in rows(compound.longest_first(nouns)) if r[0] == 1] == ["가나다", "나다", "가", "라"]
+
+
+def test_surroundings_and_fallback(spark):
+    row = spark.createDataFrame([("0123456789ab가cd가e",)], "t string")
+    assert row.select(measures.surroundings(F.col("t"), F.lit("가"))).first()[0] == "23456789ab" + "cd가e" + "456789abcd" + "e"
+    got = row.select(measures.pmi_any_spacing(F.lit("a b a b"), [F.lit("a"), F.lit("b")], F.lit(0), [F.lit(2), F.lit(2)], F.lit(4))).first()[0]
+    assert got == pytest.approx(math.log((2 / 4) / (2 / 4 * 2 / 4)))
+
+
+def test_discover_uses_the_corpus_and_takes_nouns_in_order(spark, lexicon):
+    docs = tokens.documents(spark.createDataFrame([(1, "우주선이 우주선을 우주선은 떴다. 우주선 발사대가 발사대는 섰다.")], "doc_id bigint, text string"), "discovery")
+    corpus = tokens.documents(spark.createDataFrame([(k, "우주선의 발사대의 우주선도 발사대도") for k in range(5)], "doc_id bigint, text string"), "discovery")
+    alone, wide = ({r.noun for r in pipelines.discover_nouns(docs, corpus=c).collect()} for c in (None, corpus))
+    assert {"우주선", "발사대"} <= wide and "우주선" in alone
+    words = {(r.word, r.method) for r in pipelines.discover(docs, lexicon, -99, corpus=corpus).collect()}
+    assert ("우주선", "noun") in words and all(m in ("noun", "pairs", "chains") for _, m in words)
+
+
+def test_report_keeps_documents_together(spark, tmp_path):
+    report = spark.createDataFrame([(d, f"m{k}", k, float(k)) for d in range(40) for k in (1, 3, 2)], "doc_id bigint, match string, pct int, tfidf double")
+    io.write_report(report, str(tmp_path / "r"), buckets=4)
+    assert len(list((tmp_path / "r").glob("bucket=*"))) == 4
+    files = spark.read.option("header", True).csv(str(tmp_path / "r")).withColumn("f", F.input_file_name())
+    assert files.groupBy("doc_id").agg(F.count_distinct("f").alias("n")).where("n > 1").count() == 0 and files.count() == 120
+    assert [r.match for r in pipelines.report_order(report).where("doc_id = 7").collect()] == ["m3", "m2", "m1"]
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from wordmine.plans.lineage import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))

@@ -15,14 +15,15 @@ EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 URL = rf"(?:http|ftp|https)://(?:[-{WORD}.]|%[0-9a-fA-F]{{2}})+"
 JAMO = "[ㄱ-ㅎㅏ-ㅣ]+"
 TAG = "<[^>]*>"
+UNITS = r"[0-9]+[^\n][0-9]+%|[0-9]+[조억만천원년월달일시분위여건개층][0-9]*|[0-9]+거래일"
 SCRIPT = r"<script[^\n]*script>"
 KEEP = {"strict": "-/.", "search": "-/.&*+%$", "paren": "-/.()&*+%$"}
 
 #: The steps of each profile in their order.
 PROFILES: dict[str, tuple[str, ...]] = {
-    "compounder": ("nbsp", "strip", "email", "url", "jamo", "tag", "keep:strict", "indent", "breaks", "numbers", "upper", "collapse"),
-    "wordsplitter": ("nbsp", "strip", "email", "url", "jamo", "tag", "keep:paren", "dot_out", "indent", "breaks", "numbers", "upper", "collapse"),
-    "splitter": ("nbsp", "strip", "email", "url", "jamo", "tag", "keep:paren", "dot_space", "indent", "breaks", "units", "percent", "collapse", "empty_parens", "upper"),
+    "strict": ("nbsp", "strip", "email", "url", "jamo", "tag", "keep:strict", "indent", "breaks", "numbers", "upper", "collapse"),
+    "bracketed": ("nbsp", "strip", "email", "url", "jamo", "tag", "keep:paren", "dot_out", "indent", "breaks", "numbers", "upper", "collapse"),
+    "discovery": ("nbsp", "strip", "email", "url", "jamo", "tag", "keep:paren", "dot_space", "indent", "breaks", "units", "percent", "collapse", "empty_parens", "upper"),
     "search": ("nbsp", "email", "url", "jamo", "tag", "keep:search", "dot_space", "indent", "breaks", "collapse", "empty_parens", "upper"),
     "elbow": ("nbsp", "email", "script", "url", "jamo", "tag", "keep:search", "breaks", "collapse"),
     "article": ("nbsp", "email", "script", "url", "jamo", "tag", "keep:paren", "breaks", "collapse"),

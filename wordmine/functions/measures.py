@@ -12,6 +12,11 @@ def count_in(text: Column, needle: Column) -> Column:
     return F.when(F.length(needle) == 0, F.lit(0)).otherwise((removed / F.length(needle)).cast("bigint"))
 
 
+def literal(word: Column) -> Column:
+    """A pattern that matches exactly ``word``, whatever signs it holds."""
+    return F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def without_spaces(text: Column) -> Column:
     return F.replace(text, F.lit(" "), F.lit(""))
 
@@ -57,6 +62,11 @@ def pmi(joint: Column, counts: list[Column], n: Column) -> Column:
     return F.when(joint == 0, F.lit(0.0)).otherwise(F.ln(F.try_divide(F.try_divide(joint.cast("double"), n), chance)))
 
 
+def pmi_any_spacing(text: Column, parts: list[Column], joint: Column, counts: list[Column], n: Column) -> Column:
+    """``pmi`` whose joint count falls back to the occurrences in any spacing where the plain one is 0."""
+    return pmi(F.coalesce(F.nullif(joint, F.lit(0).cast("bigint")), count_any_spacing(text, parts)), counts, n)
+
+
 def geometric_mean(values: list[Column]) -> Column:
     product = F.lit(1.0)
     for v in values:
@@ -71,13 +81,6 @@ def match_percent(stripped: Column, registered: Column, match: Column, score: Co
     return F.when((F.length(match) == F.length(registered)) | (score < least), F.lit(-1)).otherwise(share)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers; null where one has no length."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    norm = [F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)) for v in (a, b)]
-    return F.try_divide(dot, norm[0] * norm[1])
-
-
 def first_context(text: Column, word: Column, radius: int = 10) -> Column:
     """``...left<word>right...`` around the first occurrence; null without one."""
     at = F.instr(text, word)
@@ -86,9 +89,23 @@ def first_context(text: Column, word: Column, radius: int = 10) -> Column:
     return F.when(at > 0, F.concat(F.lit("..."), left, F.lit("<"), word, F.lit(">"), right, F.lit("...")))
 
 
+def surroundings(text: Column, word: Column, radius: int = 10) -> Column:
+    """What stands within ``radius`` characters left and right of each occurrence, joined; an occurrence goes from the text before the next is looked for."""
+    start = F.struct(text.alias("rest"), F.lit("").alias("out"))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = F.instr(acc["rest"], word)
+        left = F.substring(acc["rest"], F.greatest(at - radius, F.lit(1)), F.least(at - 1, F.lit(radius)))
+        right = F.substring(acc["rest"], at + F.length(word), F.lit(radius))
+        rest = F.concat(F.substring(acc["rest"], F.lit(1), at - 1), F.substring(acc["rest"], at + F.length(word), F.length(acc["rest"])))
+        return F.when(at > 0, F.struct(rest.alias("rest"), F.concat(acc["out"], left, right).alias("out"))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(count_in(text, word), F.lit(1)).cast("int")), start, step)["out"]
+
+
 def all_contexts(text: Column, word: Column, radius: int = 10) -> Column:
     """All occurrences in context, joined by ``...``; occurrences are literal and don't overlap, contexts may."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")))
+    parts = F.split(text, literal(word))
     ends = F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     offsets = F.aggregate(
         ends,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordmine.functions.measures import count_in, geometric_mean, pmi, without_spaces
+from wordmine.functions.measures import count_in, geometric_mean, literal, pmi, pmi_any_spacing, without_spaces
+from wordmine.operators.counts import occurrences
 
 
 def bigrams(occ: DataFrame) -> DataFrame:
@@ -27,11 +28,30 @@ def first_seen(grams: DataFrame) -> DataFrame:
     return seen.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).alias("ord"), "a", "b")
 
 
-def with_counts(pairs: DataFrame, docs: DataFrame, text: str = "clean", least: int = 2, spaceless: bool = True) -> DataFrame:
-    """``pairs`` with ``n``, how often the joined words occur in the document's text (without its spaces), at least ``least``."""
-    target = docs.select("doc_id", (without_spaces(F.col(text)) if spaceless else F.col(text)).alias("target"))
-    counted = pairs.join(target, "doc_id").withColumn("n", count_in(F.col("target"), F.concat("a", "b")))
-    return counted.where(F.col("n") >= least).drop("target")
+def beside(rows: DataFrame, docs: DataFrame, **found) -> DataFrame:
+    """``rows`` of each document with columns computed from the document's text, which meets all of them at once.
+
+    The rows of a document travel as one array, so a text is shuffled once and not once for each row. ``found`` gives
+    each new column as a function of the row, which may use the columns of ``docs``.
+    """
+    names = [c for c in rows.columns if c != "doc_id"]
+    lists = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    made = F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in names], *[f(r).alias(c) for c, f in found.items()]))
+    return lists.join(docs, "doc_id").select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*")
+
+
+def with_counts(pairs: DataFrame, docs: DataFrame, text: str = "clean", least: int = 2, spaceless: bool = True, also: str | None = None) -> DataFrame:
+    """``pairs`` with ``n``, how often the joined words occur in the document's text (without its spaces), at least ``least``.
+
+    ``also`` names a second text, such as one without brackets; a pair then counts by the text in which it occurs more,
+    but ``n`` stays its number in the first.
+    """
+    bare = (lambda c: without_spaces(F.col(c))) if spaceless else F.col
+    target = docs.select("doc_id", bare(text).alias("_target"), *([bare(also).alias("_also")] if also else []))
+    count = lambda c: lambda r: count_in(F.col(c), F.concat(r["a"], r["b"]))
+    found = {"n": count("_target")} | ({"_more": count("_also")} if also else {})
+    counted = beside(pairs, target, **found)
+    return counted.where(F.greatest("n", "_more") >= least).drop("_more") if also else counted.where(F.col("n") >= least)
 
 
 def positions(text: Column, needle: Column) -> Column:
@@ -43,7 +63,7 @@ def positions(text: Column, needle: Column) -> Column:
     size, n = F.length(needle), F.length(text) - F.length(needle) + 1
     border = F.exists(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: (size > 1) & (F.substring(needle, F.lit(1), k) == F.substring(needle, size - k + 1, k)))
     everywhere = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, size) == needle)
-    pieces = F.split(text, F.concat(F.lit("\\Q"), needle, F.lit("\\E")))
+    pieces = F.split(text, literal(needle))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
     walked = F.aggregate(
         F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
@@ -53,17 +73,18 @@ def positions(text: Column, needle: Column) -> Column:
     return F.when(n < 1, F.array().cast("array<int>")).when(border, everywhere).otherwise(walked)
 
 
-def adjacent_pairs(docs: DataFrame, nouns: DataFrame, text: str = "clean", least: int = 2) -> DataFrame:
+def adjacent_pairs(docs: DataFrame, nouns: DataFrame, text: str = "clean", least: int = 2, also: str | None = None) -> DataFrame:
     """``(doc_id, a, b, n)``: ordered pairs of a document's nouns whose concatenation occurs ``least`` times in its text without spaces.
 
     Found by a join on places, where one noun ends and the other begins, not by trying all pairs.
     """
     bare = docs.select("doc_id", without_spaces(F.col(text)).alias("bare"))
-    at = nouns.select("doc_id", "noun").distinct().join(bare, "doc_id").select("doc_id", "noun", F.explode(positions(F.col("bare"), F.col("noun"))).alias("at"))
+    places = beside(nouns.select("doc_id", "noun").distinct(), bare, at=lambda r: positions(F.col("bare"), r["noun"]))
+    at = places.select("doc_id", "noun", F.explode("at").alias("at"))
     a = at.select("doc_id", F.col("noun").alias("a"), (F.col("at") + F.length("noun")).alias("meet"))
     b = at.select("doc_id", F.col("noun").alias("b"), F.col("at").alias("meet"))
     pairs = a.join(b, ["doc_id", "meet"]).select("doc_id", "a", "b").distinct()
-    return with_counts(pairs, docs, text, least)
+    return with_counts(pairs, docs, text, least, also=also)
 
 
 def chain_merge(pairs: DataFrame, keep_tail: bool = True) -> DataFrame:
@@ -80,15 +101,21 @@ def chain_merge(pairs: DataFrame, keep_tail: bool = True) -> DataFrame:
     return (out if keep_tail else out.where(~F.col("last") | (F.size("words") == 2))).select("doc_id", "ord", "words")
 
 
-def score_pairs(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, total: Column, text: str = "clean", spaceless: bool = True) -> DataFrame:
+def score_pairs(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, total: Column, text: str = "clean", spaceless: bool = True, fall_back: bool = False) -> DataFrame:
     """``(doc_id, a, b, n, pmi, trpmi)`` of ``(doc_id, a, b, n)``: mutual information, and its product with the mean rank of the parts.
 
-    ``ranks`` is ``(doc_id, noun, tr)``; ``total`` an expression over ``text`` for the number of words.
+    ``ranks`` is ``(doc_id, noun, tr)``; ``total`` an expression over ``text`` for the number of words. With
+    ``fall_back`` a joint count of 0 gives way to the number in any spacing.
     """
-    target = docs.select("doc_id", (without_spaces(F.col(text)) if spaceless else F.col(text)).alias("target"), total.alias("total"))
-    full = pairs.join(target, "doc_id")
-    parts = [count_in(F.col("target"), F.col(c)) for c in ("a", "b")]
-    full = full.withColumn("pmi", pmi(F.col("n"), parts, F.col("total"))).drop("target", "total")
+    target = docs.select("doc_id", (without_spaces(F.col(text)) if spaceless else F.col(text)).alias("_target"), total.cast("bigint").alias("_total"))
+
+    def information(r: Column) -> Column:
+        parts = [count_in(F.col("_target"), r[c]) for c in ("a", "b")]
+        if fall_back:
+            return pmi_any_spacing(F.col("_target"), [r["a"], r["b"]], r["n"], parts, F.col("_total"))
+        return pmi(r["n"], parts, F.col("_total"))
+
+    full = beside(pairs.select("doc_id", "a", "b", "n"), target, pmi=information)
     for c in ("a", "b"):
         full = full.join(ranks.select("doc_id", F.col("noun").alias(c), F.col("tr").alias(f"tr_{c}")), ["doc_id", c])
     return full.select("doc_id", "a", "b", "n", "pmi", (geometric_mean([F.col("tr_a"), F.col("tr_b")]) * F.col("pmi")).alias("trpmi"))
@@ -112,14 +139,27 @@ def suffix_prefix_links(words: DataFrame) -> DataFrame:
 def included_last(nouns: DataFrame) -> DataFrame:
     """``(doc_id, noun, included)``: whether another noun of the document contains this one.
 
-    Distinct nouns are exploded into their substrings, which meet the nouns by equality.
+    Which distinct nouns hold which is found once for the whole collection, by equality of parts; documents only look it up.
     """
     distinct = nouns.select("doc_id", "noun").distinct()
-    inner = F.array_distinct(
-        F.flatten(F.transform(F.sequence(F.lit(1), F.length("noun")), lambda s: F.transform(F.sequence(F.lit(1), F.length("noun") - s + 1), lambda k: F.substring(F.col("noun"), s, k))))
-    )
-    parts = distinct.select("doc_id", F.col("noun").alias("longer"), F.explode(inner).alias("noun")).where("longer <> noun").select("doc_id", "noun").distinct()
-    return distinct.join(parts.withColumn("included", F.lit(True)), ["doc_id", "noun"], "left").select("doc_id", "noun", F.coalesce("included", F.lit(False)).alias("included"))
+    every = distinct.select("noun").distinct()
+    held = occurrences(every.select(F.col("noun").alias("token")), every.select(F.col("noun").alias("needle")), 1).where("token <> needle")
+    pairs = held.select(F.col("token").alias("longer"), F.col("needle").alias("noun"))
+    found = distinct.withColumnRenamed("noun", "longer").join(pairs, "longer").select("doc_id", "noun").distinct()
+    return distinct.join(found.withColumn("included", F.lit(True)), ["doc_id", "noun"], "left").select("doc_id", "noun", F.coalesce("included", F.lit(False)).alias("included"))
+
+
+def with_order(nouns: DataFrame) -> DataFrame:
+    """``(doc_id, ord, noun)`` in a new order: nouns that another one contains come last, else as before."""
+    marked = nouns.join(included_last(nouns), ["doc_id", "noun"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("included", "ord", "noun")) - 1
+    return marked.select("doc_id", place.alias("ord"), "noun")
+
+
+def longest_first(nouns: DataFrame) -> DataFrame:
+    """``(doc_id, ord, noun)`` in a new order: longer nouns first, else as before."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.length("noun")), "ord", "noun")) - 1
+    return nouns.select("doc_id", place.alias("ord"), "noun")
 
 
 def greedy_occurrences(sentences: DataFrame, nouns: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmine.functions.measures import count_in, tfidf
-from wordmine.operators.tokens import prefixes, substrings, vocabulary
+from wordmine.operators.tokens import prefixes
 
 
 def prefix_frequency(vocab: DataFrame) -> DataFrame:
@@ -19,24 +19,48 @@ def prefix_frequency(vocab: DataFrame) -> DataFrame:
     return plain.groupBy("prefix").agg(F.sum("n").alias("freq"))
 
 
+#: Needles of fewer characters meet the parts of tokens of their own length; of longer ones the first that many, twice that many ... do.
+SEED = 8
+
+
+def occurrences(vocab: DataFrame, needles: DataFrame, least: int = 2) -> DataFrame:
+    """``(token, needle, k)``: how often each distinct needle of ``least`` characters and more occurs in each distinct token that has it.
+
+    Only parts of the lengths that needles have are cut from the tokens. A needle from ``SEED`` characters on is met by
+    its beginning of 8, 16, 32 ... characters and then compared, so a token gives a few parts for each of its characters
+    and not one for each of its substrings, however long it is.
+    """
+    wanted = needles.select("needle").where(F.length("needle") >= least).distinct()
+    size = F.length("needle")
+    seed = F.when(size < SEED, size).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(size)))).cast("int")
+    wanted = wanted.select("needle", seed.alias("size"), F.substring("needle", F.lit(1), seed).alias("seed"))
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # at most SEED and one for each power of two
+    tokens_ = vocab.select("token").distinct()
+    if not sizes:
+        return tokens_.select("token", F.col("token").alias("needle"), F.lit(0).cast("bigint").alias("k")).where(F.lit(False))
+    n = F.length("token")
+    cut = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(n - s + 1, F.lit(1))), lambda i: F.substring("token", i, F.lit(s)))
+    parts = F.array_distinct(F.concat(*[F.when(n >= s, cut(s)).otherwise(F.array().cast("array<string>")) for s in sizes]))
+    each = tokens_.where(n >= sizes[0]).select("token", F.explode(parts).alias("seed"))
+    hits = each.join(wanted.select("needle", "seed"), "seed").where((F.length("needle") < SEED) | F.contains("token", F.col("needle")))
+    return hits.select("token", "needle", count_in(F.col("token"), F.col("needle")).alias("k"))
+
+
 def substring_frequency(vocab: DataFrame, needles: DataFrame) -> DataFrame:
     """``(needle, freq)``: occurrences of each distinct ``needle`` of two characters and more in the tokens of ``(token, n)``; 0 if there are none.
 
-    Needles are matched by equality with the distinct substrings of distinct tokens. Needles with a space never match.
+    Needles with a space never match.
     """
     wanted = needles.select("needle").where(F.length("needle") >= 2).distinct()
-    parts = substrings(vocab).withColumnRenamed("part", "needle")
-    hits = parts.join(wanted, "needle").join(vocab, "token")
-    summed = hits.groupBy("needle").agg(F.sum(F.col("n") * count_in(F.col("token"), F.col("needle"))).cast("bigint").alias("freq"))
+    hits = occurrences(vocab, wanted).join(vocab, "token")
+    summed = hits.groupBy("needle").agg(F.sum(F.col("n") * F.col("k")).cast("bigint").alias("freq"))
     return wanted.join(summed, "needle", "left").select("needle", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
 
 
 def document_counts(tokens: DataFrame, needles: DataFrame) -> DataFrame:
     """``(doc_id, needle, n)``: occurrences of each needle in each document that has it, from ``(doc_id, token)``."""
     per_doc = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m"))
-    vocab = tokens.select("token").distinct()
-    wanted = needles.select("needle").where(F.length("needle") >= 2).distinct()
-    hits = substrings(vocab).withColumnRenamed("part", "needle").join(wanted, "needle").withColumn("k", count_in(F.col("token"), F.col("needle")))
+    hits = occurrences(tokens.select("token"), needles)
     return per_doc.join(hits, "token").groupBy("doc_id", "needle").agg(F.sum(F.col("m") * F.col("k")).cast("bigint").alias("n"))
 
 
@@ -54,7 +78,3 @@ def tfidf_table(counts: DataFrame, n_docs: DataFrame, tf: str) -> DataFrame:
 def word_total(text: Column, letters: str = r"\p{L}") -> Column:
     """Runs of letters that a space, dot, comma, quote or bracket follows, and one at the end."""
     return F.regexp_count(text, F.lit(rf"[{letters}]+[ .,`'\"‘’()]")) + F.regexp_count(text, F.lit(rf"[{letters}]\z"))
-
-
-def vocabulary_of(tokens: DataFrame) -> DataFrame:
-    return vocabulary(tokens)

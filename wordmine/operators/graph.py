@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rounds of the ranking and its damping, applied once after the last round.
 ROUNDS, DAMPING = 16, 0.85
+#: Documents ranked in one batch, on average.
+BATCH_DOCS = 1000
 
 
 def sentence_counts(occ: DataFrame) -> DataFrame:
@@ -51,30 +53,44 @@ def order_window_edges(occ: DataFrame, distance: int = 8) -> DataFrame:
     return near.groupBy("doc_id", "src", "dst").agg(F.count(F.lit(1)).alias("w"))
 
 
-def textrank(edges: DataFrame, nouns: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def textrank(edges: DataFrame, nouns: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, batch_docs: int = BATCH_DOCS) -> DataFrame:
     """``(doc_id, noun, tr)`` of ``(doc_id, noun)`` over ``(doc_id, src, dst, w)``.
 
     Each round passes every noun's value on along its edges in proportion to their weights; nouns without edges keep
     theirs. Damping follows once at the end. A graph belongs to one document and is no larger than its distinct nouns
-    allow, so all rounds are done where its edges meet: one shuffle by document instead of one for each round.
+    allow, so all rounds are done where its edges meet: one shuffle instead of one for each round. About ``batch_docs``
+    documents, by a hash of their id, are ranked together as one graph of separate parts, without a step for each.
     """
     alone = nouns.select("doc_id", F.col("noun").alias("src")).distinct().select("doc_id", "src", F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("w"))
-    rows = edges.select("doc_id", "src", "dst", F.col("w").cast("double")).unionByName(alone)
+    n_docs = nouns.agg(F.approx_count_distinct("doc_id")).first()[0]
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n_docs // batch_docs)))).cast("int")
+    rows = edges.select("doc_id", "src", "dst", F.col("w").cast("double")).unionByName(alone).withColumn("chunk", chunk)
 
     def rank(group: pa.Table) -> pa.Table:
-        src, dst = group["src"].to_pylist(), group["dst"].to_pylist()
-        names = sorted({s for s, d in zip(src, dst) if d is None})
-        place = {n: i for i, n in enumerate(names)}
-        kept = [k for k, (s, d) in enumerate(zip(src, dst)) if d is not None and s in place and d in place]
-        a, b = np.array([place[src[k]] for k in kept], np.int64), np.array([place[dst[k]] for k in kept], np.int64)
-        w = np.nan_to_num(group["w"].to_numpy())[kept] if kept else np.zeros(0)
-        degree = np.bincount(a, w, minlength=len(names))
-        order = np.lexsort((b, a))  # sums in one order, whatever order the rows came in
-        a, b, share = a[order], b[order], (w / degree[a])[order] if kept else w
-        value = np.full(len(names), 1.0 / max(1, len(names)))
+        docs = group["doc_id"].to_numpy().astype(np.int64)
+        own = group["dst"].is_null().to_numpy(zero_copy_only=False)
+        words = pa.concat_arrays([*group["src"].chunks, *group["dst"].chunks]).dictionary_encode()
+        codes = words.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        width, (ids, place) = len(words.dictionary) + 1, np.unique(docs, return_inverse=True)
+        src, dst = place * width + codes[: len(docs)], place * width + codes[len(docs) :]
+        nodes = np.unique(src[own])  # one for each document and noun
+        kept = np.flatnonzero(~own & np.isin(src, nodes) & np.isin(dst, nodes))
+        kept = kept[np.lexsort((dst[kept], src[kept]))]  # sums in one order, whatever order the rows came in
+        a, b = np.searchsorted(nodes, src[kept]), np.searchsorted(nodes, dst[kept])
+        w = np.nan_to_num(group["w"].to_numpy()[kept])
+        degree = np.bincount(a, w, minlength=len(nodes))
+        share = w / degree[a]
+        doc = nodes // width
+        value = 1.0 / np.bincount(doc, minlength=len(ids))[doc]
         for _ in range(rounds):
-            value = np.where(degree > 0, np.bincount(b, value[a] * share, minlength=len(names)), value)
-        ids = pa.array([group["doc_id"][0].as_py()] * len(names), pa.int64())
-        return pa.table([ids, pa.array(names, pa.string()), pa.array((1 - damping) + damping * value, pa.float64())], names=["doc_id", "noun", "tr"])
+            value = np.where(degree > 0, np.bincount(b, value[a] * share, minlength=len(nodes)), value)
+        names = words.dictionary.take(pa.array(nodes % width)).cast(pa.string())
+        return pa.table([pa.array(ids[doc], pa.int64()), names, pa.array((1 - damping) + damping * value, pa.float64())], names=["doc_id", "noun", "tr"])
 
-    return rows.groupBy("doc_id").applyInArrow(rank, "doc_id bigint, noun string, tr double")
+    return rows.groupBy("chunk").applyInArrow(rank, "doc_id bigint, noun string, tr double")
+
+
+def top_nouns(ranks: DataFrame, k: int = 10) -> DataFrame:
+    """``(doc_id, noun, tr, rank)``: the ``k`` nouns of each document with the greatest value, ties by noun."""
+    by = Window.partitionBy("doc_id").orderBy(F.desc("tr"), "noun")
+    return ranks.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

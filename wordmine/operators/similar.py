@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordmine.operators.counts import occurrences
+
 
 def window_neighbours(tokens: DataFrame, nouns: DataFrame, distance: int = 2) -> DataFrame:
     """``(noun, doc_id, pos)``: places within ``distance`` tokens of a token that contains the noun.
@@ -16,10 +18,8 @@ def window_neighbours(tokens: DataFrame, nouns: DataFrame, distance: int = 2) ->
     ``tokens`` is ``(doc_id, pos, token)``, ``nouns`` ``(noun)``, a vocabulary of fixed size. Tokens meet nouns by
     equality of substrings, places meet by equality after exploding the window.
     """
-    from wordmine.operators.tokens import substrings
-
     last = tokens.groupBy("doc_id").agg(F.max("pos").alias("last"))
-    hits = substrings(tokens.select("token").distinct(), 1).join(nouns.select(F.col("noun").alias("part")).distinct(), "part")
+    hits = occurrences(tokens, nouns.select(F.col("noun").alias("needle")), 1).select("token", F.col("needle").alias("part"))
     held = tokens.join(hits, "token").join(last, "doc_id")
     around = F.sequence(F.greatest(F.col("pos") - distance, F.lit(0)), F.least(F.col("pos") + distance, F.col("last")))
     return held.select(F.col("part").alias("noun"), "doc_id", F.explode(around).alias("pos")).distinct()
@@ -27,10 +27,8 @@ def window_neighbours(tokens: DataFrame, nouns: DataFrame, distance: int = 2) ->
 
 def context_pairs(tokens: DataFrame, nouns: DataFrame, distance: int = 2) -> DataFrame:
     """``(noun, feature)``: nouns that occur in some context of a noun, itself included: the ones of its one-hot vector."""
-    from wordmine.operators.tokens import substrings
-
     near = window_neighbours(tokens, nouns, distance).join(tokens, ["doc_id", "pos"]).select("noun", "token").distinct()
-    hits = substrings(near.select("token").distinct(), 1).join(nouns.select(F.col("noun").alias("part")).distinct(), "part")
+    hits = occurrences(near, nouns.select(F.col("noun").alias("needle")), 1).select("token", F.col("needle").alias("part"))
     return near.join(hits, "token").select("noun", F.col("part").alias("feature")).distinct()
 
 

@@ -92,6 +92,28 @@ def is_excluded(morphs: Column) -> Column:
     return F.exists(F.array(*[F.lit(t) for t in EXCLUDED]), lambda t: F.contains(F.coalesce(last_tag(morphs), F.lit("")), t))
 
 
+def is_after_noun(morphs: Column) -> Column:
+    """True where what the morphemes stand for may follow a noun: nothing, or a first tag of noun, verb, particle, ending or affix."""
+    return (F.size(morphs) == 0) | morphs[0]["tag"].rlike("^[NVJEX]")
+
+
+def is_single_known(morphs: Column) -> Column:
+    """True for exactly one known morpheme that is no sign; pieces of which all are so make up a known right part."""
+    return (F.size(morphs) == 1) & ~F.startswith(morphs[0]["tag"], F.lit("S")) & (morphs[0]["tag"] != UNKNOWN)
+
+
+def joined_parts(morphs: Column) -> Column:
+    """All joins of neighbouring morphemes, by the first and then by the last one."""
+    n = F.size(morphs)
+    ends = lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.transform(F.slice(morphs, i, j - i + 1), lambda m: m["surface"]), ""))
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), n), ends))).otherwise(F.array().cast("array<string>"))
+
+
+def kept_and_banned(words: DataFrame, morphs: str = "morphs") -> DataFrame:
+    """``words`` with ``banned``, true where the last tag is one of the excluded ones."""
+    return words.withColumn("banned", is_excluded(F.col(morphs)))
+
+
 def strip_suffixes(make: Callable[[], Tagger], excluded: tuple[str, ...] = tuple(EXCLUDED)) -> Callable[[Column], Column]:
     """A column function that drops morphemes with excluded tags from the end, tagging again until nothing changes."""
 

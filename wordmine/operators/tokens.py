@@ -80,7 +80,10 @@ def splits(vocab: DataFrame) -> DataFrame:
 
 
 def spacings(df: DataFrame, word: str = "word", most: int = 12) -> DataFrame:
-    """``(word, way)``: every spacing of words of up to ``most`` characters; exponential by nature, longer words give only themselves."""
+    """``(word, way)``: every spacing of words of up to ``most`` characters, 2 to the power of their gaps; longer words give only themselves.
+
+    ``most`` is a stated bound of an output that doubles with every character; it may be set up to 31.
+    """
     df = df.select(F.col(word).alias("w")).where(F.length("w") >= 1)
     w, n = F.col("w"), F.length("w")
     masks = F.sequence(F.lit(0), (F.pow(F.lit(2), F.least(n, F.lit(most)) - 1) - 1).cast("int"))

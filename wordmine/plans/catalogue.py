@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordmine.functions import clean, measures
 from wordmine.operators import compound, counts, graph, select, similar, tagger, tokens
 from wordmine.plans import pipelines
-from wordmine.plans.lineage import materialize
-from wordmine.sources import io
+from wordmine.plans.lineage import materialize, shared_dir
+from wordmine.sources import html, io
 from wordmine.sources.tables import spread, table
 
 
+def _nine(column: str) -> Column:
+    """Nine places, after twelve, so that what differs by the last bit of a sum is rounded alike."""
+    return F.round(F.round(column, 12), 9)
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -81,27 +88,20 @@ def right_trims(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def three_way_splits(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.splits(_vocab(spark, folder, 3)).groupBy("um").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.splits(_vocab(spark, folder, 3)).select("token", "lp", "um", "rp")
 
 
 def spacings(spark: SparkSession, folder: str) -> DataFrame:
-    words = _lexicon(spark, folder).where(F.length("surface").between(2, 6)).select(F.col("surface").alias("word")).distinct()
-    return tokens.spacings(words)
-
-
-def spacings_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The spacings of all surfaces; ``spacings`` has those of 2 to 6 characters, as its SQL."""
     return tokens.spacings(_lexicon(spark, folder).select(F.col("surface").alias("word")).distinct())
 
 
 def paren_suffixes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _texts(spark, folder).select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
-    found = tokens.paren_suffixes(tokens.tokenize(rows, least=3), rows.withColumnRenamed("clean", "raw"))
-    return found.where("step = 1").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rows = _texts(spark, folder).select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "discovery").alias("clean"))
+    return tokens.paren_suffixes(tokens.tokenize(rows, least=3), rows.withColumnRenamed("clean", "raw"))
 
 
 def paren_parts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _texts(spark, folder).select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "splitter").alias("clean"))
+    rows = _texts(spark, folder).select(F.col("_c0").alias("doc_id"), clean.clean(F.coalesce(F.col("NEWS"), F.lit("")), "discovery").alias("clean"))
     return tokens.vocabulary(tokens.paren_parts(tokens.tokenize(rows, least=3)))
 
 
@@ -118,7 +118,7 @@ def word_start_rate(spark: SparkSession, folder: str) -> DataFrame:
     toks = tokens.tokenize(docs, least=0).where("pos > 0")
     freq = counts.prefix_frequency(tokens.vocabulary(toks)).join(_needles(spark, folder).withColumnRenamed("needle", "prefix"), "prefix")
     spaces = docs.agg(F.sum(measures.count_in(F.col("clean"), F.lit(" "))).alias("spaces"))
-    return freq.crossJoin(F.broadcast(spaces)).select("prefix", F.round(F.try_divide("freq", "spaces"), 9).alias("rate"))
+    return freq.crossJoin(F.broadcast(spaces)).select("prefix", F.round(F.round(F.try_divide("freq", "spaces"), 15), 9).alias("rate"))
 
 
 def word_total(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +135,7 @@ def discovered_nouns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def elbow_nouns(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.elbow_nouns(_docs(spark, folder, "elbow")).select("doc_id", "noun", F.round("tfidf", 6).alias("tfidf"))
+    return pipelines.elbow_nouns(_docs(spark, folder, "elbow")).select("doc_id", "noun", _nine("tfidf").alias("tfidf"))
 
 
 def _left(mode: int):
@@ -154,7 +154,7 @@ def doc_freq(spark: SparkSession, folder: str) -> DataFrame:
 def _tfidf(tf: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         n, docs = _needle_counts(spark, folder)
-        return counts.tfidf_table(n, _n_docs(docs), tf).select("doc_id", "needle", F.round("tfidf", 6).alias("tfidf"))
+        return counts.tfidf_table(n, _n_docs(docs), tf).select("doc_id", "needle", _nine("tfidf").alias("tfidf"))
 
     return query
 
@@ -162,7 +162,8 @@ def _tfidf(tf: str):
 def _kwic(context):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         n, docs = _needle_counts(spark, folder)
-        return n.join(docs, "doc_id").select("doc_id", "needle", context(F.col("clean"), F.col("needle")).alias("context"))
+        text = docs.select("doc_id", F.col("clean").alias("_text"))
+        return compound.beside(n.select("doc_id", "needle"), text, context=lambda r: context(F.col("_text"), r["needle"]))
 
     return query
 
@@ -172,7 +173,7 @@ def _sentences(closed: bool):
 
 
 def plain_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return tokens.plain_sentences(_docs(spark, folder)).where("sentence <> ''").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.plain_sentences(_docs(spark, folder)).where("sentence <> ''")
 
 
 def sentence_nouns(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,7 +202,7 @@ def _ranks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def textrank(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranks(spark, folder)[1].select("doc_id", "noun", F.round("tr", 6).alias("tr"))
+    return _ranks(spark, folder)[1].select("doc_id", "noun", _nine("tr").alias("tr"))
 
 
 def bigrams(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,8 +220,15 @@ def _pairs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Data
 
 def compound_count(spark: SparkSession, folder: str) -> DataFrame:
     docs, _, pairs = _pairs(spark, folder)
-    spaced = measures.count_any_spacing(F.col("clean"), [F.col("a"), F.col("b")])
-    return pairs.join(docs, "doc_id").select("doc_id", "ord", "a", "b", "n", spaced.alias("n_spaced"))
+    text = docs.select("doc_id", F.col("clean").alias("_text"))
+    return compound.beside(pairs, text, n_spaced=lambda r: measures.count_any_spacing(F.col("_text"), [r["a"], r["b"]])).select("doc_id", "ord", "a", "b", "n", "n_spaced")
+
+
+def compound_count_bare(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs that occur twice in the text or twice without its brackets."""
+    docs = _docs(spark, folder, "discovery").withColumn("bare", clean.strip_parens(F.col("clean")))
+    occ = materialize(pipelines.noun_occurrences(docs, _lexicon(spark, folder)), "occurrences")
+    return compound.with_counts(compound.first_seen(compound.bigrams(occ)), docs, also="bare")
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,12 +238,12 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trpmi(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder).select("doc_id", "a", "b", "n", F.round("pmi", 6).alias("pmi"), F.round("trpmi", 6).alias("trpmi"))
+    return _scored(spark, folder).select("doc_id", "a", "b", "n", _nine("pmi").alias("pmi"), _nine("trpmi").alias("trpmi"))
 
 
 def dup_merge(spark: SparkSession, folder: str) -> DataFrame:
     rows = _scored(spark, folder).select("doc_id", "a", "b", F.col("trpmi").alias("score"))
-    return compound.merge_duplicates(rows, F.concat("a", "b")).select("doc_id", "label", F.round("score", 6).alias("score"))
+    return compound.merge_duplicates(rows, F.concat("a", "b")).select("doc_id", "label", _nine("score").alias("score"))
 
 
 def all_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,10 +266,21 @@ def included_nouns(spark: SparkSession, folder: str) -> DataFrame:
     return compound.included_last(_occ(spark, folder))
 
 
+def _nouns_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    first = _occ(spark, folder).groupBy("doc_id", "noun").agg(F.min(F.struct("sent_id", "pos")).alias("at"))
+    return first.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).alias("ord"), "noun")
+
+
+def noun_order(spark: SparkSession, folder: str) -> DataFrame:
+    return compound.with_order(_nouns_in_order(spark, folder))
+
+
+def noun_order_length(spark: SparkSession, folder: str) -> DataFrame:
+    return compound.longest_first(_nouns_in_order(spark, folder))
+
+
 def greedy_occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    occ = _occ(spark, folder)
-    nouns = occ.groupBy("doc_id", "noun").agg(F.min(F.struct("sent_id", "pos")).alias("ord"))
-    return compound.greedy_occurrences(tokens.sentences(_docs(spark, folder)), nouns).groupBy("doc_id", "noun").agg(F.count(F.lit(1)).alias("n"))
+    return compound.greedy_occurrences(tokens.sentences(_docs(spark, folder)), noun_order(spark, folder))
 
 
 def mutual_inclusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,12 +297,12 @@ def window_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 def similarity_rank(spark: SparkSession, folder: str) -> DataFrame:
     found = pipelines.similar_nouns(_docs(spark, folder), _needles(spark, folder).withColumnRenamed("needle", "noun"))
-    return found.select("noun", "other", F.round("cosine", 6).alias("cosine"), "rank")
+    return found.select("noun", "other", F.round("cosine", 9).alias("cosine"), "rank")
 
 
 def embedding_rank(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings", "vec_id", "embedding")
-    return similar.nearest(rows, rows.where("vec_id % 50 = 0")).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+    return similar.nearest(rows, rows.where("vec_id % 50 = 0")).select("query_id", "vec_id", F.round("cosine", 9).alias("cosine"), "rank")
 
 
 def registered_left(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,11 +313,28 @@ def registered_filter(spark: SparkSession, folder: str) -> DataFrame:
     return tagger.without_registered(_vocab(spark, folder).select(F.col("token").alias("word")), _lexicon(spark, folder))
 
 
+def _morphs(spark: SparkSession, folder: str) -> DataFrame:
+    tag = tagger.lexicon_tagger(_lexicon(spark, folder))
+    return _vocab(spark, folder).withColumn("morphs", tagger.tagged(lambda: tag)(F.col("token")))
+
+
+def morphemes(spark: SparkSession, folder: str) -> DataFrame:
+    return _morphs(spark, folder).select("token", F.array_join(F.transform("morphs", lambda m: F.concat(m["surface"], F.lit("/"), m["tag"])), " ").alias("morphs"))
+
+
 def particle_filter(spark: SparkSession, folder: str) -> DataFrame:
-    lexicon = _lexicon(spark, folder)
-    tag = tagger.lexicon_tagger(lexicon)
-    words = _vocab(spark, folder).withColumn("morphs", tagger.tagged(lambda: tag)(F.col("token")))
-    return words.where(tagger.not_ending(F.col("morphs")) & ~tagger.is_excluded(F.col("morphs"))).select("token", tagger.is_known(F.col("morphs")).alias("known"))
+    kept = _morphs(spark, folder).where(tagger.not_ending(F.col("morphs")) & ~tagger.is_excluded(F.col("morphs")))
+    return kept.select("token", tagger.is_known(F.col("morphs")).alias("known"))
+
+
+def morph_filters(spark: SparkSession, folder: str) -> DataFrame:
+    m = F.col("morphs")
+    marks = {"registered": tagger.is_registered_noun(m), "after_noun": tagger.is_after_noun(m), "single_known": tagger.is_single_known(m)}
+    return tagger.kept_and_banned(_morphs(spark, folder)).select("token", "banned", *[c.alias(n) for n, c in marks.items()])
+
+
+def morph_joins(spark: SparkSession, folder: str) -> DataFrame:
+    return _morphs(spark, folder).select("token", F.posexplode(tagger.joined_parts(F.col("morphs"))).alias("place", "part"))
 
 
 def stripped_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,40 +344,114 @@ def stripped_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unit_filter(spark: SparkSession, folder: str) -> DataFrame:
-    units = r"[0-9]+[^\n][0-9]+%|[0-9]+[조억만천원년월달일시분위여건개층][0-9]*|[0-9]+거래일"
-    return _vocab(spark, folder).where(~F.col("token").rlike(units))
+    return _vocab(spark, folder).where(~F.col("token").rlike(clean.UNITS))
+
+
+def noun_surroundings(spark: SparkSession, folder: str) -> DataFrame:
+    n, docs = _needle_counts(spark, folder)
+    text = docs.select("doc_id", F.col("clean").alias("_text"))
+    return compound.beside(n.select("doc_id", "needle"), text, around=lambda r: measures.surroundings(F.col("_text"), r["needle"]))
+
+
+def frequent_starts(spark: SparkSession, folder: str) -> DataFrame:
+    found = pipelines.frequent_starts(_docs(spark, folder))
+    return found.select("token", "prefix", F.round(F.round("rate", 15), 9).alias("rate"))
+
+
+def top_nouns(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = _ranks(spark, folder)[1].select("doc_id", "noun", F.round("tr", 9).alias("tr"))
+    return graph.top_nouns(ranks).select("doc_id", "noun", _nine("tr").alias("tr"), "rank")
+
+
+def first_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 30 documents, a limit that is the operator itself."""
+    return pipelines.first_documents(_docs(spark, folder), 30)
+
+
+def corpus_cliffs(spark: SparkSession, folder: str) -> DataFrame:
+    """Cliffs of the tokens of ``text`` by frequencies in ``documents``, a collection apart."""
+    own = tokens.documents(_texts(spark, folder).select(F.col("_c0").alias("doc_id"), F.col("NEWS").alias("text")))
+    return pipelines.cliff_scores(own, corpus=_docs(spark, folder))
+
+
+def pmi_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Mutual information of neighbouring nouns in the text with its spaces; where the plain count is 0, of all spacings."""
+    docs, occ = _docs(spark, folder), _occ(spark, folder)
+    pairs = compound.with_counts(compound.first_seen(compound.bigrams(occ)), docs, least=0, spaceless=False)
+    one = occ.select("doc_id", "noun").distinct().withColumn("tr", F.lit(1.0))
+    found = compound.score_pairs(pairs, docs, one, counts.word_total(F.col("clean")), spaceless=False, fall_back=True)
+    return found.select("doc_id", "a", "b", "n", _nine("pmi").alias("pmi"))
+
+
+def csv_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """The articles written as a CSV file with cells over several lines and read again."""
+    path = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex[:12]}.csv"
+    rows = table(spark, folder, "text", "_c0", "NEWS", "RANDOM").select("_c0", F.regexp_replace(F.coalesce("NEWS", F.lit("")), "\r\n?", "\n").alias("NEWS"))
+    io.write_articles(rows, path)
+    return io.load_docs(spark, path, key="_c0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def html_article(spark: SparkSession, folder: str) -> DataFrame:
+    """The articles as the chosen node of a page, cleaned."""
+    body = F.coalesce(F.col("NEWS"), F.lit(""))
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        body = F.replace(body, F.lit(sign), F.lit(code))
+    page = F.concat(F.lit("<html><div class='head'>no</div><div class='art_txt main'>"), body, F.lit("</div><div>no</div></html>"))
+    pages = _texts(spark, folder).select("_c0", page.alias("html"))
+    return html.select_node(pages).select("_c0", clean.clean(F.col("text"), "article").alias("clean"))
+
+
+def word_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Elbow nouns of all documents, written one to a line and read again."""
+    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex[:12]}"
+    io.write_words(pipelines.elbow_nouns(_docs(spark, folder, "elbow")).select(F.col("noun").alias("word")).distinct(), path)
+    return spark.read.text(path).select(F.col("value").alias("word"))
+
+
+def report_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the search report for each document, from its CSV files."""
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex[:12]}"
+    io.write_report(search_report(spark, folder).select("doc_id", "match", "pct", "tfidf"), path)
+    read = spark.read.option("header", True).schema("doc_id bigint, match string, pct int, tfidf double, bucket int").csv(path)
+    return read.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def compounds(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.compounds(_docs(spark, folder, "compounder"), _lexicon(spark, folder)).select("doc_id", "label", F.round("score", 6).alias("score"))
+    return pipelines.compounds(_docs(spark, folder, "strict"), _lexicon(spark, folder)).select("doc_id", "label", _nine("score").alias("score"))
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.discover(_docs(spark, folder, "splitter"), _lexicon(spark, folder))
+    return pipelines.discover(_docs(spark, folder, "discovery"), _lexicon(spark, folder))
 
 
 def new_words(spark: SparkSession, folder: str) -> DataFrame:
-    return pipelines.new_words(_docs(spark, folder, "wordsplitter"), _lexicon(spark, folder))
+    return pipelines.new_words(_docs(spark, folder, "bracketed"), _lexicon(spark, folder))
 
 
 def _report(tf: str, context: str, least: int):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return pipelines.search_report(_docs(spark, folder), _lexicon(spark, folder), tf=tf, context=context, least=least).withColumn("tfidf", F.round("tfidf", 6))
+        found = pipelines.search_report(_docs(spark, folder), _lexicon(spark, folder), tf=tf, context=context, least=least)
+        return pipelines.report_order(found.withColumn("tfidf", _nine("tfidf")))
 
     return query
 
 
 def word_lists(spark: SparkSession, folder: str) -> DataFrame:
     words = pipelines.elbow_nouns(_docs(spark, folder, "elbow")).withColumnRenamed("noun", "word")
-    return io.with_word_lists(_documents(spark, folder).select("doc_id"), words)
+    lists = io.with_word_lists(_documents(spark, folder).select("doc_id"), words)
+    return lists.select("doc_id", F.array_join("EN_LIST", " ").alias("words"))
+
+
+def search_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _report("raw", "all", 1)(spark, folder)
 
 
 QUERIES = {
     "clean_search": _cleaned("search"),
     "clean_elbow": _cleaned("elbow"),
-    "clean_splitter": _cleaned("splitter"),
-    "clean_compounder": _cleaned("compounder"),
-    "clean_wordsplitter": _cleaned("wordsplitter"),
+    "clean_discovery": _cleaned("discovery"),
+    "clean_strict": _cleaned("strict"),
+    "clean_bracketed": _cleaned("bracketed"),
     "clean_raw": _cleaned("raw"),
     "clean_article": clean_article,
     "strip_parens": strip_parens,
@@ -352,7 +462,6 @@ QUERIES = {
     "right_trims": right_trims,
     "three_way_splits": three_way_splits,
     "spacings": spacings,
-    "spacings_all": spacings_all,
     "paren_suffixes": paren_suffixes,
     "paren_parts": paren_parts,
     "prefix_freq": prefix_freq,
@@ -405,9 +514,25 @@ QUERIES = {
     "compounds": compounds,
     "discover": discover,
     "new_words": new_words,
-    "search_report": _report("raw", "all", 1),
+    "search_report": search_report,
     "search_report_short": _report("log", "first", 0),
     "word_lists": word_lists,
+    "morphemes": morphemes,
+    "morph_filters": morph_filters,
+    "morph_joins": morph_joins,
+    "noun_surroundings": noun_surroundings,
+    "frequent_starts": frequent_starts,
+    "top_nouns": top_nouns,
+    "first_documents": first_documents,
+    "corpus_cliffs": corpus_cliffs,
+    "pmi_fallback": pmi_fallback,
+    "csv_articles": csv_articles,
+    "html_article": html_article,
+    "word_file": word_file,
+    "report_file": report_file,
+    "compound_count_bare": compound_count_bare,
+    "noun_order": noun_order,
+    "noun_order_length": noun_order_length,
 }
 
 

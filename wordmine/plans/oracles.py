@@ -13,22 +13,37 @@ def _sub(x: str, *steps: tuple[str, str]) -> str:
     return x
 
 
+def _without_numbers(x: str) -> str:
+    """Runs of digits that stand alone, with the white space after them, taken out of the runs of word characters and of others."""
+    pieces = f"regexp_extract_all({x}, '[{WORD}]+|[^{WORD}]+')"
+    number = lambda i: f"regexp_full_match(l[{i}], '[0-9]+')"
+    kept = f"CASE WHEN {number('i')} THEN '' WHEN i > 1 AND {number('i - 1')} THEN regexp_replace(l[i], '^[{SPACE}]+', '') ELSE l[i] END"
+    return f"(SELECT array_to_string(list_transform(range(1, len(l) + 1), lambda i: {kept}), '') FROM (SELECT {pieces} AS l))"
+
+
 def _cleaned(x: str, profile: str) -> str:
-    keep = {"search": "-/.&*+%$", "elbow": "-/.&*+%$", "article": "-/.()&*+%$", "splitter": "-/.()&*+%$"}[profile]
+    keep = {"strict": "-/.", "search": "-/.&*+%$", "elbow": "-/.&*+%$"}.get(profile, "-/.()&*+%$")
+    lines = profile not in ("elbow", "article")
     x = f"replace(coalesce({x}, ''), chr(160), ' ')"
-    if profile == "splitter":
+    if profile in ("strict", "bracketed", "discovery"):
         x = _sub(x, (rf"\A[{SPACE}]+", ""), (rf"[{SPACE}]+\z", ""))
     x = _sub(x, (_EMAIL, " "))
-    if profile in ("elbow", "article"):
+    if not lines:
         x = _sub(x, (r"<script[^\n]*script>", " "))
     x = _sub(x, (_URL, " "), ("[ㄱ-ㅎㅏ-ㅣ]+", " "), ("<[^>]*>", " "), (f"[^{keep}{WORD}{SPACE}]", " "))
-    if profile in ("search", "splitter"):
-        x = _sub(x, (r"([가-힣][^\n][가-힣]*)\.", r"\1. "), (r"(?m)^[ \t]+", ""), (r"[ \t]+:", ":"))
+    if profile in ("search", "discovery"):
+        x = _sub(x, (r"([가-힣][^\n][가-힣]*)\.", r"\1. "))
+    if profile == "bracketed":
+        x = _sub(x, (r"([ㄱ-ㅎ|ㅏ-ㅣ|가-힣][^\n][ㄱ-ㅎ|ㅏ-ㅣ|가-힣]*)\.", r"\1 "))
+    if lines:
+        x = _sub(x, (r"(?m)^[ \t]+", ""), (r"[ \t]+:", ":"))
     x = _sub(x, (r"[\n\t\r]", " "))
-    if profile == "splitter":
+    if profile in ("strict", "bracketed"):
+        x = f"upper({_without_numbers(x)})"
+    if profile == "discovery":
         x = _sub(x, ("[0-9]+[개층위건만억조원년월일]", ""), (r"[0-9]+[^\n][0-9]+%", ""))
     x = _sub(x, (" +", " "))
-    if profile in ("search", "splitter"):
+    if profile in ("search", "discovery"):
         x = f"upper({_sub(x, (r'\(\)', ' '))})"
     return x
 
@@ -66,19 +81,29 @@ def _sents(dots: str) -> str:
 list_append(regexp_extract_all(clean, '([^\n]*?다\.{dots})', 1), regexp_replace(clean, '[^\n]*?다\.', '', 'g')) AS l FROM docs))"""
 
 
-_OCC = f"""{_docs()}, {_sents('+')}, {_LEXICON},
+def _occurrences(profile: str = "search") -> str:
+    return f"""{_docs(profile)}, {_sents('+')}, {_LEXICON},
 pattern AS (SELECT string_agg(noun, '|' ORDER BY length(noun) DESC, noun) AS p FROM nouns WHERE length(noun) >= 2),
 found AS (SELECT doc_id, sent_id, sentence, regexp_extract_all(sentence, p) AS l FROM sents, pattern),
 occ AS MATERIALIZED (SELECT doc_id, sent_id, unnest(range(len(l))) AS pos, unnest(l) AS noun FROM found)"""
-_EDGES = f"""{_OCC}, sc AS (SELECT doc_id, sent_id, noun, count(*) AS n FROM occ GROUP BY ALL),
+
+
+_OCC = _occurrences()
+
+
+def _edges(profile: str = "search") -> str:
+    return f"""{_occurrences(profile)}, sc AS (SELECT doc_id, sent_id, noun, count(*) AS n FROM occ GROUP BY ALL),
 edges AS MATERIALIZED (SELECT * FROM (SELECT a.doc_id, a.noun AS src, b.noun AS dst, sum(b.n)::BIGINT - (a.noun = b.noun)::INT AS w FROM sc a JOIN sc b USING (doc_id, sent_id) GROUP BY a.doc_id, a.noun, b.noun) WHERE w > 0)"""
 
 
-def _ranks() -> str:
+_EDGES = _edges()
+
+
+def _ranks(profile: str = "search") -> str:
     rounds = [
         f"r{k} AS MATERIALIZED (SELECT e.doc_id, e.dst AS noun, sum(r.tr * e.p) AS tr FROM share e JOIN r{k - 1} r ON r.doc_id = e.doc_id AND r.noun = e.src GROUP BY e.doc_id, e.dst)" for k in range(1, 17)
     ]
-    return f"""{_EDGES}, deg AS MATERIALIZED (SELECT doc_id, src, sum(w) AS degree FROM edges GROUP BY ALL),
+    return f"""{_edges(profile)}, deg AS MATERIALIZED (SELECT doc_id, src, sum(w) AS degree FROM edges GROUP BY ALL),
 share AS MATERIALIZED (SELECT doc_id, src, dst, w / degree AS p FROM edges JOIN deg USING (doc_id, src)),
 dn AS MATERIALIZED (SELECT doc_id, noun, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS tr FROM (SELECT DISTINCT doc_id, noun FROM occ)),
 r0 AS (SELECT dn.* FROM dn JOIN deg ON deg.doc_id = dn.doc_id AND deg.src = dn.noun), {', '.join(rounds)},
@@ -110,20 +135,86 @@ runs AS (SELECT doc_id, min(ord) AS ord, concat(arg_min(a, ord), ' ', string_agg
 
 def _tfidf(formula: str) -> str:
     return f"""WITH {_NEEDLE_COUNTS}, df AS (SELECT needle, count(*) AS df FROM held GROUP BY needle)
-SELECT doc_id, needle, round({formula} * ln((SELECT count(*) FROM docs)::DOUBLE / df), 6) AS tfidf FROM held JOIN df USING (needle)"""
+SELECT doc_id, needle, round(round({formula} * ln((SELECT count(*) FROM docs)::DOUBLE / df), 12), 9) AS tfidf FROM held JOIN df USING (needle)"""
+
+
+_ORDER = """d AS (SELECT doc_id, noun, row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS ord FROM (SELECT doc_id, noun, min({'s': sent_id, 'p': pos}) AS spot FROM occ GROUP BY ALL)),
+m AS (SELECT *, EXISTS (SELECT 1 FROM d o WHERE o.doc_id = d.doc_id AND o.noun <> d.noun AND contains(o.noun, d.noun)) AS included FROM d)"""
+#: The morphemes ``ms`` of each ``token`` of the table ``words``, by the longest match of registered words from the left.
+_MORPHS = """lexu AS (SELECT upper(surface) AS s, min(tag) AS tag FROM lex GROUP BY ALL),
+tagger AS (SELECT string_agg(regexp_escape(s), '|' ORDER BY length(s) DESC, s) AS tp, map_from_entries(list({'k': s, 'v': tag})) AS tags FROM lexu),
+cut AS (SELECT token, regexp_extract_all(token, tp) AS l, string_split_regex(token, tp) AS g, tags FROM words, tagger),
+morphs AS MATERIALIZED (SELECT token, flatten(list_transform(range(1, len(g) + 1), lambda i: list_concat(CASE WHEN g[i] <> '' THEN [{'s': g[i], 't': 'UNKNOWN'}] ELSE [] END,
+CASE WHEN i <= len(l) THEN [{'s': l[i], 't': tags[l[i]]}] ELSE [] END))) AS ms FROM cut)"""
+_BANNED_TAGS = "NR NNB VV VA VX VCP VCN MAG MAJ JKS JKC JKG JKO JKB JKQ JX JC EP EF EC ETM XSV XSA XR".split()
+_BANNED = lambda t: f"regexp_matches({t}, '{'|'.join(_BANNED_TAGS)}')"
+_STRIPPED = f"stripped AS MATERIALIZED (SELECT token, array_to_string(list_transform(ms[1:coalesce(list_max(list_filter(range(1, len(ms) + 1), lambda i: NOT {_BANNED('ms[i].t')})), 0)], lambda m: m.s), '') AS stripped FROM morphs)"
+_KNOWN = "len(list_filter(ms, lambda m: m.t = 'UNKNOWN')) = 0"
+_SUBSTRINGS = """inner_ AS MATERIALIZED (SELECT DISTINCT token, n, substr(token, i, k) AS part FROM
+(SELECT token, n, i, unnest(range(2, length(token) - i + 2)) AS k FROM (SELECT token, n, unnest(range(1, length(token))) AS i FROM vocab)))"""
+
+
+_BARE_TEXT = "clean"
+for _ in range(6):
+    _BARE_TEXT = f"regexp_replace({_BARE_TEXT}, '\\([^()]*\\)', '', 'g')"
+_BARE_TEXT = f"regexp_replace({_BARE_TEXT}, '[()]', '', 'g')"
+
+
+def _frequency(needles: str) -> str:
+    """The frequency ``freq`` of each ``needle`` of a table in the vocabulary."""
+    return f"SELECT part AS needle, sum(n * {_count('token', 'part')})::BIGINT AS freq FROM inner_ WHERE part IN (SELECT needle FROM {needles}) GROUP BY part"
+
+
+_MUTUAL = """full_ AS (SELECT w.*, f.freq, lag(w.word) OVER o AS bw, lag(f.freq) OVER o AS bf, lead(w.word) OVER o AS aw, lead(f.freq) OVER o AS af
+FROM cand w JOIN freq f ON f.needle = w.word WINDOW o AS (PARTITION BY doc_id ORDER BY ord)),
+mutual AS (SELECT doc_id, word, freq FROM full_ WHERE CASE WHEN coalesce(contains(aw, word), false) THEN freq > af * 1.1
+WHEN aw IS NULL OR coalesce(contains(word, bw), false) THEN coalesce(bf * 0.9 < freq, true) ELSE true END)"""
+
+
+def _report(formula: str, shown: str, least: int) -> str:
+    return f"""WITH {_LEFT}, {_LEXICON}, lefts AS (SELECT token, coalesce(head, shortest) AS match FROM heads WHERE coalesce(head, shortest) <> ''),
+own AS MATERIALIZED (SELECT DISTINCT doc_id, match FROM toks JOIN lefts USING (token)), words AS (SELECT DISTINCT match AS token FROM own), {_MORPHS}, {_STRIPPED},
+reg AS (SELECT w.token AS match, coalesce(arg_max(noun, length(noun)), '') AS registered FROM words w LEFT JOIN nouns ON length(noun) >= 2 AND starts_with(w.token, noun) GROUP BY ALL),
+{_SUBSTRINGS}, hit AS MATERIALIZED (SELECT token, part, {_count('token', 'part')} AS k FROM inner_ WHERE part IN (SELECT token FROM words)),
+counted AS MATERIALIZED (SELECT doc_id, part AS match, sum(k)::BIGINT AS n FROM toks JOIN hit USING (token) GROUP BY ALL), df AS (SELECT match, count(*) AS df FROM counted GROUP BY match),
+scored AS (SELECT o.doc_id, o.match, s.stripped, r.registered, {formula} * ln((SELECT count(*) FROM docs)::DOUBLE / df) AS tfidf FROM own o JOIN counted USING (doc_id, match) JOIN df USING (match)
+JOIN stripped s ON s.token = o.match JOIN reg r ON r.match = o.match),
+pct AS MATERIALIZED (SELECT *, CASE WHEN length(match) = length(registered) OR tfidf < 3.5 THEN -1 ELSE floor(greatest(length(stripped), length(registered))::DOUBLE / length(match) * 100)::INT END AS pct FROM scored)
+{shown.replace('LEAST', str(least))}"""
 
 
 _CONTEXT = "concat(substr(clean, greatest(place - 10, 1), least(place - 1, 10)), '<', needle, '>', substr(clean, place + length(needle), 10))"
-_SPLITTER_TEXT = f"docs AS MATERIALIZED (SELECT _c0 AS doc_id, {_cleaned('NEWS', 'splitter')} AS clean FROM text), {_PIECES}, toks AS (SELECT * FROM pieces WHERE length(regexp_replace(token, '[0-9]+', '-', 'g')) >= 3)"
+_SPLITTER_TEXT = f"docs AS MATERIALIZED (SELECT _c0 AS doc_id, {_cleaned('NEWS', 'discovery')} AS clean FROM text), {_PIECES}, toks AS (SELECT * FROM pieces WHERE length(regexp_replace(token, '[0-9]+', '-', 'g')) >= 3)"
 _INNER = "regexp_replace({}, '\\([^()]*\\)', '', 'g')"
 _BARE = "NEWS"
 for _ in range(6):
     _BARE = _INNER.format(_BARE)
 
+_FIRST = f"""SELECT doc_id, match, stripped, registered, pct, concat('...', {_CONTEXT.replace('needle', 'match')}, '...') AS context, round(round(tfidf, 12), 9) AS tfidf
+FROM (SELECT p.*, clean, instr(clean, match) AS place FROM pct p JOIN docs USING (doc_id) WHERE pct >= LEAST)"""
+_ALL = f""", s AS (SELECT p.*, clean, string_split(clean, match) AS l FROM pct p JOIN docs USING (doc_id) WHERE pct >= LEAST),
+o AS (SELECT *, list_sum(list_transform(l[1:k], lambda x: length(x)))::BIGINT + (k - 1) * length(match) + 1 AS place FROM (SELECT *, unnest(range(1, len(l))) AS k FROM s))
+SELECT doc_id, match, stripped, registered, pct, concat('...', string_agg({_CONTEXT.replace('needle', 'match')}, '...' ORDER BY k), '...') AS context, round(round(tfidf, 12), 9) AS tfidf FROM o GROUP BY ALL"""
+
+_ELBOW = f"""WITH {_tokens(3, 'elbow')}, {_GROW}, {_PREFIX_FREQ},
+scored AS (SELECT token, len, prefix, freq AS score, lag(freq) OVER w AS before, coalesce(lead(freq) OVER w, 0.8::DOUBLE * freq) AS after FROM forms JOIN pfreq USING (prefix) WINDOW w AS (PARTITION BY token ORDER BY len)),
+chosen AS (SELECT token, prefix FROM scored WHERE CASE WHEN before IS NULL THEN score > after * 1.1 ELSE before - score < score - after END),
+own AS (SELECT DISTINCT doc_id, prefix AS noun FROM toks JOIN chosen USING (token)),
+np AS (SELECT DISTINCT noun FROM own),
+allv AS (SELECT token, count(*) AS n FROM pieces GROUP BY token),
+inner_ AS (SELECT DISTINCT token, substr(token, i, k) AS noun FROM (SELECT token, i, unnest(range(2, length(token) - i + 2)) AS k FROM (SELECT token, unnest(range(1, length(token))) AS i FROM allv))),
+hit AS (SELECT token, noun, {_count('token', 'noun')} AS k FROM inner_ SEMI JOIN np USING (noun)),
+n AS MATERIALIZED (SELECT doc_id, noun, sum(k) AS n FROM pieces JOIN hit USING (token) GROUP BY ALL),
+df AS (SELECT noun, count(*) AS df FROM n GROUP BY noun)
+SELECT doc_id, noun, round(round(ln(n::DOUBLE + 1) * ln((SELECT count(*) FROM docs)::DOUBLE / df), 12), 9) AS tfidf FROM own JOIN n USING (doc_id, noun) JOIN df USING (noun)
+WHERE n >= 2 AND ln(n::DOUBLE + 1) * ln((SELECT count(*) FROM docs)::DOUBLE / df) > 3.5"""
+
 ORACLES = {
     "clean_search": f"SELECT doc_id, {_cleaned('text', 'search')} AS clean FROM documents",
     "clean_elbow": f"SELECT doc_id, {_cleaned('text', 'elbow')} AS clean FROM documents",
-    "clean_splitter": f"SELECT doc_id, {_cleaned('text', 'splitter')} AS clean FROM documents",
+    "clean_discovery": f"SELECT doc_id, {_cleaned('text', 'discovery')} AS clean FROM documents",
+    "clean_strict": f"SELECT doc_id, {_cleaned('text', 'strict')} AS clean FROM documents",
+    "clean_bracketed": f"SELECT doc_id, {_cleaned('text', 'bracketed')} AS clean FROM documents",
     "clean_raw": "SELECT doc_id, regexp_replace(upper(coalesce(text, '')), ' +', ' ', 'g') AS clean FROM documents",
     "clean_article": f"SELECT _c0, {_cleaned('NEWS', 'article')} AS clean FROM text",
     "strip_parens": f"SELECT _c0, regexp_replace({_BARE}, '[()]', '', 'g') AS bare, contains(NEWS, '(') <> contains(NEWS, ')') AS unbalanced FROM text WHERE NEWS IS NOT NULL",
@@ -134,10 +225,10 @@ lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END) AS cell FROM lon
     "prefixes": f"WITH {_tokens(3)}, {_GROW} SELECT token, len, prefix FROM {_WHOLE}",
     "right_trims": f"WITH {_tokens()}, {_TRIMS} SELECT token, ord, form FROM forms",
     "three_way_splits": f"""WITH {_tokens(3)}, bare AS (SELECT token, regexp_replace(token, '\\.$', '') AS t FROM vocab),
-each AS (SELECT t, i, unnest(range(i + 1, length(t) + 1)) AS j FROM (SELECT t, unnest(range(1, length(t))) AS i FROM bare))
-SELECT substr(t, i, j - i + 1) AS um, count(*) AS n FROM each GROUP BY ALL""",
-    "spacings": """WITH words AS (SELECT DISTINCT surface AS word FROM lexicon WHERE length(surface) BETWEEN 2 AND 6),
-masks AS (SELECT word, unnest(range((2 ** (length(word) - 1))::BIGINT)) AS mask FROM words)
+each AS (SELECT token, t, i, unnest(range(i + 1, length(t) + 1)) AS j FROM (SELECT token, t, unnest(range(1, length(t))) AS i FROM bare))
+SELECT token, left(t, i - 1) AS lp, substr(t, i, j - i + 1) AS um, substr(t, j + 1) AS rp FROM each""",
+    "spacings": """WITH words AS (SELECT DISTINCT surface AS word FROM lexicon WHERE surface <> ''),
+masks AS (SELECT word, unnest(range(CASE WHEN length(word) > 12 THEN 1 ELSE (2 ** (length(word) - 1))::BIGINT END)) AS mask FROM words)
 SELECT word, array_to_string(list_transform(range(1, length(word) + 1), lambda i: concat(substr(word, i, 1), CASE WHEN i < length(word) AND (mask >> (i - 1)) & 1 = 1 THEN ' ' ELSE '' END)), '') AS way FROM masks""",
     "paren_parts": f"""WITH {_SPLITTER_TEXT}, p AS (SELECT CASE WHEN contains(token, '(') AND contains(token, ')') THEN string_split(substr(token, instr(token, '(') + 1), ')')[1]
 WHEN contains(token, '(') THEN substr(token, instr(token, '(') + 1) WHEN contains(token, ')') THEN left(token, length(token) - 1) ELSE token END AS token FROM toks)
@@ -145,25 +236,16 @@ SELECT token, count(*) AS n FROM p GROUP BY token""",
     "prefix_freq": f"WITH {_tokens()}, {_PREFIX_FREQ} SELECT prefix, freq FROM pfreq",
     "substring_count": f"WITH {_docs()}, {_NEEDLES} SELECT needle, coalesce(sum({_count('clean', 'needle')}), 0)::BIGINT AS freq FROM needles, docs GROUP BY needle",
     "word_start_rate": f"""WITH {_docs()}, {_NEEDLES}, c AS (SELECT needle, sum({_count('clean', "concat(' ', needle)")}) AS n FROM needles, docs GROUP BY needle)
-SELECT needle AS prefix, round(n::DOUBLE / (SELECT sum({_count('clean', "' '")}) FROM docs), 9) AS rate FROM c WHERE n > 0""",
+SELECT needle AS prefix, round(round(n::DOUBLE / (SELECT sum({_count('clean', "' '")}) FROM docs), 15), 9) AS rate FROM c WHERE n > 0""",
     "word_total": f"WITH {_docs()} SELECT doc_id, {_TOTAL}::BIGINT AS words, {_count('clean', "' '")}::BIGINT AS spaces FROM docs",
     "cliff_nouns_multi": f"WITH {_CLIFF} SELECT token, len, prefix, score FROM cliffs",
     "cliff_nouns_first": f"WITH {_CLIFF} SELECT token, min(len) AS len, arg_min(prefix, len) AS prefix, arg_min(score, len) AS score FROM cliffs GROUP BY token",
     "discovered_nouns": f"""WITH {_CLIFF}, own AS (SELECT DISTINCT doc_id, prefix AS noun FROM toks JOIN cliffs USING (token)),
 inside AS (SELECT doc_id, string_agg(token, ' ') AS t FROM toks GROUP BY doc_id)
 SELECT doc_id, noun FROM own JOIN inside USING (doc_id) WHERE {_count('t', 'noun')} >= 2""",
-    "elbow_nouns": f"""WITH {_tokens(3, 'elbow')}, {_GROW}, {_PREFIX_FREQ},
-scored AS (SELECT token, len, prefix, freq AS score, lag(freq) OVER w AS before, coalesce(lead(freq) OVER w, 0.8::DOUBLE * freq) AS after FROM forms JOIN pfreq USING (prefix) WINDOW w AS (PARTITION BY token ORDER BY len)),
-chosen AS (SELECT token, prefix FROM scored WHERE CASE WHEN before IS NULL THEN score > after * 1.1 ELSE before - score < score - after END),
-own AS (SELECT DISTINCT doc_id, prefix AS noun FROM toks JOIN chosen USING (token)),
-np AS (SELECT DISTINCT noun FROM own),
-allv AS (SELECT token, count(*) AS n FROM pieces GROUP BY token),
-inner_ AS (SELECT DISTINCT token, substr(token, i, k) AS noun FROM (SELECT token, i, unnest(range(2, length(token) - i + 2)) AS k FROM (SELECT token, unnest(range(1, length(token))) AS i FROM allv))),
-hit AS (SELECT token, noun, {_count('token', 'noun')} AS k FROM inner_ SEMI JOIN np USING (noun)),
-n AS MATERIALIZED (SELECT doc_id, noun, sum(k) AS n FROM pieces JOIN hit USING (token) GROUP BY ALL),
-df AS (SELECT noun, count(*) AS df FROM n GROUP BY noun)
-SELECT doc_id, noun, round(ln(n::DOUBLE + 1) * ln((SELECT count(*) FROM docs)::DOUBLE / df), 6) AS tfidf FROM own JOIN n USING (doc_id, noun) JOIN df USING (noun)
-WHERE n >= 2 AND ln(n::DOUBLE + 1) * ln((SELECT count(*) FROM docs)::DOUBLE / df) > 3.5""",
+    "elbow_nouns": _ELBOW,
+    "word_file": f"SELECT DISTINCT noun AS word FROM ({_ELBOW})",
+    "word_lists": f"SELECT d.doc_id, coalesce(string_agg(DISTINCT noun, ' ' ORDER BY noun), '') AS words FROM documents d LEFT JOIN ({_ELBOW}) e ON e.doc_id = d.doc_id GROUP BY d.doc_id",
     "longest_common_left": f"WITH {_LEFT} SELECT token, coalesce(head, shortest) AS match FROM heads WHERE coalesce(head, shortest) <> ''",
     "longest_common_left_strict": f"WITH {_LEFT} SELECT token, head AS match FROM heads WHERE head <> ''",
     "longest_common_left_rest": f"WITH {_LEFT} SELECT token, substr(token, length(head) + 1) AS match FROM heads WHERE head IS NOT NULL",
@@ -187,14 +269,14 @@ SELECT a.doc_id, a.noun AS src, b.noun AS dst, count(*) AS w FROM f a JOIN f b U
 k AS (SELECT doc_id, sent_id, l, g, unnest(range(1, len(l) + 1)) AS k FROM gaps),
 c AS (SELECT doc_id, sent_id, l[k] AS noun, list_sum(list_transform(g[1:k], lambda t: length(t))) + coalesce(list_sum(list_transform(l[1:k - 1], lambda t: length(t))), 0) AS at FROM k)
 SELECT DISTINCT a.doc_id, a.noun AS src, b.noun AS dst FROM c a JOIN c b USING (doc_id, sent_id) WHERE abs(a.at - b.at) <= 10 AND a.noun <> b.noun""",
-    "textrank": f"WITH {_ranks()} SELECT doc_id, noun, round(tr, 6) AS tr FROM ranks",
+    "textrank": f"WITH {_ranks()} SELECT doc_id, noun, round(round(tr, 12), 9) AS tr FROM ranks",
     "bigrams": f"WITH {_OCC}, {_BIGRAMS} SELECT doc_id, sent_id, pos, a, b FROM bi",
     "trigrams": f"""WITH {_OCC}, t AS (SELECT doc_id, noun AS a, lead(noun) OVER w AS b, lead(noun, 2) OVER w AS c FROM occ WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos))
 SELECT doc_id, concat(a, ' ', b, ' ', c) AS words, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY ALL""",
     "compound_count": f"WITH {_OCC}, {_PAIRS} SELECT p.doc_id, ord, a, b, n, {_count('clean', 'concat(a, b)')} + {_count('clean', "concat(a, ' ', b)")} AS n_spaced FROM pairs p JOIN docs USING (doc_id)",
-    "trpmi": f"WITH {_ranks()}, {_SCORED} SELECT doc_id, a, b, n, round(pmi, 6) AS pmi, round(trpmi, 6) AS trpmi FROM scored",
+    "trpmi": f"WITH {_ranks()}, {_SCORED} SELECT doc_id, a, b, n, round(round(pmi, 12), 9) AS pmi, round(round(trpmi, 12), 9) AS trpmi FROM scored",
     "dup_merge": f"""WITH {_ranks()}, {_SCORED}, m AS (SELECT doc_id, concat(a, b) AS label, count(*) AS n, product(trpmi) AS p, max(trpmi) AS top FROM scored GROUP BY ALL)
-SELECT doc_id, label, round(CASE WHEN n = 1 THEN top WHEN p < 0 THEN NULL ELSE pow(p, 1.0::DOUBLE / n) END, 6) AS score FROM m""",
+SELECT doc_id, label, round(round(CASE WHEN n = 1 THEN top WHEN p < 0 THEN NULL ELSE pow(p, 1.0::DOUBLE / n) END, 12), 9) AS score FROM m""",
     "all_pairs": f"""WITH {_OCC}, d AS (SELECT DISTINCT doc_id, noun FROM occ), bare AS (SELECT doc_id, replace(clean, ' ', '') AS t FROM docs),
 c AS (SELECT x.doc_id, x.noun AS a, y.noun AS b, {_count('t', 'concat(x.noun, y.noun)')} AS n FROM d x JOIN d y USING (doc_id) JOIN bare USING (doc_id) WHERE contains(t, concat(x.noun, y.noun)))
 SELECT doc_id, a, b, n FROM c WHERE n >= 2""",
@@ -212,11 +294,76 @@ a AS (SELECT DISTINCT needle, doc_id, unnest(range(pos - 2, pos + 3)) AS pos FRO
 f AS MATERIALIZED (SELECT DISTINCT t.needle AS noun, n.needle AS feature FROM t, needles n WHERE contains(token, n.needle)), s AS (SELECT noun, count(*) AS size FROM f GROUP BY noun),
 c AS (SELECT x.noun, y.noun AS other, count(*) AS shared FROM f x JOIN f y USING (feature) GROUP BY ALL),
 r AS (SELECT c.noun, other, round(shared / sqrt(s.size::DOUBLE * o.size), 9) AS cosine FROM c JOIN s ON s.noun = c.noun JOIN s o ON o.noun = c.other)
-SELECT noun, other, round(cosine, 6) AS cosine, row_number() OVER (PARTITION BY noun ORDER BY cosine DESC, other) AS rank FROM r""",
+SELECT noun, other, round(cosine, 9) AS cosine, row_number() OVER (PARTITION BY noun ORDER BY cosine DESC, other) AS rank FROM r""",
     "embedding_rank": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS cosine FROM embeddings q, embeddings e
-WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query_id, vec_id, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 10""",
+WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c) SELECT query_id, vec_id, round(cosine, 9) AS cosine, rank FROM r WHERE rank <= 10""",
     "registered_left": f"""WITH {_tokens()}, {_LEXICON}, h AS (SELECT token, unnest(list_transform(range(2, length(token) + 1), lambda i: left(token, i))) AS noun FROM vocab),
 m AS (SELECT token, arg_max(noun, length(noun)) AS noun FROM h JOIN nouns USING (noun) GROUP BY token) SELECT token AS match, coalesce(noun, '') AS registered FROM vocab LEFT JOIN m USING (token)""",
     "registered_filter": f"WITH {_tokens()}, {_LEXICON} SELECT token AS word FROM vocab WHERE token NOT IN (SELECT noun FROM nouns)",
     "unit_filter": f"WITH {_tokens()} SELECT token, n FROM vocab WHERE NOT regexp_matches(token, '[0-9]+[^\\n][0-9]+%|[0-9]+[조억만천원년월달일시분위여건개층][0-9]*|[0-9]+거래일')",
+    "plain_sentences": f"""WITH {_docs()}, p AS (SELECT doc_id, string_split(regexp_replace(clean, '([.!?])[ \\t\\n\\x0b\\f\\r]+', concat('\\1', chr(1)), 'g'), chr(1)) AS l FROM docs),
+e AS (SELECT doc_id, unnest(range(len(l))) AS sent_id, unnest(l) AS sentence FROM p) SELECT doc_id, sent_id, sentence FROM e WHERE sentence <> ''""",
+    "morphemes": f"""WITH {_tokens()}, {_LEXICON}, words AS (SELECT token FROM vocab), {_MORPHS}
+SELECT token, array_to_string(list_transform(ms, lambda m: concat(m.s, '/', m.t)), ' ') AS morphs FROM morphs""",
+    "particle_filter": f"""WITH {_tokens()}, {_LEXICON}, words AS (SELECT token FROM vocab), {_MORPHS}, l AS (SELECT token, ms, coalesce(ms[-1].t, '') AS t FROM morphs)
+SELECT token, {_KNOWN} AS known FROM l WHERE NOT (regexp_matches(t, '^[EJ]') OR contains(t, '+E') OR (contains(t, '+J') AND NOT contains(t, 'ETN'))) AND NOT {_BANNED('t')}""",
+    "morph_filters": f"""WITH {_tokens()}, {_LEXICON}, words AS (SELECT token FROM vocab), {_MORPHS}
+SELECT token, {_BANNED('ms[-1].t')} AS banned, len(ms) = 1 AND starts_with(ms[1].t, 'N') AS registered, len(ms) = 0 OR regexp_matches(ms[1].t, '^[NVJEX]') AS after_noun,
+len(ms) = 1 AND NOT starts_with(ms[1].t, 'S') AND ms[1].t <> 'UNKNOWN' AS single_known FROM morphs""",
+    "morph_joins": f"""WITH {_tokens()}, {_LEXICON}, words AS (SELECT token FROM vocab), {_MORPHS},
+e AS (SELECT token, ms, i, unnest(range(i, len(ms) + 1)) AS j FROM (SELECT token, ms, unnest(range(1, len(ms) + 1)) AS i FROM morphs))
+SELECT token, row_number() OVER (PARTITION BY token ORDER BY i, j) - 1 AS place, array_to_string(list_transform(ms[i:j], lambda m: m.s), '') AS part FROM e""",
+    "stripped_words": f"WITH {_tokens()}, {_LEXICON}, words AS (SELECT token FROM vocab), {_MORPHS}, {_STRIPPED} SELECT token, stripped FROM stripped",
+    "mutual_inclusion": f"""WITH {_CLIFF}, own AS (SELECT doc_id, prefix AS noun, min({{'p': pos, 'l': len}}) AS spot FROM toks JOIN cliffs USING (token) GROUP BY ALL),
+inside AS (SELECT doc_id, string_agg(token, ' ') AS t FROM toks GROUP BY doc_id),
+cand AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot, noun) - 1 AS ord, noun AS word FROM own JOIN inside USING (doc_id) WHERE {_count('t', 'noun')} >= 2),
+allv AS (SELECT token, count(*) AS n FROM pieces GROUP BY token),
+ai AS (SELECT DISTINCT token, n, substr(token, i, k) AS part FROM (SELECT token, n, i, unnest(range(2, length(token) - i + 2)) AS k FROM (SELECT token, n, unnest(range(1, length(token))) AS i FROM allv))),
+freq AS (SELECT part AS needle, sum(n * {_count('token', 'part')})::BIGINT AS freq FROM ai WHERE part IN (SELECT word FROM cand) GROUP BY part), {_MUTUAL} SELECT doc_id, word, freq FROM mutual""",
+    "compounds": f"""WITH {_ranks('strict')}, {_BIGRAMS}, seen AS (SELECT DISTINCT doc_id, a, b FROM bi),
+pairs AS MATERIALIZED (SELECT s.doc_id, a, b, clean, {_count('clean', 'concat(a, b)')} AS n FROM seen s JOIN docs USING (doc_id) WHERE {_count('clean', 'concat(a, b)')} >= 2),
+tot AS (SELECT doc_id, count(*)::DOUBLE AS total FROM occ GROUP BY doc_id),
+scored AS (SELECT p.doc_id, concat(a, b) AS label, sqrt(ra.tr * rb.tr) * ln((n / total) / (({_count('clean', 'a')} / total) * ({_count('clean', 'b')} / total))) AS trpmi FROM pairs p JOIN tot USING (doc_id)
+JOIN ranks ra ON ra.doc_id = p.doc_id AND ra.noun = a JOIN ranks rb ON rb.doc_id = p.doc_id AND rb.noun = b),
+m AS (SELECT doc_id, label, CASE WHEN count(*) = 1 THEN max(trpmi) WHEN product(trpmi) < 0 THEN NULL ELSE pow(product(trpmi), 1.0::DOUBLE / count(*)) END AS score FROM scored GROUP BY ALL)
+SELECT doc_id, label, round(round(score, 12), 9) AS score FROM m WHERE score > 0.3""",
+    "new_words": f"""WITH {_tokens(3, 'bracketed')}, {_LEXICON}, bare AS (SELECT token, regexp_replace(token, '\\.$', '') AS t FROM vocab),
+each AS (SELECT token, t, i, unnest(range(i + 1, length(t) + 1)) AS j FROM (SELECT token, t, unnest(range(1, length(t))) AS i FROM bare)),
+cuts AS (SELECT token AS doc_id, left(t, i - 1) AS lp, substr(t, i, j - i + 1) AS um, substr(t, j + 1) AS rp FROM each),
+unreg AS MATERIALIZED (SELECT * FROM cuts WHERE um NOT IN (SELECT upper(surface) FROM lex WHERE starts_with(tag, 'NN'))),
+words AS (SELECT DISTINCT rp AS token FROM unreg WHERE rp <> ''), {_MORPHS}, right_ AS (SELECT token AS rp, ms[1].s AS first FROM morphs WHERE {_KNOWN} UNION ALL SELECT '', ''),
+kept AS MATERIALIZED (SELECT doc_id, concat(um, first) AS needle, concat(lp, um) AS word FROM unreg JOIN right_ USING (rp)
+WHERE NOT (regexp_matches(lp, '[^\\p{{L}}]$') AND regexp_matches(um, '^[^\\p{{L}}]')) AND NOT (regexp_matches(um, '[^\\p{{L}}]$') AND regexp_matches(rp, '^[^\\p{{L}}]')) AND contains(um, '(') = contains(um, ')')),
+{_SUBSTRINGS}, nf AS ({_frequency('kept')}), w AS (SELECT DISTINCT doc_id, word FROM kept JOIN nf USING (needle) WHERE freq >= 2),
+cand AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY word) - 1 AS ord, word FROM w), wn AS (SELECT DISTINCT word AS needle FROM w), freq AS ({_frequency('wn')}), {_MUTUAL}
+SELECT DISTINCT word, freq FROM mutual WHERE word NOT IN (SELECT noun FROM nouns)""",
+    "search_report": _report("n::DOUBLE", _ALL, 1),
+    "search_report_short": _report("ln(n::DOUBLE + 1)", _FIRST, 0),
+    "frequent_starts": f"""WITH {_tokens(3)}, {_GROW}, whole AS (SELECT * FROM {_WHOLE}), started AS (SELECT token, count(*) AS n FROM pieces WHERE pos > 0 GROUP BY token),
+sf AS (SELECT prefix, sum(n)::BIGINT AS freq FROM (SELECT n, unnest(list_transform(range(2, length(token) + 1), lambda i: left(token, i))) AS prefix FROM started) GROUP BY prefix),
+scored AS (SELECT token, len, prefix, coalesce(freq, 0) AS score, lead(coalesce(freq, 0)) OVER (PARTITION BY token ORDER BY len) AS after FROM whole LEFT JOIN sf USING (prefix)),
+hit AS (SELECT token, arg_min(prefix, len) AS prefix, arg_min(score, len) AS score FROM scored WHERE after IS NULL OR score > after * 1.1 GROUP BY token)
+SELECT token, prefix, round(round(score::DOUBLE / (SELECT sum({_count('clean', "' '")}) FROM docs), 15), 9) AS rate FROM hit WHERE score >= 2""",
+    "top_nouns": f"""WITH {_ranks()}, r AS (SELECT doc_id, noun, round(tr, 9) AS tr FROM ranks), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tr DESC, noun) AS rank FROM r)
+SELECT doc_id, noun, round(round(tr, 12), 9) AS tr, rank FROM o WHERE rank <= 10""",
+    "first_documents": f"SELECT doc_id, {_cleaned('text', 'search')} AS clean FROM documents ORDER BY doc_id LIMIT 30",
+    "corpus_cliffs": f"""WITH docs AS MATERIALIZED (SELECT _c0 AS doc_id, {_cleaned('NEWS', 'search')} AS clean FROM text), {_PIECES},
+vocab AS MATERIALIZED (SELECT token, count(*) AS n FROM pieces WHERE length(regexp_replace(token, '[0-9]+', '-', 'g')) >= 3 GROUP BY token), {_GROW}, whole AS MATERIALIZED (SELECT * FROM {_WHOLE}),
+refd AS (SELECT {_cleaned('text', 'search')} AS clean FROM documents), refv AS (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(clean, ' ')) AS token FROM refd) GROUP BY token),
+rp AS (SELECT DISTINCT token, n, substr(token, i, k) AS part FROM (SELECT token, n, i, unnest(range(2, length(token) - i + 2)) AS k FROM (SELECT token, n, unnest(range(1, length(token))) AS i FROM refv))),
+sf AS (SELECT part AS prefix, sum(n * {_count('token', 'part')})::BIGINT AS score FROM rp WHERE part IN (SELECT prefix FROM whole) GROUP BY part),
+scored AS (SELECT token, len, prefix, coalesce(score, 0) AS score, lead(coalesce(score, 0)) OVER (PARTITION BY token ORDER BY len) AS after FROM whole LEFT JOIN sf USING (prefix))
+SELECT token, len, prefix, score FROM scored WHERE after IS NULL OR score > after * 1.1""",
+    "pmi_fallback": f"""WITH {_OCC}, {_BIGRAMS}, seen AS (SELECT DISTINCT doc_id, a, b FROM bi),
+p AS (SELECT s.doc_id, a, b, {_count('clean', 'concat(a, b)')} AS n, {_count('clean', "concat(a, ' ', b)")} AS sp, {_count('clean', 'a')} AS ca, {_count('clean', 'b')} AS cb, {_TOTAL}::DOUBLE AS total FROM seen s JOIN docs USING (doc_id)),
+j AS (SELECT *, CASE WHEN n = 0 THEN sp ELSE n END AS joint FROM p)
+SELECT doc_id, a, b, n, CASE WHEN joint = 0 THEN 0.0::DOUBLE ELSE round(round(ln((joint / total) / ((ca / total) * (cb / total))), 12), 9) END AS pmi FROM j""",
+    "report_file": f"SELECT doc_id, count(*) AS n FROM ({_report('n::DOUBLE', _FIRST, 1)}) GROUP BY doc_id",
+    "csv_articles": "SELECT _c0 AS doc_id, regexp_replace(coalesce(NEWS, ''), '\\r\\n?', chr(10), 'g') AS text FROM text",
+    "html_article": f"SELECT _c0, {_cleaned('NEWS', 'article')} AS clean FROM text",
+    "compound_count_bare": f"""WITH {_occurrences('discovery')}, {_BIGRAMS}, seen AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot.s, spot.p) - 1 AS ord, a, b FROM
+(SELECT doc_id, a, b, min({{'s': sent_id, 'p': pos}}) AS spot FROM bi GROUP BY ALL)), t AS (SELECT doc_id, replace(clean, ' ', '') AS one, replace({_BARE_TEXT}, ' ', '') AS two FROM docs),
+c AS (SELECT s.*, {_count('one', 'concat(a, b)')} AS n, {_count('two', 'concat(a, b)')} AS more FROM seen s JOIN t USING (doc_id)) SELECT doc_id, ord, a, b, n FROM c WHERE greatest(n, more) >= 2""",
+    "noun_order": f"WITH {_OCC}, {_ORDER} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY included, ord) - 1 AS ord, noun FROM m",
+    "noun_order_length": f"WITH {_OCC}, {_ORDER} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(noun) DESC, ord) - 1 AS ord, noun FROM m",
 }

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordmine.functions.measures import all_contexts, first_context, match_percent
+from wordmine.functions import clean
+from wordmine.functions.measures import all_contexts, count_in, first_context, match_percent
 from wordmine.operators import compound, counts, graph, select, similar, tagger, tokens
 from wordmine.plans.lineage import materialize
 
@@ -54,24 +55,27 @@ def compounds(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE) -
     ranks = graph.textrank(graph.cooccurrence(occ), occ.select("doc_id", "noun"))
     pairs = compound.with_counts(compound.bigrams(occ).select("doc_id", "a", "b").distinct(), docs, least=2, spaceless=False)
     total = occ.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    scored = compound.score_pairs(pairs, docs.join(total, "doc_id"), ranks, F.col("total"), spaceless=False)
+    scored = compound.score_pairs(pairs, docs.join(total, "doc_id"), ranks, F.col("total"), spaceless=False, fall_back=True)
     labelled = scored.select("doc_id", "a", "b", F.col("trpmi").alias("score"))
     return compound.merge_duplicates(labelled, F.concat("a", "b")).where(F.col("score") > least_score)
 
 
-def cliff_scores(docs: DataFrame, first: bool = False) -> DataFrame:
-    """``(token, len, prefix, score)``: prefixes at the cliff of their substring frequency in all documents."""
-    toks = tokens.tokenize(docs, least=3)
-    vocab = tokens.vocabulary(toks)
+def cliff_scores(docs: DataFrame, first: bool = False, corpus: DataFrame | None = None) -> DataFrame:
+    """``(token, len, prefix, score)``: prefixes at the cliff of their substring frequency in all documents, or in those of ``corpus``."""
+    vocab = materialize(tokens.vocabulary(tokens.tokenize(docs, least=3)), "vocabulary")
+    known = vocab if corpus is None else materialize(tokens.vocabulary(tokens.tokenize(corpus, least=0)), "corpus-vocabulary")
     forms = tokens.prefixes(vocab, parens=True)
-    freq = counts.substring_frequency(vocab, forms.select(F.col("prefix").alias("needle")))
+    freq = counts.substring_frequency(known, forms.select(F.col("prefix").alias("needle")))
     scored = forms.join(freq.select(F.col("needle").alias("prefix"), F.col("freq").alias("score")), "prefix")
     return select.cliff(scored.select("token", "len", "prefix", "score"), first)
 
 
-def discover_nouns(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``(doc_id, ord, noun)``: prefixes at a frequency cliff that occur ``least`` times in the document, in the order of their tokens."""
-    chosen = cliff_scores(docs).select("token", "len", F.col("prefix").alias("noun"))
+def discover_nouns(docs: DataFrame, least: int = LEAST, corpus: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, ord, noun)``: prefixes at a frequency cliff that occur ``least`` times in the document, in the order of their tokens.
+
+    Frequencies come from ``corpus``, a larger collection ``(doc_id, clean)``, if there is one.
+    """
+    chosen = materialize(cliff_scores(docs, corpus=corpus).select("token", "len", F.col("prefix").alias("noun")), "cliffs")
     toks = tokens.tokenize(docs, least=3)
     own = toks.join(chosen, "token").groupBy("doc_id", "noun").agg(F.min(F.struct("pos", "len")).alias("at"))
     n = counts.document_counts(toks, chosen.select(F.col("noun").alias("needle"))).where(F.col("n") >= least)
@@ -79,26 +83,24 @@ def discover_nouns(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return kept.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "noun")) - 1).alias("ord"), "noun")
 
 
-def discover(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE, keep_tail: bool = True) -> DataFrame:
+def discover(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE, keep_tail: bool = True, corpus: DataFrame | None = None) -> DataFrame:
     """``(doc_id, word, method)``: discovered nouns that aren't registered, and compounds by both methods scoring at least ``least_score``.
 
     ``pairs`` tries all adjacent nouns of the text without spaces, ``chains`` neighbouring nouns of a sentence merged
-    into chains; registered nouns may be parts of compounds.
+    into chains; registered nouns may be parts of compounds. Sentences give their nouns up one by one, those that lie
+    in others last. A pair counts by the text as it is or without its brackets, whichever has it more often.
     """
-    nouns = materialize(discover_nouns(docs), "nouns")
+    docs = materialize(docs.select("doc_id", "clean", clean.strip_parens(F.col("clean")).alias("bare")), "discover-docs")
+    nouns = materialize(discover_nouns(docs, corpus=corpus), "nouns")
     found = nouns.select("doc_id", F.col("noun").alias("word"))
-    occ_tokens = tokens.sentences(docs).select("doc_id", "sent_id", F.posexplode(F.split("sentence", " ")).alias("pos", "token"))
-    lengths = F.sequence(F.lit(2), F.greatest(F.length("token"), F.lit(2)))
-    each = occ_tokens.where(F.length("token") >= 2).select("doc_id", "sent_id", "pos", F.explode(F.transform(lengths, lambda k: F.substring("token", F.lit(1), k))).alias("noun"))
-    held = each.join(found.withColumnRenamed("word", "noun"), ["doc_id", "noun"])
-    occ = held.groupBy("doc_id", "sent_id", "pos").agg(F.max_by("noun", F.length("noun")).alias("noun"))
-    occ = materialize(occ.select("doc_id", "sent_id", "pos", "noun"), "noun-occurrences")
+    taken = compound.greedy_occurrences(tokens.sentences(docs), compound.with_order(nouns))
+    place = F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy("at", "step")) - 1
+    occ = materialize(taken.select("doc_id", "sent_id", place.alias("pos"), "noun"), "noun-occurrences")
     ranks = materialize(graph.textrank(graph.cooccurrence(occ), nouns.select("doc_id", "noun")), "ranks")
     total = counts.word_total(F.col("clean"))
-    new = compound.score_pairs(compound.adjacent_pairs(docs, nouns), docs, ranks, total)
+    new = compound.score_pairs(compound.adjacent_pairs(docs, nouns, also="bare"), docs, ranks, total)
     new = new.where(F.col("trpmi") >= least_score).select("doc_id", F.concat_ws(" ", "a", "b").alias("word"), F.lit("pairs").alias("method"))
-    seen = compound.first_seen(compound.bigrams(occ))
-    counted = compound.with_counts(seen, docs)
+    counted = materialize(compound.with_counts(compound.first_seen(compound.bigrams(occ)), docs, also="bare"), "counted-pairs")
     scored = compound.score_pairs(counted.select("doc_id", "a", "b", "n"), docs, ranks, total).where(F.col("trpmi") >= least_score)
     kept = counted.join(scored.select("doc_id", "a", "b"), ["doc_id", "a", "b"]).select("doc_id", "ord", "a", "b")
     chains = compound.chain_merge(kept, keep_tail).select("doc_id", F.array_join("words", " ").alias("word"), F.lit("chains").alias("method"))
@@ -106,6 +108,30 @@ def discover(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE, ke
     return fresh.unionByName(new).unionByName(chains).distinct()
 
 
+def frequent_starts(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(token, prefix, rate)``: the first prefix of each token at the cliff of its rate, if that is at least ``least`` by the number of spaces.
+
+    The rate is the number of tokens after a space that begin with the prefix, by the number of spaces of the collection.
+    """
+    vocab = materialize(tokens.vocabulary(tokens.tokenize(docs, least=3)), "vocabulary")
+    started = tokens.vocabulary(tokens.tokenize(docs, least=0).where("pos > 0"))
+    spaces = docs.agg(F.sum(count_in(F.col("clean"), F.lit(" "))).alias("spaces"))
+    freq = counts.prefix_frequency(started)
+    scored = tokens.prefixes(vocab, parens=True).join(freq, "prefix", "left").select("token", "len", "prefix", F.coalesce("freq", F.lit(0)).alias("score"))
+    chosen = select.cliff(scored, first=True).crossJoin(F.broadcast(spaces))  # one row
+    return chosen.where(F.col("score") >= least).select("token", "prefix", F.try_divide("score", "spaces").alias("rate"))
+
+
+def report_order(report: DataFrame) -> DataFrame:
+    """The rows of a search report, each document's together, by falling ``pct``, then falling ``tfidf``, then ``match``."""
+    return report.orderBy("doc_id", F.desc("pct"), F.desc("tfidf"), "match")
+
+
+def first_documents(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """The ``n`` documents with the least ``key``, a chosen part of a collection."""
+    return docs.orderBy(key).limit(n)
+
+
 def left_matches(docs: DataFrame, mode: int = 0) -> DataFrame:
     """``(token, match)``: the longest left part of each distinct token that it shares with other tokens of the collection."""
     vocab = tokens.vocabulary(tokens.tokenize(docs))
@@ -132,16 +158,18 @@ def search_report(docs: DataFrame, lexicon: DataFrame, tag: tagger.Tagger | None
     full = own.join(scores, ["doc_id", "match"]).join(explained, "match")
     full = full.withColumn("pct", match_percent(F.col("stripped"), F.col("registered"), F.col("match"), F.col("tfidf"))).where(F.col("pct") >= least)
     show = first_context if context == "first" else all_contexts
-    return full.join(docs, "doc_id").select("doc_id", "match", "stripped", "registered", "pct", show(F.col("clean"), F.col("match")).alias("context"), "tfidf")
+    return compound.beside(full, docs.select("doc_id", F.col("clean").alias("_text")), context=lambda r: show(F.col("_text"), r["match"])).select(
+        "doc_id", "match", "stripped", "registered", "pct", "context", "tfidf"
+    )
 
 
 def elbow_nouns(docs: DataFrame, least: int = LEAST, least_tfidf: float = TFIDF) -> DataFrame:
     """``(doc_id, noun, tfidf)``: prefixes at the elbow of their frequency that occur ``least`` times in a document and score above ``least_tfidf``."""
     toks = tokens.tokenize(docs, least=3)
-    vocab = tokens.vocabulary(toks)
+    vocab = materialize(tokens.vocabulary(toks), "vocabulary")
     forms = tokens.prefixes(vocab)
     freq = counts.prefix_frequency(vocab).withColumnRenamed("freq", "score")
-    chosen = select.elbow(forms.join(freq, "prefix").select("token", "len", "prefix", "score"))
+    chosen = materialize(select.elbow(forms.join(freq, "prefix").select("token", "len", "prefix", "score")), "elbows")
     n = counts.document_counts(tokens.tokenize(docs, least=0), chosen.select(F.col("prefix").alias("needle")))
     own = toks.select("doc_id", "token").distinct().join(chosen, "token").select("doc_id", F.col("prefix").alias("needle")).distinct()
     scores = counts.tfidf_table(n, docs.agg(F.count(F.lit(1)).alias("n_docs")), "zero")
@@ -153,10 +181,11 @@ def new_words(docs: DataFrame, lexicon: DataFrame, tag: tagger.Tagger | None = N
     """``(word, freq)``: left part and middle of token divisions whose middle isn't registered, whose right part is known, and that recur.
 
     Divisions between two signs that aren't letters, or with one bracket in the middle, don't count. A middle counts
-    with the first morpheme of its right part, if any. Registered nouns are left out at the end.
+    with the first morpheme of its right part, if any. Candidates of one token are put in order, and those that hardly
+    differ in frequency from a neighbour in it are left out. Registered nouns are left out at the end.
     """
     tag = tag or tagger.lexicon_tagger(lexicon)
-    vocab = tokens.vocabulary(tokens.tokenize(docs, least=3))
+    vocab = materialize(tokens.vocabulary(tokens.tokenize(docs, least=3)), "vocabulary")
     parts = tokens.splits(vocab)
     nouns = tagger.lexicon_rows(lexicon).where(F.startswith("tag", F.lit("NN"))).select(F.upper("surface").alias("um")).distinct()
     parts = parts.join(nouns, "um", "left_anti")
@@ -166,11 +195,13 @@ def new_words(docs: DataFrame, lexicon: DataFrame, tag: tagger.Tagger | None = N
     sign = r"[^\p{L}]"
     cut = (F.col("lp").rlike(sign + "$") & F.col("um").rlike("^" + sign)) | (F.col("um").rlike(sign + "$") & F.col("rp").rlike("^" + sign))
     one_sided = F.contains("um", F.lit("(")) != F.contains("um", F.lit(")"))
-    parts = parts.where(~cut & ~one_sided).select(F.concat("um", "first").alias("needle"), F.concat("lp", "um").alias("word"))
+    parts = parts.where(~cut & ~one_sided).select("token", F.concat("um", "first").alias("needle"), F.concat("lp", "um").alias("word"))
     freq = counts.substring_frequency(vocab, parts.select("needle")).where(F.col("freq") >= least)
-    words = parts.join(freq, "needle").select("word").distinct()
+    words = parts.join(freq, "needle").select("token", "word").distinct()
+    words = words.select(F.col("token").alias("doc_id"), (F.row_number().over(Window.partitionBy("token").orderBy("word")) - 1).alias("ord"), "word")
     counted = counts.substring_frequency(vocab, words.select(F.col("word").alias("needle"))).withColumnRenamed("needle", "word")
-    return tagger.without_registered(counted, lexicon)
+    kept = compound.mutual_inclusion(words, counted).select("word", "freq").distinct()
+    return tagger.without_registered(kept, lexicon)
 
 
 def similar_nouns(docs: DataFrame, nouns: DataFrame, distance: int = 2) -> DataFrame:
