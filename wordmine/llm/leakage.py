@@ -11,6 +11,7 @@ with the item's key terms, which stand for its answer, tells paraphrases.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -230,19 +231,19 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def best_passage(words: list[str], text: list[str]) -> tuple[int, list[str]]:
-    """The longest common subsequence of ``words`` and any part of ``text`` half as long again, with that part.
+def best_passage(words: list[str], text: list[str], least: float = 0) -> tuple[int, list[str]]:
+    """The longest common subsequence of ``words`` and any part of ``text`` half as long again, with that part; 0 if below ``least``.
 
-    Parts overlap by two thirds; only those that hold enough of the words to beat the best one are compared.
+    Parts overlap by two thirds; only those that hold enough of the words to reach ``least`` and beat the best one are compared.
     """
     size, known = max(4, len(words) * 3 // 2), set(words)
-    hit = np.cumsum([0, *(w in known for w in text)])
+    hit = [0, *itertools.accumulate(w in known for w in text)]
     best, where = 0, []
     for lo in range(0, max(1, len(text) - size + 1) + size // 3, max(1, size // 3)):
         hi = min(len(text), lo + size)
-        if lo < hi and hit[hi] - hit[lo] > best:
+        if lo < hi and hit[hi] - hit[lo] > best and hit[hi] - hit[lo] >= least:
             n = common_subsequence(words, text[lo:hi])
-            if n > best:
+            if n > best and n >= least:
                 best, where = n, text[lo:hi]
     return best, where
 
@@ -270,9 +271,9 @@ def judge(item: Item, words: list[str], known: set[str], text: str, common: floa
         run = longest_run(item.words, text)
         return "copy", run, run
     least = common * len(item.words)
-    if sum(w in known for w in item.words) < least:
-        return None
-    shared, passage = best_passage(item.words, words)
+    if sum(k in text for k in item.keys) < keys * len(item.keys) or sum(w in known for w in item.words) < least:
+        return None  # what the whole text lacks no passage has
+    shared, passage = best_passage(item.words, words, least)
     if shared < least or answers(item, passage) < keys:
         return None
     return "paraphrase", longest_run(item.words, text), shared
