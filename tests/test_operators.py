@@ -276,7 +276,7 @@ def test_noun_orders(spark):
 
 def test_surroundings_and_fallback(spark):
     row = spark.createDataFrame([("0123456789ab가cd가e",)], "t string")
-    assert row.select(measures.surroundings(F.col("t"), F.lit("가"))).first()[0] == "23456789ab" + "cd가e" + "456789abcd" + "e"
+    assert row.select(measures.surroundings("t", F.lit("가"))).first()[0] == "23456789ab" + "cd가e" + "456789abcd" + "e"
     got = row.select(measures.pmi_any_spacing(F.lit("a b a b"), [F.lit("a"), F.lit("b")], F.lit(0), [F.lit(2), F.lit(2)], F.lit(4))).first()[0]
     assert got == pytest.approx(math.log((2 / 4) / (2 / 4 * 2 / 4)))
 
@@ -307,3 +307,43 @@ def test_shared_folder_is_needed_on_a_cluster():
     conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
+def test_nouns_are_the_longest_from_the_left(spark, lexicon):
+    import re
+
+    more = lexicon.unionByName(spark.createDataFrame([("성장률", "NNG"), ("장경", "NNP")], "surface string, tag string"))
+    texts = [(1, "경제성장은 경제가 성장했다. 성성장장경제 성장률"), (2, "없다"), (3, None), (4, "장경제성장률경제")]
+    docs = tokens.documents(spark.createDataFrame(texts, "doc_id bigint, text string"))
+    want = [(r.doc_id, r.sent_id, k, m[0], m.start()) for r in tokens.sentences(docs).collect() for k, m in enumerate(re.finditer("성장률|경제|성장|둔화|장경", r.sentence))]
+    assert rows(pipelines.noun_occurrences(docs, more)) == sorted(want) and len(want) > 8
+    assert rows(pipelines.noun_occurrences(docs, lexicon.limit(0))) == []
+
+
+def test_lists_are_bounded(spark):
+    from wordmine.plans import lineage
+
+    df = spark.createDataFrame([(k,) for k in range(5)], "k int")
+    assert len(lineage.listed(df, "it", 5)) == 5
+    with pytest.raises(ValueError):
+        lineage.listed(df, "it", 4)
+
+
+def test_pages_are_fetched_by_the_tasks(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<div class='art_txt'>본문</div>", encoding="utf8")
+    good, bad = f"file://{tmp_path}/a.html", f"file://{tmp_path}/none.html"
+    got = {r.url: r.text for r in html.select_node(html.fetch_pages(spark, [good, bad])).collect()}
+    assert got == {good: "본문", bad: None}
+
+
+def test_taking_one_out_may_make_another(spark):
+    assert compound.take_all("aaabbb", ["ab"]) == [(2, "ab"), (1, "ab"), (0, "ab")] and compound.take_all("abc", ["", "bc", "ab"]) == [(1, "bc")]
+    rng = random.Random(7)
+    for _ in range(300):
+        text, nouns = "".join(rng.choice("abc") for _ in range(rng.randint(0, 14))), ["".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(3)]
+        want, rest = [], text
+        for n in nouns:
+            while n in rest:
+                want.append((rest.index(n), n))
+                rest = rest.replace(n, "", 1)
+        assert compound.take_all(text, nouns) == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,18 +90,24 @@ def first_context(text: Column, word: Column, radius: int = 10) -> Column:
     return F.when(at > 0, F.concat(F.lit("..."), left, F.lit("<"), word, F.lit(">"), right, F.lit("...")))
 
 
-def surroundings(text: Column, word: Column, radius: int = 10) -> Column:
-    """What stands within ``radius`` characters left and right of each occurrence, joined; an occurrence goes from the text before the next is looked for."""
-    start = F.struct(text.alias("rest"), F.lit("").alias("out"))
+def around(text: str, word: str, radius: int = 10) -> str:
+    """What stands within ``radius`` characters left and right of each occurrence; one goes from the text before the next is looked for."""
+    out, at = [], text.find(word) if word else -1
+    while at >= 0:
+        out += [text[max(0, at - radius) : at], text[at + len(word) : at + len(word) + radius]]
+        text = text[:at] + text[at + len(word) :]
+        at = text.find(word, max(0, at - len(word) + 1))
+    return "".join(out)
 
-    def step(acc: Column, _: Column) -> Column:
-        at = F.instr(acc["rest"], word)
-        left = F.substring(acc["rest"], F.greatest(at - radius, F.lit(1)), F.least(at - 1, F.lit(radius)))
-        right = F.substring(acc["rest"], at + F.length(word), F.lit(radius))
-        rest = F.concat(F.substring(acc["rest"], F.lit(1), at - 1), F.substring(acc["rest"], at + F.length(word), F.length(acc["rest"])))
-        return F.when(at > 0, F.struct(rest.alias("rest"), F.concat(acc["out"], left, right).alias("out"))).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(count_in(text, word), F.lit(1)).cast("int")), start, step)["out"]
+def surroundings(text: Column | str, word: Column | str) -> Column:
+    """``around`` for columns, in Arrow batches, for taking one out may make another; null for null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or w is None else around(t, w) for t, w in zip(texts, words)], dtype=object)
+
+    return run(text, word)
 
 
 def all_contexts(text: Column, word: Column, radius: int = 10) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,28 +163,34 @@ def longest_first(nouns: DataFrame) -> DataFrame:
     return nouns.select("doc_id", place.alias("ord"), "noun")
 
 
+def take_all(text: str, nouns: list[str]) -> list[tuple[int, str]]:
+    """Where each noun in turn is found in what is left of a text, one occurrence after the other, until none is left."""
+    out = []
+    for noun in nouns:
+        at = text.find(noun) if noun else -1
+        while at >= 0:
+            out.append((at, noun))
+            text = text[:at] + text[at + len(noun) :]
+            at = text.find(noun, max(0, at - len(noun) + 1))  # what was before can't hold it but across the gap
+    return out
+
+
 def greedy_occurrences(sentences: DataFrame, nouns: DataFrame) -> DataFrame:
     """``(doc_id, sent_id, step, at, noun)``: nouns taken out of each sentence one occurrence at a time, in the order given.
 
-    ``nouns`` is ``(doc_id, ord, noun)``. ``at`` is the place in what is left of the sentence. The order matters, so
-    each sentence is folded over the document's noun list.
+    ``nouns`` is ``(doc_id, ord, noun)``. ``at`` is the place in what is left of the sentence, where taking one out may
+    make another. The order matters and the number of steps is open, so each sentence is worked off in Python, in
+    Arrow batches; only sentences that hold any noun at all are sent there.
     """
     lists = nouns.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_set(F.struct("ord", "noun"))), lambda x: x["noun"]).alias("list"))
 
-    def take(acc: Column, noun: Column) -> Column:
-        rounds = F.sequence(F.lit(0), count_in(acc["rest"], noun).cast("int"))
-
-        def once(a: Column, _: Column) -> Column:
-            at = F.instr(a["rest"], noun)
-            rest = F.concat(F.substring(a["rest"], F.lit(1), at - 1), F.substring(a["rest"], at + F.length(noun), F.length(a["rest"])))
-            hit = F.concat(a["out"], F.array(F.struct((at - 1).cast("int").alias("at"), noun.alias("noun"))))
-            return F.struct(F.when(at > 0, rest).otherwise(a["rest"]).alias("rest"), F.when(at > 0, hit).otherwise(a["out"]).alias("out"))
-
-        return F.aggregate(rounds, acc, once)
+    @F.pandas_udf("array<struct<at:int,noun:string>>")
+    def taken(texts: pd.Series, lists_: pd.Series) -> pd.Series:
+        return pd.Series([[{"at": a, "noun": n} for a, n in take_all(t or "", list(w))] for t, w in zip(texts, lists_)])
 
-    empty = F.struct(F.col("sentence").alias("rest"), F.array().cast("array<struct<at:int,noun:string>>").alias("out"))
-    folded = sentences.join(lists, "doc_id").select("doc_id", "sent_id", F.posexplode(F.aggregate("list", empty, take)["out"]).alias("step", "x"))
-    return folded.select("doc_id", "sent_id", "step", "x.at", "x.noun")
+    held = sentences.join(lists, "doc_id").where(F.exists("list", lambda n: F.contains("sentence", n)))
+    found = held.select("doc_id", "sent_id", F.posexplode(taken("sentence", "list")).alias("step", "x"))
+    return found.select("doc_id", "sent_id", "step", "x.at", "x.noun")
 
 
 def mutual_inclusion(words: DataFrame, frequency: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,12 +50,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20
     each query, and only these are ranked, ties by ``vec_id``. Null and zero vectors and those of another length are left out.
     """
     spark = vectors.sparkSession
-    rows = [(r.vec_id, r.embedding) for r in queries.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").toLocalIterator()]
+    rows = queries.select("vec_id", "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL").toLocalIterator()
     good = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
     schema = "query_id bigint, vec_id bigint, cosine double"
     result = spark.createDataFrame([], schema)
-    for lo in range(0, len(rows), block):
-        part = [(i, np.array(e, np.float64)) for i, e in rows[lo : lo + block]]
+    while held := list(itertools.islice(rows, block)):  # the driver holds one block at a time
+        part = [(r.vec_id, np.array(r.embedding, np.float64)) for r in held]
         part = [(i, e) for i, e in part if np.linalg.norm(e) > 0 and not np.isnan(e).any()]
         shared = spark.sparkContext.broadcast(part)
 

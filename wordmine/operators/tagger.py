@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordmine.plans.lineage import listed
+
 UNKNOWN = "UNKNOWN"
 MORPHS = "array<struct<surface:string,tag:string>>"
 #: Tags of words that aren't content of a noun.
@@ -32,7 +34,7 @@ def lexicon_rows(lexicon: DataFrame) -> DataFrame:
 
 def lexicon_tagger(lexicon: DataFrame) -> Tagger:
     """A tagger by longest match over ``(surface, tag)``, a list of fixed size; runs without a match are UNKNOWN."""
-    entries = {r.surface.upper(): r.tag for r in lexicon_rows(lexicon).collect()}
+    entries = {r.surface.upper(): r.tag for r in sorted(listed(lexicon_rows(lexicon), "the lexicon"))}
     longest = max(map(len, entries), default=0)
 
     def tag(text: str) -> list[tuple[str, str]]:

@@ -350,7 +350,7 @@ def unit_filter(spark: SparkSession, folder: str) -> DataFrame:
 def noun_surroundings(spark: SparkSession, folder: str) -> DataFrame:
     n, docs = _needle_counts(spark, folder)
     text = docs.select("doc_id", F.col("clean").alias("_text"))
-    return compound.beside(n.select("doc_id", "needle"), text, around=lambda r: measures.surroundings(F.col("_text"), r["needle"]))
+    return n.join(text, "doc_id").select("doc_id", "needle", measures.surroundings("_text", "needle").alias("around"))
 
 
 def frequent_starts(spark: SparkSession, folder: str) -> DataFrame:
@@ -386,7 +386,7 @@ def pmi_fallback(spark: SparkSession, folder: str) -> DataFrame:
 def csv_articles(spark: SparkSession, folder: str) -> DataFrame:
     """The articles written as a CSV file with cells over several lines and read again."""
     path = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex[:12]}.csv"
-    rows = table(spark, folder, "text", "_c0", "NEWS", "RANDOM").select("_c0", F.regexp_replace(F.coalesce("NEWS", F.lit("")), "\r\n?", "\n").alias("NEWS"))
+    rows = table(spark, folder, "text", "_c0", "NEWS", "RANDOM").select("_c0", F.regexp_replace(F.coalesce("NEWS", F.lit("")), "\r\n?", "\n").alias("NEWS_BODY"))
     io.write_articles(rows, path)
     return io.load_docs(spark, path, key="_c0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 

@@ -1,4 +1,4 @@
-"""Cutting lineage with tables in the folder that all executors share."""
+"""Cutting lineage with tables in the folder that all executors share, and taking bounded lists to the driver."""
 
 from __future__ import annotations
 
@@ -7,7 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+
+#: Most rows of a list, such as a lexicon, that the driver holds and the tasks are sent.
+LIST_ROWS = 1_000_000
+
+_stored: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +34,37 @@ def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataF
     """Write ``df`` below the shared folder and read it back.
 
     Unlike a local checkpoint the files survive the loss of any executor, and later stages start from them instead
-    of repeating the work before. ``by`` writes a directory for each value of these columns.
+    of repeating the work before. ``by`` writes a directory for each value of these columns. The table is removed when
+    the driver ends, or by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    _stored.append((place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> int:
+    """Remove all tables that ``materialize`` wrote so far; the number of them. What still reads them fails afterwards."""
+    n = 0
+    while _stored:
+        place, files = _stored.pop()
+        try:
+            n += bool(files.delete(place, True))
+        except Exception:  # the JVM or the file system is gone; the folder's owner has to clean up
+            _stored.clear()
+    return n
+
+
+atexit.register(release)
+
+
+def listed(df: DataFrame, what: str, most: int = LIST_ROWS) -> list[Row]:
+    """The rows of a list of bounded size; an error if it has more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what} has more than {most} rows, which is too many to send to every task")
+    return rows

@@ -366,4 +366,19 @@ SELECT doc_id, a, b, n, CASE WHEN joint = 0 THEN 0.0::DOUBLE ELSE round(round(ln
 c AS (SELECT s.*, {_count('one', 'concat(a, b)')} AS n, {_count('two', 'concat(a, b)')} AS more FROM seen s JOIN t USING (doc_id)) SELECT doc_id, ord, a, b, n FROM c WHERE greatest(n, more) >= 2""",
     "noun_order": f"WITH {_OCC}, {_ORDER} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY included, ord) - 1 AS ord, noun FROM m",
     "noun_order_length": f"WITH {_OCC}, {_ORDER} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(noun) DESC, ord) - 1 AS ord, noun FROM m",
+    "paren_suffixes": f"""WITH {_SPLITTER_TEXT}, b AS (SELECT doc_id, pos, token, list_transform(regexp_extract_all(token, '[()]'), lambda x: {{'rest': x, 'out': []::VARCHAR[]}}) AS bs FROM toks WHERE regexp_matches(token, '[()]')),
+w AS (SELECT doc_id, pos, list_reduce(list_concat([{{'rest': token, 'out': []::VARCHAR[]}}], bs), lambda a, x: {{'rest': concat(left(a.rest, instr(a.rest, x.rest) - 1), substr(a.rest, instr(a.rest, x.rest) + 1)),
+'out': list_append(a.out, substr(a.rest, instr(a.rest, x.rest) + 1))}}).out AS l FROM b),
+f AS (SELECT doc_id, pos, unnest(l) AS token FROM w), u AS (SELECT doc_id, 0 AS step, pos, token FROM toks UNION ALL
+SELECT f.doc_id, 1, pos, token FROM f JOIN docs USING (doc_id) WHERE length(token) >= 2 AND {_count('clean', 'token')} >= 2)
+SELECT doc_id, (contains(token, '(') AND contains(token, ')'))::INT AS bracketed, step, pos, token FROM u WHERE contains(token, '(') = contains(token, ')')""",
+    "greedy_occurrences": f"""WITH {_OCC}, {_ORDER}, lists AS (SELECT doc_id, list(noun ORDER BY included, ord) AS ns FROM m GROUP BY doc_id),
+x AS (SELECT doc_id, sent_id, sentence, flatten(list_transform(ns, lambda n: list_transform(range(length(sentence) // length(n)), lambda k: {{'rest': n, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}}))) AS steps FROM sents JOIN lists USING (doc_id)),
+w AS (SELECT doc_id, sent_id, list_reduce(list_concat([{{'rest': sentence, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}}], steps), lambda a, s: CASE WHEN contains(a.rest, s.rest)
+THEN {{'rest': concat(left(a.rest, instr(a.rest, s.rest) - 1), substr(a.rest, instr(a.rest, s.rest) + length(s.rest))), 'out': list_append(a.out, {{'at': (instr(a.rest, s.rest) - 1)::INT, 'noun': s.rest}})}} ELSE a END).out AS l FROM x),
+o AS (SELECT doc_id, sent_id, l, unnest(range(len(l))) AS step FROM w) SELECT doc_id, sent_id, step, l[step + 1].at AS at, l[step + 1].noun AS noun FROM o""",
+    "noun_surroundings": f"""WITH {_NEEDLE_COUNTS}, x AS (SELECT doc_id, needle, clean, list_transform(range(length(clean) // length(needle)), lambda k: {{'rest': needle, 'out': ''}}) AS steps FROM held),
+w AS (SELECT doc_id, needle, list_reduce(list_concat([{{'rest': clean, 'out': ''}}], steps), lambda a, s: CASE WHEN contains(a.rest, s.rest) THEN {{'rest': concat(left(a.rest, instr(a.rest, s.rest) - 1), substr(a.rest, instr(a.rest, s.rest) + length(s.rest))),
+'out': concat(a.out, substr(a.rest, greatest(instr(a.rest, s.rest) - 10, 1), least(instr(a.rest, s.rest) - 1, 10)), substr(a.rest, instr(a.rest, s.rest) + length(s.rest), 10))}} ELSE a END).out AS around FROM x)
+SELECT doc_id, needle, around FROM w""",
 }
