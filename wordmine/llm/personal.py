@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from wordmine.llm.lookalike import consistent_spans
 from wordmine.llm.records import records
+from wordmine.plans.lineage import listed
 from wordmine.sources.tables import table
 
 KINDS = ("email", "phone", "id", "address", "name")
@@ -548,7 +549,7 @@ def _lexicon(lexicon: DataFrame | None) -> frozenset[str]:
     """Registered words of at least three letters; a list of fixed size, not of the corpus."""
     if lexicon is None:
         return frozenset()
-    rows = lexicon.where(F.length("surface") >= 3).select("surface").distinct().collect()
+    rows = listed(lexicon.where(F.length("surface") >= 3).select("surface").distinct(), "the lexicon")
     return frozenset(r.surface for r in rows)
 
 
