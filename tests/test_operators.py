@@ -347,3 +347,20 @@ def test_taking_one_out_may_make_another(spark):
                 want.append((rest.index(n), n))
                 rest = rest.replace(n, "", 1)
         assert compound.take_all(text, nouns) == want
+
+
+def test_longest_matches_equal_a_pattern():
+    import re
+
+    import ahocorasick
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        words = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(1, 6))}
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 16)))
+        pattern = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+        assert pipelines.longest_from_left(automaton, text) == [(m.start(), m[0]) for m in re.finditer(pattern, text)]

@@ -26,6 +26,19 @@ def lexicon_nouns(lexicon: DataFrame) -> list[str]:
     return sorted(r.noun for r in listed(nouns.select(F.upper("surface").alias("noun")).distinct(), "the lexicon"))
 
 
+def longest_from_left(automaton, text: str) -> list[tuple[int, str]]:
+    """The matches of an automaton from left to right, at each free place the longest, as ``(at, word)``."""
+    longest: dict[int, str] = {}
+    for end, word in automaton.iter(text):  # by rising end, so a later one of the same beginning is longer
+        longest[end - len(word) + 1] = word
+    out, free = [], 0
+    for at in sorted(longest):
+        if at >= free:
+            out.append((at, longest[at]))
+            free = at + len(longest[at])
+    return out
+
+
 def noun_occurrences(docs: DataFrame, lexicon: DataFrame, closed: bool = True) -> DataFrame:
     """``(doc_id, sent_id, pos, noun, at)``: the registered nouns of every sentence from left to right, at each place the longest, with their offset.
 
@@ -43,7 +56,7 @@ def noun_occurrences(docs: DataFrame, lexicon: DataFrame, closed: bool = True) -
             automaton.add_word(noun, noun)
         automaton.make_automaton()
         for part in parts:
-            yield part.map(lambda t: [{"noun": n, "at": end - len(n) + 1} for end, n in automaton.iter_long(t or "")] if nouns else [])
+            yield part.map(lambda t: [{"noun": n, "at": at} for at, n in longest_from_left(automaton, t or "")] if nouns else [])
 
     sents = tokens.sentences(docs, closed=closed)
     return sents.select("doc_id", "sent_id", F.posexplode(found("sentence")).alias("pos", "x")).select("doc_id", "sent_id", "pos", "x.noun", "x.at")
