@@ -364,3 +364,14 @@ def test_longest_matches_equal_a_pattern():
         text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 16)))
         pattern = "|".join(sorted(words, key=lambda w: (-len(w), w)))
         assert pipelines.longest_from_left(automaton, text) == [(m.start(), m[0]) for m in re.finditer(pattern, text)]
+
+
+def test_ranks_from_sentences_equal_ranks_over_edges(spark):
+    rng = random.Random(8)
+    occ = [(d, s, k, rng.choice("abcdefg"[: d + 1])) for d in range(7) for s in range(5) for k in range(rng.randint(0, 6))]
+    df = spark.createDataFrame(occ, "doc_id bigint, sent_id int, pos int, noun string")
+    nouns = df.select("doc_id", "noun").unionByName(spark.createDataFrame([(0, "only"), (50, "x"), (50, "y")], "doc_id bigint, noun string"))
+    want = {(d, n): v for d, n, v in rows(graph.textrank(graph.cooccurrence(df), nouns))}
+    got = {(d, n): v for d, n, v in rows(graph.sentence_rank(df, nouns, batch_docs=2))}
+    assert got == pytest.approx(want) and (50, "x") in got
+    assert rows(graph.sentence_rank(df.limit(0), nouns.limit(0))) == []

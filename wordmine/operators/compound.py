@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordmine.functions.measures import count_in, geometric_mean, literal, pmi, pmi_any_spacing, without_spaces
+from wordmine.functions.measures import count_in, geometric_mean, pmi, pmi_any_spacing, without_spaces
 from wordmine.operators.counts import occurrences
 
 
@@ -55,37 +55,39 @@ def with_counts(pairs: DataFrame, docs: DataFrame, text: str = "clean", least: i
     return counted.where(F.greatest("n", "_more") >= least).drop("_more") if also else counted.where(F.col("n") >= least)
 
 
-def positions(text: Column, needle: Column) -> Column:
-    """Every 1-based place of ``needle`` in ``text``, overlapping ones as well.
+def pairs_in(text: str, nouns: list[str], also: str | None = None, least: int = 2) -> list[tuple[str, str, int]]:
+    """``(a, b, n)``: nouns of which one ends in ``text`` where another begins, and how often the two joined occur, not overlapping.
 
-    A needle that no part of itself both begins and ends can't overlap itself, and its places follow from splitting;
-    only the others are looked up at every place.
+    Only pairs that occur ``least`` times, in ``text`` or in ``also``, are given; ``n`` is the number in ``text``.
     """
-    size, n = F.length(needle), F.length(text) - F.length(needle) + 1
-    border = F.exists(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda k: (size > 1) & (F.substring(needle, F.lit(1), k) == F.substring(needle, size - k + 1, k)))
-    everywhere = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, size) == needle)
-    pieces = F.split(text, literal(needle))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate(
-        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        start,
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + size).cast("int").alias("at"), F.concat(acc["out"], F.array((acc["at"] + F.length(p)).cast("int"))).alias("out")),
-    )["out"]
-    return F.when(n < 1, F.array().cast("array<int>")).when(border, everywhere).otherwise(walked)
+    begins: dict[int, list[str]] = {}
+    places: list[tuple[str, int]] = []
+    for noun in nouns:
+        at = text.find(noun) if noun else -1
+        while at >= 0:
+            begins.setdefault(at, []).append(noun)
+            places.append((noun, at + len(noun)))
+            at = text.find(noun, at + 1)
+    met = {(a, b) for a, end in places for b in begins.get(end, ())}
+    counted = ((a, b, text.count(a + b)) for a, b in sorted(met))
+    return [(a, b, n) for a, b, n in counted if n >= least or also is not None and also.count(a + b) >= least]
 
 
 def adjacent_pairs(docs: DataFrame, nouns: DataFrame, text: str = "clean", least: int = 2, also: str | None = None) -> DataFrame:
     """``(doc_id, a, b, n)``: ordered pairs of a document's nouns whose concatenation occurs ``least`` times in its text without spaces.
 
-    Found by a join on places, where one noun ends and the other begins, not by trying all pairs.
+    Each noun is looked for once in its document's text, and pairs are formed only where one ends and another begins,
+    not by trying all. A document's nouns travel as one array; the work is done in Arrow batches.
     """
-    bare = docs.select("doc_id", without_spaces(F.col(text)).alias("bare"))
-    places = beside(nouns.select("doc_id", "noun").distinct(), bare, at=lambda r: positions(F.col("bare"), r["noun"]))
-    at = places.select("doc_id", "noun", F.explode("at").alias("at"))
-    a = at.select("doc_id", F.col("noun").alias("a"), (F.col("at") + F.length("noun")).alias("meet"))
-    b = at.select("doc_id", F.col("noun").alias("b"), F.col("at").alias("meet"))
-    pairs = a.join(b, ["doc_id", "meet"]).select("doc_id", "a", "b").distinct()
-    return with_counts(pairs, docs, text, least, also=also)
+    lists = nouns.where("noun <> ''").groupBy("doc_id").agg(F.sort_array(F.collect_set("noun")).alias("list"))
+    target = docs.select("doc_id", without_spaces(F.col(text)).alias("_text"), (without_spaces(F.col(also)) if also else F.lit(None).cast("string")).alias("_also"))
+
+    @F.pandas_udf("array<struct<a:string,b:string,n:bigint>>")
+    def found(texts: pd.Series, others: pd.Series, lists_: pd.Series) -> pd.Series:
+        rows = zip(texts, others, lists_)
+        return pd.Series([[{"a": a, "b": b, "n": n} for a, b, n in pairs_in(t or "", list(w), o, least)] for t, o, w in rows])
+
+    return lists.join(target, "doc_id").select("doc_id", F.explode(found("_text", "_also", "list")).alias("x")).select("doc_id", "x.*")
 
 
 def chain_merge(pairs: DataFrame, keep_tail: bool = True) -> DataFrame:

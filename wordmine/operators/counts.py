@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wordmine.functions.measures import count_in, tfidf
 from wordmine.operators.tokens import prefixes
+from wordmine.plans.lineage import materialize
 
 
 def prefix_frequency(vocab: DataFrame) -> DataFrame:
@@ -58,9 +59,12 @@ def substring_frequency(vocab: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def document_counts(tokens: DataFrame, needles: DataFrame) -> DataFrame:
-    """``(doc_id, needle, n)``: occurrences of each needle in each document that has it, from ``(doc_id, token)``."""
-    per_doc = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m"))
-    hits = occurrences(tokens.select("token"), needles)
+    """``(doc_id, needle, n)``: occurrences of each needle in each document that has it, from ``(doc_id, token)``.
+
+    The tokens of the documents are stored once, for they are read twice and cost the cleaning of all texts.
+    """
+    per_doc = materialize(tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m")), "document-tokens")
+    hits = occurrences(per_doc, needles)
     return per_doc.join(hits, "token").groupBy("doc_id", "needle").agg(F.sum(F.col("m") * F.col("k")).cast("bigint").alias("n"))
 
 

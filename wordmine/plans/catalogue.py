@@ -198,13 +198,19 @@ def char_window_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ranks(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     occ = _occ(spark, folder)
-    return occ, graph.textrank(graph.cooccurrence(occ), occ.select("doc_id", "noun"))
+    return occ, graph.sentence_rank(occ, occ.select("doc_id", "noun"))
 
 
 def textrank(spark: SparkSession, folder: str) -> DataFrame:
     return _ranks(spark, folder)[1].select("doc_id", "noun", _nine("tr").alias("tr"))
 
 
+def textrank_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over the edges of the graph, as any other graph is ranked."""
+    occ = _occ(spark, folder)
+    return graph.textrank(graph.cooccurrence(occ), occ.select("doc_id", "noun")).select("doc_id", "noun", _nine("tr").alias("tr"))
+
+
 def bigrams(spark: SparkSession, folder: str) -> DataFrame:
     return compound.bigrams(_occ(spark, folder))
 
@@ -233,7 +239,7 @@ def compound_count_bare(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     docs, occ, pairs = _pairs(spark, folder)
-    ranks = graph.textrank(graph.cooccurrence(occ), occ.select("doc_id", "noun"))
+    ranks = graph.sentence_rank(occ, occ.select("doc_id", "noun"))
     return compound.score_pairs(pairs, docs, ranks, counts.word_total(F.col("clean")))
 
 
@@ -290,7 +296,7 @@ def mutual_inclusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def window_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    toks = tokens.tokenize(_docs(spark, folder), least=0)
+    toks = materialize(tokens.tokenize(_docs(spark, folder), least=0), "tokens")
     near = similar.window_neighbours(toks, _needles(spark, folder).withColumnRenamed("needle", "noun"))
     return near.groupBy("noun", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -491,6 +497,7 @@ QUERIES = {
     "order_window_edges": order_window_edges,
     "char_window_edges": char_window_edges,
     "textrank": textrank,
+    "textrank_edges": textrank_edges,
     "bigrams": bigrams,
     "trigrams": trigrams,
     "compound_count": compound_count,

@@ -270,6 +270,7 @@ k AS (SELECT doc_id, sent_id, l, g, unnest(range(1, len(l) + 1)) AS k FROM gaps)
 c AS (SELECT doc_id, sent_id, l[k] AS noun, list_sum(list_transform(g[1:k], lambda t: length(t))) + coalesce(list_sum(list_transform(l[1:k - 1], lambda t: length(t))), 0) AS at FROM k)
 SELECT DISTINCT a.doc_id, a.noun AS src, b.noun AS dst FROM c a JOIN c b USING (doc_id, sent_id) WHERE abs(a.at - b.at) <= 10 AND a.noun <> b.noun""",
     "textrank": f"WITH {_ranks()} SELECT doc_id, noun, round(round(tr, 12), 9) AS tr FROM ranks",
+    "textrank_edges": f"WITH {_ranks()} SELECT doc_id, noun, round(round(tr, 12), 9) AS tr FROM ranks",
     "bigrams": f"WITH {_OCC}, {_BIGRAMS} SELECT doc_id, sent_id, pos, a, b FROM bi",
     "trigrams": f"""WITH {_OCC}, t AS (SELECT doc_id, noun AS a, lead(noun) OVER w AS b, lead(noun, 2) OVER w AS c FROM occ WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pos))
 SELECT doc_id, concat(a, ' ', b, ' ', c) AS words, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY ALL""",

@@ -68,7 +68,7 @@ def compounds(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE) -
     ``docs`` is ``(doc_id, clean)``. The labels join the words without a space.
     """
     occ = materialize(noun_occurrences(docs, lexicon), "occurrences")
-    ranks = graph.textrank(graph.cooccurrence(occ), occ.select("doc_id", "noun"))
+    ranks = graph.sentence_rank(occ, occ.select("doc_id", "noun"))
     pairs = compound.with_counts(compound.bigrams(occ).select("doc_id", "a", "b").distinct(), docs, least=2, spaceless=False)
     total = occ.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
     scored = compound.score_pairs(pairs, docs.join(total, "doc_id"), ranks, F.col("total"), spaceless=False, fall_back=True)
@@ -112,7 +112,7 @@ def discover(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE, ke
     taken = compound.greedy_occurrences(tokens.sentences(docs), compound.with_order(nouns))
     place = F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy("at", "step")) - 1
     occ = materialize(taken.select("doc_id", "sent_id", place.alias("pos"), "noun"), "noun-occurrences")
-    ranks = materialize(graph.textrank(graph.cooccurrence(occ), nouns.select("doc_id", "noun")), "ranks")
+    ranks = materialize(graph.sentence_rank(occ, nouns.select("doc_id", "noun")), "ranks")
     total = counts.word_total(F.col("clean"))
     new = compound.score_pairs(compound.adjacent_pairs(docs, nouns, also="bare"), docs, ranks, total)
     new = new.where(F.col("trpmi") >= least_score).select("doc_id", F.concat_ws(" ", "a", "b").alias("word"), F.lit("pairs").alias("method"))
@@ -222,5 +222,5 @@ def new_words(docs: DataFrame, lexicon: DataFrame, tag: tagger.Tagger | None = N
 
 def similar_nouns(docs: DataFrame, nouns: DataFrame, distance: int = 2) -> DataFrame:
     """``(noun, other, cosine, rank)`` by the nouns that occur around each noun."""
-    toks = tokens.tokenize(docs, least=0)
+    toks = materialize(tokens.tokenize(docs, least=0), "tokens")
     return similar.rank_nouns(similar.context_pairs(toks, nouns, distance))
