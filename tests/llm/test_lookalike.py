@@ -86,12 +86,17 @@ def test_bigrams_decide_between_scripts(monkeypatch):
     got = [L.decode(w, prior) for w in words]
     assert len({L._script(w[0]) for w in got}) == 2
     monkeypatch.setattr(L, "BIGRAMS", {s: ({}, {"": -3.0}) for s in L.BIGRAMS})
-    L.decode.cache_clear()
+    L._remembered.cache_clear()
     flat = [L.decode(w, prior) for w in words]
-    L.decode.cache_clear()
+    L._remembered.cache_clear()
     assert flat != got and L.consistent(text.format("x"))
 
 
+def test_very_long_runs_take_linear_time():
+    form = L.consistent("Россия " + "сор" * 100_000)
+    assert form == L.consistent("Россия " + "cop" * 100_000) and len(form) == 300_007
+
+
 def test_classes_hold_every_record_once(bodies):
     data = [("text", 1, "Ａb"), ("text", 2, "Ab"), ("text", 3, "Ab"), ("text", 4, "c"), ("longtext", 1, "Ab"), ("text", None, "Ab"), ("text", 5, None), ("text", 2, "Ab")]
     rows = L.look_classes(L.look_digests(bodies(data))).collect()

@@ -71,3 +71,4 @@ def test_terminators_of_more_scripts():
 
 def test_long_runs_take_linear_time():
     assert len(_units("a.b" * 200_000)) == 1
+    assert len(_units("".join(f"{k % 900 + 1}) (가) “나.” 다.\n" for k in range(30_000)))) >= 30_000

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmine.llm.lookalike import consistent
-from wordmine.plans.lineage import materialize
+from wordmine.plans.lineage import listed, materialize
 from wordmine.sources.tables import spread, table
 
 #: n-gram length; bits of the hashed features and their number; rank of the latent space; extra directions of the SVD.
@@ -446,7 +446,7 @@ def leaked(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, near:
     chosen = plains.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, fit / max(1, n)) * 1_000_000)).select("plain")
     result = spark.createDataFrame([], schema)
     basis = None
-    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
+    rows = [(r.item_id, r.text) for r in listed(benchmark.select("item_id", "text"), "the set of test items")]
     for part in blocks(build_items(rows, share)):
         if basis is None:
             own = ["".join(i.words) for i in part]

@@ -145,38 +145,50 @@ def _gain(script: str, a: str, b: str) -> float:
     return seen[a + b] if a + b in seen else never.get(a, never[""])
 
 
-@lru_cache(maxsize=65536)
-def decode(word: str, prior: tuple[tuple[str, float], ...] = (("latin", 0.0),)) -> str:
-    """The best reading of a run of letters: fewest changes of script, then the greatest sum of ``prior`` and bigrams, then the plainest letters.
+Prior = tuple[tuple[str, float], ...]
 
-    ``prior`` has the log-weight of each script that may claim letters of other scripts' shapes. A script outside it is
-    read only where the word holds one of its unmistakable letters, or where the shape belongs to no script in it.
-    Options depend on shapes alone. Marks that combine go with the letter before.
-    """
+
+def _search(word: str, prior: Prior) -> str:
     weight = dict(prior)
     own = {_script(x) for x in word if x not in CLASSES and not unicodedata.combining(x)}
-    options: list[list[tuple[str, str]]] = []
+    scores: dict[tuple[str, str], float] = {("", ""): 0.0}
+    steps: list[dict[tuple[str, str], tuple[tuple[str, str], str]]] = []  # for each letter, where its states come from
     for x in word:
         if unicodedata.combining(x):
-            options.append([(x, "")])
+            steps.append({key: (key, x) for key in scores})
             continue
         every = [(c, s) for s, c in {_script(c): c for c in reversed(CLASSES.get(x, x))}.items()][::-1]  # the plainest letter of each script
-        options.append([o for o in every if o[1] in weight or o[1] in own] or every)
-    states: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
-    for choices in options:
-        new: dict[tuple[str, str], tuple[float, str]] = {}
-        for (last, script), (score, path) in states.items():
+        choices = [o for o in every if o[1] in weight or o[1] in own] or every
+        new: dict[tuple[str, str], float] = {}
+        back: dict[tuple[str, str], tuple[tuple[str, str], str]] = {}
+        for key, score in scores.items():
+            last, script = key
             for place, (c, s) in enumerate(choices):
-                if not s:
-                    key, value = (last, script), score
-                else:
-                    key = (c, s)
-                    value = score - place * 1e-6 + _gain(s, last.lower() if s == script else " ", c.lower())
-                    value += weight.get(s, 0.0) if not script else -_SWITCH if s != script else 0.0
-                if key not in new or (value, path + c) > new[key]:
-                    new[key] = (value, path + c)
-        states = new
-    return max((score + (_gain(s, last.lower(), " ") if s else 0.0), path) for (last, s), (score, path) in states.items())[1]
+                value = score - place * 1e-6 + _gain(s, last.lower() if s == script else " ", c.lower())
+                value += weight.get(s, 0.0) if not script else -_SWITCH if s != script else 0.0
+                if (c, s) not in new or value > new[c, s]:
+                    new[c, s], back[c, s] = value, (key, c)
+        scores = new
+        steps.append(back)
+    at = max(scores, key=lambda k: (scores[k] + (_gain(k[1], k[0].lower(), " ") if k[1] else 0.0), k))
+    out = []
+    for back in reversed(steps):
+        at, c = back[at]
+        out.append(c)
+    return "".join(reversed(out))
+
+
+_remembered = lru_cache(maxsize=65536)(_search)
+
+
+def decode(word: str, prior: Prior = (("latin", 0.0),)) -> str:
+    """The best reading of a run of letters: fewest changes of script, then the greatest sum of ``prior`` and bigrams, then the plainest letters.
+
+    ``prior`` has the log-weight of each script that may claim letters of other scripts' shapes. A script outside it is
+    read only where the word holds one of its unmistakable letters, or where the shape belongs to no script in it.
+    Options depend on shapes alone. Marks that combine go with the letter before. The time is linear in the length.
+    """
+    return _remembered(word, prior) if len(word) <= 64 else _search(word, prior)
 
 
 def _evidence(text: str) -> Counter:

@@ -228,6 +228,17 @@ def list_items(text: str, low: int, high: int) -> dict[int, tuple[int, int]]:
     return dict(sorted(out.items()))
 
 
+def _outside(items: dict[int, int], pairs: dict[int, int]) -> dict[int, int]:
+    """The items that begin outside of all brackets and quotations."""
+    out, ends, opens, k = {}, -1, sorted(pairs), 0
+    for at in sorted(items):
+        while k < len(opens) and opens[k] < at:
+            ends, k = max(ends, pairs[opens[k]]), k + 1
+        if at > ends:
+            out[at] = items[at]
+    return out
+
+
 def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> None:
     cuts: list[int] = []
     marks = [m.start() for m in _EVENT.finditer(text, low, high)]
@@ -237,16 +248,17 @@ def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> No
         pairs = _nesting(text, low, high, nested) if nested else {}
         items: dict[int, int] = {}
         if labels:
-            items = {at: end for at, (end, _) in list_items(text, low, high).items() if not any(a < at <= b for a, b in pairs.items())}
+            items = _outside({at: end for at, (end, _) in list_items(text, low, high).items()}, pairs)
             cuts += [at for at in items if at > low]
         dates = {i for at, end in items.items() for i in range(at, end)} | {i for m in _DATE.finditer(text, low, high) for i in range(m.start(), m.end()) if text[i] == "."}
-        unit, until, last, opener, skip = low, -1, -1, -1, -1
+        unit, until, last, skip = low, -1, -1, -1
+        closings, begins, held = set(pairs.values()), list(items), 0
         for i in marks:
             ch = text[i]
             if i < skip:
                 continue
-            if items and unit < i:
-                unit = max([unit, *(at for at in items if at <= i)])
+            while held < len(begins) and begins[held] <= i:
+                unit, held = max(unit, begins[held]), held + 1
             if i < until:  # inside: remember the last terminator, for when the quotation closes
                 if ch in ".!?" or ch in TERMINATORS:
                     last = i
@@ -259,7 +271,7 @@ def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> No
                 until = -1
                 continue
             if ch in PAIRS and i in pairs:
-                until, last, opener = pairs[i], -1, i
+                until, last = pairs[i], -1
                 continue
             if ch in PAIRS or ch in _CLOSERS:
                 continue
@@ -283,7 +295,7 @@ def _paragraph(text: str, low: int, high: int, out: list[tuple[int, int]]) -> No
                 skip = j
                 ends = True
             if ends:
-                while j < high and (text[j] in _CLOSERS and text[j] not in PAIRS and j not in pairs.values()):
+                while j < high and (text[j] in _CLOSERS and text[j] not in PAIRS and j not in closings):
                     j += 1
                 cuts.append(j)
                 unit = j
