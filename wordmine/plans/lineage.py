@@ -30,21 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back.
+def store(df: DataFrame, label: str, by: list[str] | None = None, folder: str | None = None) -> str:
+    """Write ``df`` as a new table below ``folder``; its path. ``by`` writes a directory for each value of these columns.
 
-    Unlike a local checkpoint the files survive the loss of any executor, and later stages start from them instead
-    of repeating the work before. ``by`` writes a directory for each value of these columns. The table is removed when
-    the driver ends, or by ``release``.
+    Without ``folder`` it goes below the shared one and is removed when the driver ends, or by ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{(folder or shared_dir(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    _stored.append((place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
-    return spark.read.schema(df.schema).parquet(path)
+    if folder is None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        _stored.append((place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
+    return path
+
+
+def materialize(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
+
+    Unlike a local checkpoint the files survive the loss of any executor, and later stages start from them instead
+    of repeating the work before.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label, by))
 
 
 def release() -> int:

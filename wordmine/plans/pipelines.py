@@ -139,8 +139,12 @@ def frequent_starts(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def report_order(report: DataFrame) -> DataFrame:
-    """The rows of a search report, each document's together, by falling ``pct``, then falling ``tfidf``, then ``match``."""
-    return report.orderBy("doc_id", F.desc("pct"), F.desc("tfidf"), "match")
+    """The rows of a search report, each document's together, by falling ``pct``, then falling ``tfidf``, then ``match``.
+
+    A report belongs to one document, so documents are brought together by a hash and sorted in their partitions; a
+    total order would have to compute the report twice to sample it.
+    """
+    return report.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("pct"), F.desc("tfidf"), "match")
 
 
 def first_documents(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
@@ -212,6 +216,7 @@ def new_words(docs: DataFrame, lexicon: DataFrame, tag: tagger.Tagger | None = N
     cut = (F.col("lp").rlike(sign + "$") & F.col("um").rlike("^" + sign)) | (F.col("um").rlike(sign + "$") & F.col("rp").rlike("^" + sign))
     one_sided = F.contains("um", F.lit("(")) != F.contains("um", F.lit(")"))
     parts = parts.where(~cut & ~one_sided).select("token", F.concat("um", "first").alias("needle"), F.concat("lp", "um").alias("word"))
+    parts = materialize(parts, "divisions")
     freq = counts.substring_frequency(vocab, parts.select("needle")).where(F.col("freq") >= least)
     words = parts.join(freq, "needle").select("token", "word").distinct()
     words = words.select(F.col("token").alias("doc_id"), (F.row_number().over(Window.partitionBy("token").orderBy("word")) - 1).alias("ord"), "word")
