@@ -88,3 +88,10 @@ def test_found_merges_late_changes_into_stored_counts(spark, tmp_path, monkeypat
     assert {r.term for r in stored[0].read().collect()} == {"a", "b", "c", "old", "d", "x", "y", "z", "w", None} - {"w"}
     found = {r.term: (r.mark, r.n_total, r.n_records) for r in T.p3_found(spark, str(tmp_path)).collect()}
     assert len(stored) == 2 and found == {t: ("rare" if k == 1 else "common", n, k) for t, n, k in got}
+
+
+def test_a_store_is_found_again(spark, tmp_path):
+    first = spark.createDataFrame([("a", 2, 1), (None, 1, 1)], T.COUNTS)
+    kept = T.CountStore.restore(spark, T.CountStore.create(first, folder=f"{tmp_path}/my counts").manifest())
+    again = kept.apply(spark.createDataFrame([("a", 1, 1), ("b", 1, 1), (None, 1, 1)], T.COUNTS))
+    assert {tuple(r) for r in again.read().collect()} == {("a", 3, 2), ("b", 1, 1), (None, 2, 2)} and again.folder == f"{tmp_path}/my counts"

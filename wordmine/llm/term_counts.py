@@ -8,13 +8,14 @@ leaves all others where they are. The row without a term counts the records them
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordmine.llm.records import BLANKS, is_blank, records
-from wordmine.plans.lineage import materialize
+from wordmine.plans.lineage import materialize, store
 from wordmine.sources.tables import table
 
 #: Terms in one part of the stored counts, on average.
@@ -72,18 +73,32 @@ def _part(parts: int) -> Column:
 
 @dataclass(frozen=True)
 class CountStore:
-    """Stored counts: the number of parts and, for each part that holds any term, the folder it lies in."""
+    """Stored counts: the number of parts and, for each part that holds any term, the folder it lies in.
+
+    With ``folder`` they are kept there for later sessions, which come back to them by the ``manifest``; without it they
+    lie below the shared folder as long as the driver runs.
+    """
 
     spark: SparkSession
     parts: int
     folders: dict[int, str]
+    folder: str | None = None
 
     @staticmethod
-    def create(counts: DataFrame, part_terms: int = PART_TERMS) -> CountStore:
-        """A store with the counts ``(term, n_total, n_records)``; they are kept in the shared folder once more, to be counted."""
+    def create(counts: DataFrame, part_terms: int = PART_TERMS, folder: str | None = None) -> CountStore:
+        """A store with the counts ``(term, n_total, n_records)``; they are written once before, to be counted."""
         held = materialize(counts.select("term", "n_total", "n_records"), "counts")
         parts = max(1, -(-held.count() // part_terms))
-        return CountStore(counts.sparkSession, parts, {}).apply(held)
+        return CountStore(counts.sparkSession, parts, {}, folder).apply(held)
+
+    def manifest(self) -> str:
+        """The store in JSON, to be opened again by ``restore``."""
+        return json.dumps({"parts": self.parts, "folders": self.folders, "folder": self.folder})
+
+    @staticmethod
+    def restore(spark: SparkSession, manifest: str) -> CountStore:
+        held = json.loads(manifest)
+        return CountStore(spark, held["parts"], {int(p): f for p, f in held["folders"].items()}, held["folder"])
 
     def read(self, parts: list[int] | None = None) -> DataFrame:
         """The counts of the given parts, or of all."""
@@ -96,17 +111,10 @@ class CountStore:
         split = materialize(real.select("term", "n_total", "n_records").withColumn("part", _part(self.parts)).repartition("part"), "term-changes", by=["part"])
         touched = sorted(r.part for r in split.select("part").distinct().collect())  # as many as there are parts
         merged = merge_counts(self.read(touched), split).withColumn("part", _part(self.parts)).repartition("part")
-        path, written = materialize_parts(merged, "term-counts")
+        path = store(merged, "term-counts", ["part"], self.folder)
+        written = self.spark.read.schema(f"{COUNTS}, part int").parquet(path).select("part").distinct().collect()
         kept = {p: f for p, f in self.folders.items() if p not in set(touched)}
-        return CountStore(self.spark, self.parts, kept | {p: f"{path}/part={p}" for p in written})
-
-
-def materialize_parts(df: DataFrame, label: str) -> tuple[str, list[int]]:
-    """Write ``df`` by its column ``part``; the folder, and the parts that hold rows."""
-    stored = materialize(df, label, by=["part"])
-    found = [r.part for r in stored.select("part").distinct().collect()]
-    path = stored.inputFiles()[0].rsplit("/part=", 1)[0] if found else ""
-    return path, sorted(found)
+        return CountStore(self.spark, self.parts, kept | {r.part: f"{path}/part={r.part}" for r in written}, self.folder)
 
 
 def mark(counts: DataFrame, rare_at_most: int = 1, common_share: int = 10) -> DataFrame:
