@@ -110,7 +110,7 @@ def prefix_freq(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def substring_count(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.substring_frequency(_vocab(spark, folder, 0), _needles(spark, folder))
+    return counts.substring_frequency(materialize(_vocab(spark, folder, 0), "vocabulary"), _needles(spark, folder))
 
 
 def word_start_rate(spark: SparkSession, folder: str) -> DataFrame:
