@@ -91,25 +91,32 @@ occ AS MATERIALIZED (SELECT doc_id, sent_id, unnest(range(len(l))) AS pos, unnes
 _OCC = _occurrences()
 
 
-def _edges(profile: str = "search") -> str:
-    return f"""{_occurrences(profile)}, sc AS (SELECT doc_id, sent_id, noun, count(*) AS n FROM occ GROUP BY ALL),
+_EDGE_TAIL = """sc AS (SELECT doc_id, sent_id, noun, count(*) AS n FROM occ GROUP BY ALL),
 edges AS MATERIALIZED (SELECT * FROM (SELECT a.doc_id, a.noun AS src, b.noun AS dst, sum(b.n)::BIGINT - (a.noun = b.noun)::INT AS w FROM sc a JOIN sc b USING (doc_id, sent_id) GROUP BY a.doc_id, a.noun, b.noun) WHERE w > 0)"""
 
 
+def _edges(profile: str = "search") -> str:
+    return f"{_occurrences(profile)}, {_EDGE_TAIL}"
+
+
 _EDGES = _edges()
 
 
-def _ranks(profile: str = "search") -> str:
+def _rank_tail(source: str = "occ") -> str:
     rounds = [
         f"r{k} AS MATERIALIZED (SELECT e.doc_id, e.dst AS noun, sum(r.tr * e.p) AS tr FROM share e JOIN r{k - 1} r ON r.doc_id = e.doc_id AND r.noun = e.src GROUP BY e.doc_id, e.dst)" for k in range(1, 17)
     ]
-    return f"""{_edges(profile)}, deg AS MATERIALIZED (SELECT doc_id, src, sum(w) AS degree FROM edges GROUP BY ALL),
+    return f"""deg AS MATERIALIZED (SELECT doc_id, src, sum(w) AS degree FROM edges GROUP BY ALL),
 share AS MATERIALIZED (SELECT doc_id, src, dst, w / degree AS p FROM edges JOIN deg USING (doc_id, src)),
-dn AS MATERIALIZED (SELECT doc_id, noun, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS tr FROM (SELECT DISTINCT doc_id, noun FROM occ)),
+dn AS MATERIALIZED (SELECT doc_id, noun, 1.0::DOUBLE / count(*) OVER (PARTITION BY doc_id) AS tr FROM (SELECT DISTINCT doc_id, noun FROM {source})),
 r0 AS (SELECT dn.* FROM dn JOIN deg ON deg.doc_id = dn.doc_id AND deg.src = dn.noun), {', '.join(rounds)},
 ranks AS MATERIALIZED (SELECT doc_id, noun, 0.15 + 0.85 * tr AS tr FROM (SELECT * FROM r16 UNION ALL SELECT dn.* FROM dn ANTI JOIN deg ON deg.doc_id = dn.doc_id AND deg.src = dn.noun))"""
 
 
+def _ranks(profile: str = "search") -> str:
+    return f"{_edges(profile)}, {_rank_tail()}"
+
+
 _TOTAL = r"""(len(regexp_extract_all(clean, '[\p{L}]+[ .,`''"‘’()]')) + len(regexp_extract_all(clean, '[\p{L}]\z')))"""
 _BIGRAMS = "bi AS (SELECT * FROM (SELECT doc_id, sent_id, pos, noun AS a, lead(noun) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS b FROM occ) WHERE b IS NOT NULL)"
 _PAIRS = f"""{_BIGRAMS}, seen AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot.s, spot.p) - 1 AS ord, a, b FROM
@@ -190,6 +197,23 @@ _BARE = "NEWS"
 for _ in range(6):
     _BARE = _INNER.format(_BARE)
 
+_TAKEN = """x AS (SELECT doc_id, sent_id, sentence, flatten(list_transform(ns, lambda n: list_transform(range(length(sentence) // length(n)), lambda k: {'rest': n, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}))) AS steps FROM sents JOIN lists USING (doc_id)),
+w AS (SELECT doc_id, sent_id, list_reduce(list_concat([{'rest': sentence, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}], steps), lambda a, s: CASE WHEN contains(a.rest, s.rest)
+THEN {'rest': concat(left(a.rest, instr(a.rest, s.rest) - 1), substr(a.rest, instr(a.rest, s.rest) + length(s.rest))), 'out': list_append(a.out, {'at': (instr(a.rest, s.rest) - 1)::INT, 'noun': s.rest})} ELSE a END).out AS l FROM x),
+o AS (SELECT doc_id, sent_id, l, unnest(range(len(l))) AS step FROM w)"""
+_SCORE = lambda n: f"sqrt(ra.tr * rb.tr) * CASE WHEN {n} = 0 THEN 0.0::DOUBLE ELSE ln(({n} / total) / (({_count('one', 'a')} / total) * ({_count('one', 'b')} / total))) END"
+_DISCOVER = f"""WITH {_tokens(3, 'discovery')}, {_GROW}, whole AS (SELECT * FROM {_WHOLE}), {_PARTS}, {_CLIFF[_CLIFF.index('sfreq AS'):]}, {_LEXICON}, {_sents('+')},
+own AS (SELECT doc_id, prefix AS noun, min({{'p': pos, 'l': len}}) AS spot FROM toks JOIN cliffs USING (token) GROUP BY ALL), inside AS (SELECT doc_id, string_agg(token, ' ') AS t FROM toks GROUP BY doc_id),
+found AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot, noun) - 1 AS ord, noun FROM own JOIN inside USING (doc_id) WHERE {_count('t', 'noun')} >= 2),
+lists AS (SELECT doc_id, list(noun ORDER BY included, ord) AS ns FROM (SELECT *, EXISTS (SELECT 1 FROM found z WHERE z.doc_id = f.doc_id AND z.noun <> f.noun AND contains(z.noun, f.noun)) AS included FROM found f) GROUP BY doc_id),
+{_TAKEN}, occ AS MATERIALIZED (SELECT doc_id, sent_id, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY l[step + 1].at, step) - 1 AS pos, l[step + 1].noun AS noun FROM o), {_EDGE_TAIL}, {_rank_tail('found')},
+texts AS MATERIALIZED (SELECT doc_id, replace(clean, ' ', '') AS one, replace({_BARE_TEXT}, ' ', '') AS two, {_TOTAL}::DOUBLE AS total FROM docs),
+met AS (SELECT a.doc_id, a.noun AS a, b.noun AS b, one, total, {_count('one', 'concat(a.noun, b.noun)')} AS n, {_count('two', 'concat(a.noun, b.noun)')} AS more FROM found a JOIN found b USING (doc_id) JOIN texts USING (doc_id) WHERE contains(one, concat(a.noun, b.noun))),
+new AS (SELECT m.doc_id, concat(a, ' ', b) AS word FROM met m JOIN ranks ra ON ra.doc_id = m.doc_id AND ra.noun = a JOIN ranks rb ON rb.doc_id = m.doc_id AND rb.noun = b WHERE greatest(n, more) >= 2 AND {_SCORE('n')} >= 0.3),
+{_BIGRAMS}, seen AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot.s, spot.p) - 1 AS ord, a, b FROM (SELECT doc_id, a, b, min({{'s': sent_id, 'p': pos}}) AS spot FROM bi GROUP BY ALL)),
+counted AS (SELECT s.*, one, total, {_count('one', 'concat(a, b)')} AS n, {_count('two', 'concat(a, b)')} AS more FROM seen s JOIN texts USING (doc_id)),
+pairs AS MATERIALIZED (SELECT c.doc_id, ord, a, b FROM counted c JOIN ranks ra ON ra.doc_id = c.doc_id AND ra.noun = a JOIN ranks rb ON rb.doc_id = c.doc_id AND rb.noun = b WHERE greatest(n, more) >= 2 AND {_SCORE('n')} >= 0.3), {_CHAINS}
+SELECT doc_id, noun AS word, 'noun' AS method FROM found WHERE noun NOT IN (SELECT noun FROM nouns) UNION SELECT doc_id, word, 'pairs' FROM new UNION SELECT doc_id, words, 'chains' FROM runs"""
 _FIRST = f"""SELECT doc_id, match, stripped, registered, pct, concat('...', {_CONTEXT.replace('needle', 'match')}, '...') AS context, round(round(tfidf, 12), 9) AS tfidf
 FROM (SELECT p.*, clean, instr(clean, match) AS place FROM pct p JOIN docs USING (doc_id) WHERE pct >= LEAST)"""
 _ALL = f""", s AS (SELECT p.*, clean, string_split(clean, match) AS l FROM pct p JOIN docs USING (doc_id) WHERE pct >= LEAST),
@@ -373,11 +397,9 @@ w AS (SELECT doc_id, pos, list_reduce(list_concat([{{'rest': token, 'out': []::V
 f AS (SELECT doc_id, pos, unnest(l) AS token FROM w), u AS (SELECT doc_id, 0 AS step, pos, token FROM toks UNION ALL
 SELECT f.doc_id, 1, pos, token FROM f JOIN docs USING (doc_id) WHERE length(token) >= 2 AND {_count('clean', 'token')} >= 2)
 SELECT doc_id, (contains(token, '(') AND contains(token, ')'))::INT AS bracketed, step, pos, token FROM u WHERE contains(token, '(') = contains(token, ')')""",
-    "greedy_occurrences": f"""WITH {_OCC}, {_ORDER}, lists AS (SELECT doc_id, list(noun ORDER BY included, ord) AS ns FROM m GROUP BY doc_id),
-x AS (SELECT doc_id, sent_id, sentence, flatten(list_transform(ns, lambda n: list_transform(range(length(sentence) // length(n)), lambda k: {{'rest': n, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}}))) AS steps FROM sents JOIN lists USING (doc_id)),
-w AS (SELECT doc_id, sent_id, list_reduce(list_concat([{{'rest': sentence, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}}], steps), lambda a, s: CASE WHEN contains(a.rest, s.rest)
-THEN {{'rest': concat(left(a.rest, instr(a.rest, s.rest) - 1), substr(a.rest, instr(a.rest, s.rest) + length(s.rest))), 'out': list_append(a.out, {{'at': (instr(a.rest, s.rest) - 1)::INT, 'noun': s.rest}})}} ELSE a END).out AS l FROM x),
-o AS (SELECT doc_id, sent_id, l, unnest(range(len(l))) AS step FROM w) SELECT doc_id, sent_id, step, l[step + 1].at AS at, l[step + 1].noun AS noun FROM o""",
+    "greedy_occurrences": f"""WITH {_OCC}, {_ORDER}, lists AS (SELECT doc_id, list(noun ORDER BY included, ord) AS ns FROM m GROUP BY doc_id), {_TAKEN}
+SELECT doc_id, sent_id, step, l[step + 1].at AS at, l[step + 1].noun AS noun FROM o""",
+    "discover": _DISCOVER,
     "noun_surroundings": f"""WITH {_NEEDLE_COUNTS}, x AS (SELECT doc_id, needle, clean, list_transform(range(length(clean) // length(needle)), lambda k: {{'rest': needle, 'out': ''}}) AS steps FROM held),
 w AS (SELECT doc_id, needle, list_reduce(list_concat([{{'rest': clean, 'out': ''}}], steps), lambda a, s: CASE WHEN contains(a.rest, s.rest) THEN {{'rest': concat(left(a.rest, instr(a.rest, s.rest) - 1), substr(a.rest, instr(a.rest, s.rest) + length(s.rest))),
 'out': concat(a.out, substr(a.rest, greatest(instr(a.rest, s.rest) - 10, 1), least(instr(a.rest, s.rest) - 1, 10)), substr(a.rest, instr(a.rest, s.rest) + length(s.rest), 10))}} ELSE a END).out AS around FROM x)
