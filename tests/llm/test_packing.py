@@ -1,4 +1,8 @@
+import os
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from wordmine.llm import packing as K
 
@@ -52,3 +56,18 @@ def test_attention_cost_keeps_items_apart_whose_tokens_fit(spark):
     assert max(c for b, c in cost.items() if items[b] > 1) <= K.ATTENTION * 100**2 < max(cost.values())
     assert len({r["bin"] for r in _pack(spark, [(1, 90), (2, 10)], [100])}) == 2
     assert len({r["bin"] for r in _pack(spark, [(1, 90), (2, 10)], [100], attention=1.0)}) == 1
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def test_sizes_under_the_byte_tokenizer(spark):
+    df = spark.createDataFrame([("가a",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(K.byte_tokens(F.col("text"))).collect()] == [4, 0, None]
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="needs a vocabulary file")
+def test_sizes_under_a_vocabulary_file(spark):
+    df = spark.createDataFrame([("the people said that the council",), ("",), (None,), ("가나다",)], "text string")
+    got = [r[0] for r in df.select(K.model_tokens(F.col("text"), VOCABULARY)).collect()]
+    assert 5 <= got[0] <= 12 and got[1] == 0 and got[2] is None and 1 <= got[3] <= 9

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def model_tokens(text: Column, vocabulary: str) -> Column:
     """Tokens under a ``.tiktoken`` vocabulary file, read once in every worker; null for null."""
 
     @F.pandas_udf("bigint")
-    def count(parts: Iterator) -> Iterator:
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import base64
 
         import tiktoken

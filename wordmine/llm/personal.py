@@ -6,8 +6,8 @@ syllables are, and of its surroundings. Neighbours in an enumeration share a pot
 the same name or number and similar tokens, such as a number without its country code or a name with its initial, so
 evidence at one place, such as a title, carries over to a bare repetition elsewhere in the document. Labels are the
 marginals of loopy sum-product message passing, run for all documents of a batch at once. All weights, those of
-features and of links, are learnt by maximum pseudo-likelihood from the marked sentences below, once, on the driver. Offsets are given in the text as stored, and
-placeholders replace exactly these characters.
+features and of links, are learnt by maximum pseudo-likelihood from the marked sentences below, once, on the driver.
+Offsets are given in the text as stored, and placeholders replace exactly these characters.
 """
 
 from __future__ import annotations
