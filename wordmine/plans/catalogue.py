@@ -83,6 +83,10 @@ def prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.prefixes(_vocab(spark, folder, 3), parens=True)
 
 
+def substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.substrings(_vocab(spark, folder))
+
+
 def right_trims(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.right_trims(_vocab(spark, folder))
 
@@ -466,6 +470,7 @@ QUERIES = {
     "token_vocab": token_vocab,
     "prefixes": prefixes,
     "right_trims": right_trims,
+    "substrings": substrings,
     "three_way_splits": three_way_splits,
     "spacings": spacings,
     "paren_suffixes": paren_suffixes,

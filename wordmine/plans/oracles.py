@@ -404,4 +404,6 @@ SELECT doc_id, sent_id, step, l[step + 1].at AS at, l[step + 1].noun AS noun FRO
 w AS (SELECT doc_id, needle, list_reduce(list_concat([{{'rest': clean, 'out': ''}}], steps), lambda a, s: CASE WHEN contains(a.rest, s.rest) THEN {{'rest': concat(left(a.rest, instr(a.rest, s.rest) - 1), substr(a.rest, instr(a.rest, s.rest) + length(s.rest))),
 'out': concat(a.out, substr(a.rest, greatest(instr(a.rest, s.rest) - 10, 1), least(instr(a.rest, s.rest) - 1, 10)), substr(a.rest, instr(a.rest, s.rest) + length(s.rest), 10))}} ELSE a END).out AS around FROM x)
 SELECT doc_id, needle, around FROM w""",
+    "substrings": f"""WITH {_tokens()} SELECT DISTINCT token, substr(token, i, k) AS part FROM
+(SELECT token, i, unnest(range(2, length(token) - i + 2)) AS k FROM (SELECT token, unnest(range(1, length(token))) AS i FROM vocab))""",
 }
