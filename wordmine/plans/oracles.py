@@ -197,7 +197,8 @@ _BARE = "NEWS"
 for _ in range(6):
     _BARE = _INNER.format(_BARE)
 
-_TAKEN = """x AS (SELECT doc_id, sent_id, sentence, flatten(list_transform(ns, lambda n: list_transform(range(length(sentence) // length(n)), lambda k: {'rest': n, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}))) AS steps FROM sents JOIN lists USING (doc_id)),
+#: No noun is found more often than its first letter occurs, so that many steps are enough for each.
+_TAKEN = """x AS (SELECT doc_id, sent_id, sentence, flatten(list_transform(ns, lambda n: list_transform(range(length(sentence) - length(replace(sentence, left(n, 1), ''))), lambda k: {'rest': n, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}))) AS steps FROM sents JOIN lists USING (doc_id)),
 w AS (SELECT doc_id, sent_id, list_reduce(list_concat([{'rest': sentence, 'out': []::STRUCT("at" INT, noun VARCHAR)[]}], steps), lambda a, s: CASE WHEN contains(a.rest, s.rest)
 THEN {'rest': concat(left(a.rest, instr(a.rest, s.rest) - 1), substr(a.rest, instr(a.rest, s.rest) + length(s.rest))), 'out': list_append(a.out, {'at': (instr(a.rest, s.rest) - 1)::INT, 'noun': s.rest})} ELSE a END).out AS l FROM x),
 o AS (SELECT doc_id, sent_id, l, unnest(range(len(l))) AS step FROM w)"""
@@ -400,7 +401,7 @@ SELECT doc_id, (contains(token, '(') AND contains(token, ')'))::INT AS bracketed
     "greedy_occurrences": f"""WITH {_OCC}, {_ORDER}, lists AS (SELECT doc_id, list(noun ORDER BY included, ord) AS ns FROM m GROUP BY doc_id), {_TAKEN}
 SELECT doc_id, sent_id, step, l[step + 1].at AS at, l[step + 1].noun AS noun FROM o""",
     "discover": _DISCOVER,
-    "noun_surroundings": f"""WITH {_NEEDLE_COUNTS}, x AS (SELECT doc_id, needle, clean, list_transform(range(length(clean) // length(needle)), lambda k: {{'rest': needle, 'out': ''}}) AS steps FROM held),
+    "noun_surroundings": f"""WITH {_NEEDLE_COUNTS}, x AS (SELECT doc_id, needle, clean, list_transform(range(length(clean) - length(replace(clean, left(needle, 1), ''))), lambda k: {{'rest': needle, 'out': ''}}) AS steps FROM held),
 w AS (SELECT doc_id, needle, list_reduce(list_concat([{{'rest': clean, 'out': ''}}], steps), lambda a, s: CASE WHEN contains(a.rest, s.rest) THEN {{'rest': concat(left(a.rest, instr(a.rest, s.rest) - 1), substr(a.rest, instr(a.rest, s.rest) + length(s.rest))),
 'out': concat(a.out, substr(a.rest, greatest(instr(a.rest, s.rest) - 10, 1), least(instr(a.rest, s.rest) - 1, 10)), substr(a.rest, instr(a.rest, s.rest) + length(s.rest), 10))}} ELSE a END).out AS around FROM x)
 SELECT doc_id, needle, around FROM w""",
