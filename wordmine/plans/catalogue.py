@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordmine.functions import clean, measures
 from wordmine.operators import compound, counts, graph, select, similar, tagger, tokens
 from wordmine.plans import pipelines
-from wordmine.plans.lineage import materialize, shared_dir
+from wordmine.plans.lineage import materialize, scratch
 from wordmine.sources import html, io
 from wordmine.sources.tables import spread, table
 
@@ -395,7 +393,7 @@ def pmi_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 def csv_articles(spark: SparkSession, folder: str) -> DataFrame:
     """The articles written as a CSV file with cells over several lines and read again."""
-    path = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex[:12]}.csv"
+    path = f"{scratch(spark, 'articles')}/articles.csv"
     rows = table(spark, folder, "text", "_c0", "NEWS", "RANDOM").select("_c0", F.regexp_replace(F.coalesce("NEWS", F.lit("")), "\r\n?", "\n").alias("NEWS_BODY"))
     io.write_articles(rows, path)
     return io.load_docs(spark, path, key="_c0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -413,14 +411,14 @@ def html_article(spark: SparkSession, folder: str) -> DataFrame:
 
 def word_file(spark: SparkSession, folder: str) -> DataFrame:
     """Elbow nouns of all documents, written one to a line and read again."""
-    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "words")
     io.write_words(pipelines.elbow_nouns(_docs(spark, folder, "elbow")).select(F.col("noun").alias("word")).distinct(), path)
     return spark.read.text(path).select(F.col("value").alias("word"))
 
 
 def report_file(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the search report for each document, from its CSV files."""
-    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, "report")
     io.write_report(search_report(spark, folder).select("doc_id", "match", "pct", "tfidf"), path)
     read = spark.read.option("header", True).schema("doc_id bigint, match string, pct int, tfidf double, bucket int").csv(path)
     return read.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

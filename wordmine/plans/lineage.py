@@ -30,18 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, removed with all in it when the driver ends, or by ``release``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _stored.append((place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
+    return path
+
+
 def store(df: DataFrame, label: str, by: list[str] | None = None, folder: str | None = None) -> str:
     """Write ``df`` as a new table below ``folder``; its path. ``by`` writes a directory for each value of these columns.
 
     Without ``folder`` it goes below the shared one and is removed when the driver ends, or by ``release``.
     """
-    spark = df.sparkSession
-    path = f"{(folder or shared_dir(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}" if folder else scratch(df.sparkSession, label)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    if folder is None:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        _stored.append((place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())))
     return path
 
 
