@@ -28,13 +28,13 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def prefix_array(token: Column, dots: bool = True, parens: bool = False) -> Column:
+def prefix_array(token: Column, dots: bool = True, parens: bool = False, bare: bool = False) -> Column:
     """All prefixes of two characters and more.
 
-    With ``dots`` a final dot goes, tokens that begin with one have none, and dots don't count for the length; with
-    ``parens`` prefixes with one kind of bracket only are left out.
+    With ``dots`` a final dot goes (in a ``bare`` token it has gone), tokens that begin with one have none, and dots don't
+    count for the length; with ``parens`` prefixes with one kind of bracket only are left out.
     """
-    if dots:
+    if dots and not bare:
         token = F.regexp_replace(token, r"\.$", "")
     every = F.when(F.length(token) >= 2, F.transform(F.sequence(F.lit(2), F.greatest(F.length(token), F.lit(2))), lambda i: F.substring(token, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
     if dots:
@@ -44,7 +44,8 @@ def prefix_array(token: Column, dots: bool = True, parens: bool = False) -> Colu
 
 def prefixes(vocab: DataFrame, dots: bool = True, parens: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(token, len, prefix)`` and the columns ``keep``, from distinct tokens."""
-    each = vocab.select("token", *keep, F.explode(prefix_array(F.col("token"), dots, parens)).alias("prefix"))
+    bare = F.regexp_replace("token", r"\.$", "") if dots else F.col("token")  # once for each token, not for each of its prefixes
+    each = vocab.select("token", *keep, bare.alias("_bare")).select("token", *keep, F.explode(prefix_array(F.col("_bare"), dots, parens, bare=True)).alias("prefix"))
     return each.select("token", *keep, F.length("prefix").alias("len"), "prefix")
 
 

@@ -79,11 +79,16 @@ def compounds(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE) -
 def cliff_scores(docs: DataFrame, first: bool = False, corpus: DataFrame | None = None) -> DataFrame:
     """``(token, len, prefix, score)``: prefixes at the cliff of their substring frequency in all documents, or in those of ``corpus``."""
     vocab = materialize(tokens.vocabulary(tokens.tokenize(docs, least=3)), "vocabulary")
+    return prefix_cliffs(vocab, first, corpus)
+
+
+def prefix_cliffs(vocab: DataFrame, first: bool = False, corpus: DataFrame | None = None) -> DataFrame:
+    """``cliff_scores`` of the documents' stored vocabulary ``(token, n)``."""
     known = vocab if corpus is None else materialize(tokens.vocabulary(tokens.tokenize(corpus, least=0)), "corpus-vocabulary")
     forms = tokens.prefixes(vocab, parens=True)
-    freq = counts.substring_frequency(known, forms.select(F.col("prefix").alias("needle")))
-    scored = forms.join(freq.select(F.col("needle").alias("prefix"), F.col("freq").alias("score")), "prefix")
-    return select.cliff(scored.select("token", "len", "prefix", "score"), first)
+    freq = counts.part_frequency(known, forms.select(F.col("prefix").alias("needle"))).withColumnRenamed("needle", "prefix")
+    scored = forms.join(counts.merged(freq), "prefix", "left")
+    return select.cliff(scored.select("token", "len", "prefix", F.coalesce("freq", F.lit(0)).alias("score")), first)
 
 
 def discover_nouns(docs: DataFrame, least: int = LEAST, corpus: DataFrame | None = None) -> DataFrame:
