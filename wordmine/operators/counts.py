@@ -111,6 +111,11 @@ def substring_frequency(vocab: DataFrame, needles: DataFrame) -> DataFrame:
     return wanted.join(merged(summed), "needle", "left").select("needle", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
 
 
+def document_tokens(tokens: DataFrame) -> DataFrame:
+    """``(doc_id, token, m, pos)``: the distinct tokens of each document, their number and first place."""
+    return tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("pos"))
+
+
 def document_counts(tokens: DataFrame, needles: DataFrame) -> DataFrame:
     """``(doc_id, needle, n)``: occurrences of each needle in each document that has it, from ``(doc_id, token)``.
 
@@ -118,7 +123,7 @@ def document_counts(tokens: DataFrame, needles: DataFrame) -> DataFrame:
     """
     per_doc = materialize(tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("m")), "document-tokens")
     hits = occurrences(per_doc, needles)
-    return per_doc.join(hits, "token").groupBy("doc_id", "needle").agg(F.sum(F.col("m") * F.col("k")).cast("bigint").alias("n"))
+    return per_doc.join(merged(hits), "token").groupBy("doc_id", "needle").agg(F.sum(F.col("m") * F.col("k")).cast("bigint").alias("n"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:

@@ -96,11 +96,14 @@ def discover_nouns(docs: DataFrame, least: int = LEAST, corpus: DataFrame | None
 
     Frequencies come from ``corpus``, a larger collection ``(doc_id, clean)``, if there is one.
     """
-    chosen = materialize(cliff_scores(docs, corpus=corpus).select("token", "len", F.col("prefix").alias("noun")), "cliffs")
-    toks = tokens.tokenize(docs, least=3)
-    own = toks.join(chosen, "token").groupBy("doc_id", "noun").agg(F.min(F.struct("pos", "len")).alias("at"))
-    n = counts.document_counts(toks, chosen.select(F.col("noun").alias("needle"))).where(F.col("n") >= least)
-    kept = own.join(n.select("doc_id", F.col("needle").alias("noun")), ["doc_id", "noun"])
+    per_doc = materialize(counts.document_tokens(tokens.tokenize(docs, least=3)), "document-tokens")
+    vocab = materialize(per_doc.groupBy("token").agg(F.sum("m").alias("n")), "vocabulary")
+    chosen = materialize(prefix_cliffs(vocab, corpus=corpus).select("token", "len", F.col("prefix").alias("noun")), "cliffs")
+    held = counts.occurrences(vocab, chosen.select(F.col("noun").alias("needle"))).select("token", F.col("needle").alias("noun"), "k", F.lit(None).cast("int").alias("len"))
+    both = held.unionByName(chosen.select("token", "noun", F.lit(0).cast("bigint").alias("k"), "len"))  # what a token has, and what it gives
+    at = F.min(F.when(F.col("len").isNotNull(), F.struct("pos", "len"))).alias("at")
+    found = per_doc.join(counts.merged(both), "token").groupBy("doc_id", "noun").agg(F.sum(F.col("m") * F.col("k")).alias("n"), at)
+    kept = found.where((F.col("n") >= least) & F.col("at").isNotNull())
     return kept.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "noun")) - 1).alias("ord"), "noun")
 
 
