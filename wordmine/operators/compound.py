@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmine.functions.measures import count_in, geometric_mean, pmi, pmi_any_spacing, without_spaces
-from wordmine.operators.counts import occurrences
+from wordmine.operators.counts import merged, occurrences
 
 
 def bigrams(occ: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def beside(rows: DataFrame, docs: DataFrame, **found) -> DataFrame:
     names = [c for c in rows.columns if c != "doc_id"]
     lists = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
     made = F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in names], *[f(r).alias(c) for c, f in found.items()]))
-    return lists.join(docs, "doc_id").select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*")
+    return lists.join(merged(docs), "doc_id").select("doc_id", F.explode(made).alias("x")).select("doc_id", "x.*")
 
 
 def with_counts(pairs: DataFrame, docs: DataFrame, text: str = "clean", least: int = 2, spaceless: bool = True, also: str | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def adjacent_pairs(docs: DataFrame, nouns: DataFrame, text: str = "clean", least
         rows = zip(texts, others, lists_)
         return pd.Series([[{"a": a, "b": b, "n": n} for a, b, n in pairs_in(t or "", list(w), o, least)] for t, o, w in rows])
 
-    return lists.join(target, "doc_id").select("doc_id", F.explode(found("_text", "_also", "list")).alias("x")).select("doc_id", "x.*")
+    return lists.join(merged(target), "doc_id").select("doc_id", F.explode(found("_text", "_also", "list")).alias("x")).select("doc_id", "x.*")
 
 
 def chain_merge(pairs: DataFrame, keep_tail: bool = True) -> DataFrame:
@@ -120,7 +120,7 @@ def score_pairs(pairs: DataFrame, docs: DataFrame, ranks: DataFrame, total: Colu
 
     full = beside(pairs.select("doc_id", "a", "b", "n"), target, pmi=information)
     for c in ("a", "b"):
-        full = full.join(ranks.select("doc_id", F.col("noun").alias(c), F.col("tr").alias(f"tr_{c}")), ["doc_id", c])
+        full = full.join(merged(ranks.select("doc_id", F.col("noun").alias(c), F.col("tr").alias(f"tr_{c}"))), ["doc_id", c])
     return full.select("doc_id", "a", "b", "n", "pmi", (geometric_mean([F.col("tr_a"), F.col("tr_b")]) * F.col("pmi")).alias("trpmi"))
 
 
@@ -148,13 +148,13 @@ def included_last(nouns: DataFrame) -> DataFrame:
     every = distinct.select("noun").distinct()
     held = occurrences(every.select(F.col("noun").alias("token")), every.select(F.col("noun").alias("needle")), 1).where("token <> needle")
     pairs = held.select(F.col("token").alias("longer"), F.col("needle").alias("noun"))
-    found = distinct.withColumnRenamed("noun", "longer").join(pairs, "longer").select("doc_id", "noun").distinct()
-    return distinct.join(found.withColumn("included", F.lit(True)), ["doc_id", "noun"], "left").select("doc_id", "noun", F.coalesce("included", F.lit(False)).alias("included"))
+    found = distinct.withColumnRenamed("noun", "longer").join(merged(pairs), "longer").select("doc_id", "noun").distinct()
+    return distinct.join(merged(found.withColumn("included", F.lit(True))), ["doc_id", "noun"], "left").select("doc_id", "noun", F.coalesce("included", F.lit(False)).alias("included"))
 
 
 def with_order(nouns: DataFrame) -> DataFrame:
     """``(doc_id, ord, noun)`` in a new order: nouns that another one contains come last, else as before."""
-    marked = nouns.join(included_last(nouns), ["doc_id", "noun"])
+    marked = nouns.join(merged(included_last(nouns)), ["doc_id", "noun"])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("included", "ord", "noun")) - 1
     return marked.select("doc_id", place.alias("ord"), "noun")
 
@@ -190,7 +190,7 @@ def greedy_occurrences(sentences: DataFrame, nouns: DataFrame) -> DataFrame:
     def taken(texts: pd.Series, lists_: pd.Series) -> pd.Series:
         return pd.Series([[{"at": a, "noun": n} for a, n in take_all(t or "", list(w))] for t, w in zip(texts, lists_)])
 
-    held = sentences.join(lists, "doc_id").where(F.exists("list", lambda n: F.contains("sentence", n)))
+    held = sentences.join(merged(lists), "doc_id").where(F.exists("list", lambda n: F.contains("sentence", n)))
     found = held.select("doc_id", "sent_id", F.posexplode(taken("sentence", "list")).alias("step", "x"))
     return found.select("doc_id", "sent_id", "step", "x.at", "x.noun")
 
@@ -202,7 +202,7 @@ def mutual_inclusion(words: DataFrame, frequency: DataFrame) -> DataFrame:
     the last of a document, stays if it is over 0.9 times as frequent as that. ``frequency`` is ``(word, freq)``.
     """
     by = Window.partitionBy("doc_id").orderBy("ord")
-    full = words.join(frequency, "word")
+    full = words.join(merged(frequency), "word")
     full = full.select("doc_id", "ord", "word", "freq", *[f(c).over(by).alias(f"{side}_{c}") for side, f in (("before", F.lag), ("after", F.lead)) for c in ("word", "freq")])
     last = F.col("after_word").isNull()
     in_next = F.contains("after_word", F.col("word"))

@@ -292,8 +292,8 @@ def greedy_occurrences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mutual_inclusion(spark: SparkSession, folder: str) -> DataFrame:
-    nouns = pipelines.discover_nouns(_docs(spark, folder)).withColumnRenamed("noun", "word")
-    freq = counts.substring_frequency(_vocab(spark, folder, 0), nouns.select(F.col("word").alias("needle"))).withColumnRenamed("needle", "word")
+    nouns = materialize(pipelines.discover_nouns(_docs(spark, folder)).withColumnRenamed("noun", "word"), "nouns")
+    freq = counts.substring_frequency(materialize(_vocab(spark, folder, 0), "vocabulary"), nouns.select(F.col("word").alias("needle"))).withColumnRenamed("needle", "word")
     return compound.mutual_inclusion(nouns, freq).select("doc_id", "word", "freq")
 
 
