@@ -219,16 +219,17 @@ def new_words(docs: DataFrame, lexicon: DataFrame, tag: tagger.Tagger | None = N
     parts = parts.join(nouns, "um", "left_anti")
     right = parts.select("rp").distinct().withColumn("morphs", tagger.tagged(lambda: tag)(F.col("rp")))
     known = right.where(tagger.is_known(F.col("morphs"))).select("rp", F.when(F.size("morphs") > 0, F.col("morphs")[0]["surface"]).otherwise("").alias("first"))
-    parts = parts.join(known, "rp")
+    parts = parts.join(counts.merged(known), "rp")
     sign = r"[^\p{L}]"
     cut = (F.col("lp").rlike(sign + "$") & F.col("um").rlike("^" + sign)) | (F.col("um").rlike(sign + "$") & F.col("rp").rlike("^" + sign))
     one_sided = F.contains("um", F.lit("(")) != F.contains("um", F.lit(")"))
     parts = parts.where(~cut & ~one_sided).select("token", F.concat("um", "first").alias("needle"), F.concat("lp", "um").alias("word"))
     parts = materialize(parts, "divisions")
-    freq = counts.substring_frequency(vocab, parts.select("needle")).where(F.col("freq") >= least)
-    words = parts.join(freq, "needle").select("token", "word").distinct()
+    freq = counts.part_frequency(vocab, parts.select("needle")).where(F.col("freq") >= least)
+    words = parts.join(counts.merged(freq), "needle").select("token", "word").distinct()
     words = words.select(F.col("token").alias("doc_id"), (F.row_number().over(Window.partitionBy("token").orderBy("word")) - 1).alias("ord"), "word")
-    counted = counts.substring_frequency(vocab, words.select(F.col("word").alias("needle"))).withColumnRenamed("needle", "word")
+    words = materialize(words, "words")
+    counted = counts.part_frequency(vocab, words.select(F.col("word").alias("needle"))).withColumnRenamed("needle", "word")
     kept = compound.mutual_inclusion(words, counted).select("word", "freq").distinct()
     return tagger.without_registered(kept, lexicon)
 
