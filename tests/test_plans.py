@@ -39,7 +39,7 @@ def sent_to_all(plan: str) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["cliff_nouns_first", "corpus_cliffs", "cliff_nouns_multi", "discovered_nouns", "mutual_inclusion", "new_words"])
+@pytest.mark.parametrize("name", ["cliff_nouns_first", "corpus_cliffs", "cliff_nouns_multi", "discovered_nouns", "mutual_inclusion", "new_words", "discover"])
 def test_exploded_rows_are_not_gathered_by_the_driver(spark, folder, monkeypatch, name):
     plans, store = [], lineage.store
 
