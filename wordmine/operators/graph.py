@@ -90,6 +90,35 @@ def textrank(edges: DataFrame, nouns: DataFrame, rounds: int = ROUNDS, damping:
     return rows.groupBy("chunk").applyInArrow(rank, "doc_id bigint, noun string, tr double")
 
 
+def rank_sentences(group: pa.Table, rounds: int = ROUNDS, damping: float = DAMPING) -> pa.Table:
+    """``(doc_id, noun, tr)`` of a batch of documents: ``(doc_id, sent_id, noun, n)``, and each of their nouns once without a sentence."""
+    docs, n = group["doc_id"].to_numpy().astype(np.int64), group["n"].to_numpy().astype(np.float64)
+    own = group["sent_id"].is_null().to_numpy(zero_copy_only=False)
+    words = group["noun"].combine_chunks().dictionary_encode()
+    codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width, (ids, place) = len(words.dictionary), np.unique(docs, return_inverse=True)
+    key = place * width + codes
+    nodes = np.unique(key[own])  # one for each document and noun
+    kept = np.flatnonzero(~own & np.isin(key, nodes))
+    sents = group["sent_id"].fill_null(0).to_numpy().astype(np.int64)[kept]
+    kept = kept[np.lexsort((key[kept], sents))]  # sums in one order, whatever order the rows came in
+    sents = group["sent_id"].fill_null(0).to_numpy().astype(np.int64)[kept]
+    _, s = np.unique(np.stack([place[kept], sents], 1), axis=0, return_inverse=True) if len(kept) else (None, np.zeros(0, np.int64))
+    s, a, w = s.reshape(-1), np.searchsorted(nodes, key[kept]), n[kept]
+    size, total = len(nodes), np.bincount(s, w)
+    seen = np.bincount(a, minlength=size) > 0
+    degree = np.bincount(a, total[s], minlength=size) - seen
+    live = degree > 0
+    doc = nodes // width
+    value = 1.0 / np.bincount(doc, minlength=len(ids))[doc]
+    for _ in range(rounds):
+        share = np.divide(value, degree, out=np.zeros(size), where=live)
+        passed = np.bincount(s, share[a])
+        value = np.where(live, np.bincount(a, w * passed[s], minlength=size) - share, value)
+    names = words.dictionary.take(pa.array(nodes % width)).cast(pa.string())
+    return pa.table([pa.array(ids[doc], pa.int64()), names, pa.array((1 - damping) + damping * value, pa.float64())], names=["doc_id", "noun", "tr"])
+
+
 def sentence_rank(occ: DataFrame, nouns: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, batch_docs: int = BATCH_DOCS) -> DataFrame:
     """``textrank`` over ``cooccurrence(occ)`` without the edges, of which a sentence of k nouns has k times k.
 
@@ -103,31 +132,7 @@ def sentence_rank(occ: DataFrame, nouns: DataFrame, rounds: int = ROUNDS, dampin
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n_docs // batch_docs)))).cast("int")
 
     def rank(group: pa.Table) -> pa.Table:
-        docs, n = group["doc_id"].to_numpy().astype(np.int64), group["n"].to_numpy().astype(np.float64)
-        own = group["sent_id"].is_null().to_numpy(zero_copy_only=False)
-        words = group["noun"].combine_chunks().dictionary_encode()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        width, (ids, place) = len(words.dictionary), np.unique(docs, return_inverse=True)
-        key = place * width + codes
-        nodes = np.unique(key[own])  # one for each document and noun
-        kept = np.flatnonzero(~own & np.isin(key, nodes))
-        sents = group["sent_id"].fill_null(0).to_numpy().astype(np.int64)[kept]
-        kept = kept[np.lexsort((key[kept], sents))]  # sums in one order, whatever order the rows came in
-        sents = group["sent_id"].fill_null(0).to_numpy().astype(np.int64)[kept]
-        _, s = np.unique(np.stack([place[kept], sents], 1), axis=0, return_inverse=True) if len(kept) else (None, np.zeros(0, np.int64))
-        s, a, w = s.reshape(-1), np.searchsorted(nodes, key[kept]), n[kept]
-        size, total = len(nodes), np.bincount(s, w)
-        seen = np.bincount(a, minlength=size) > 0
-        degree = np.bincount(a, total[s], minlength=size) - seen
-        live = degree > 0
-        doc = nodes // width
-        value = 1.0 / np.bincount(doc, minlength=len(ids))[doc]
-        for _ in range(rounds):
-            share = np.divide(value, degree, out=np.zeros(size), where=live)
-            passed = np.bincount(s, share[a])
-            value = np.where(live, np.bincount(a, w * passed[s], minlength=size) - share, value)
-        names = words.dictionary.take(pa.array(nodes % width)).cast(pa.string())
-        return pa.table([pa.array(ids[doc], pa.int64()), names, pa.array((1 - damping) + damping * value, pa.float64())], names=["doc_id", "noun", "tr"])
+        return rank_sentences(group, rounds, damping)
 
     return counts.unionByName(alone).withColumn("chunk", chunk).groupBy("chunk").applyInArrow(rank, "doc_id bigint, noun string, tr double")
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordmine.functions import clean
 from wordmine.functions.measures import all_contexts, count_in, first_context, match_percent
-from wordmine.operators import compound, counts, graph, select, similar, tagger, tokens
+from wordmine.operators import compound, counts, graph, perdoc, select, similar, tagger, tokens
 from wordmine.plans.lineage import listed, materialize
 
 #: Thresholds of the analyses.
 SCORE, TFIDF, LEAST = 0.3, 3.5, 2
+#: Documents, or characters, that are worked off together.
+CHUNK_DOCS, CHUNK_CHARS = 2048, 8_000_000
 
 
 FOUND = "array<struct<noun:string,at:int>>"
@@ -91,20 +93,56 @@ def prefix_cliffs(vocab: DataFrame, first: bool = False, corpus: DataFrame | Non
     return select.cliff(scored.select("token", "len", "prefix", F.coalesce("freq", F.lit(0)).alias("score")), first)
 
 
+def in_chunks(docs: DataFrame) -> DataFrame:
+    """Stored ``docs`` with ``chunk``, by a hash of their id: about ``CHUNK_DOCS`` documents, or ``CHUNK_CHARS`` characters if these are fewer."""
+    n, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("clean")), F.lit(0))).first()
+    chunks = max(1, -(-n // CHUNK_DOCS), -(-chars // CHUNK_CHARS))
+    return docs.where("doc_id IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+
+
+def chunk_cliffs(docs: DataFrame, least: int, corpus: DataFrame | None) -> DataFrame:
+    """``(chunk, token, sizes)``: the lengths of the prefixes at a frequency cliff of each token of a chunk of ``in_chunks``.
+
+    Tokens of all documents of a chunk share a row, and the prefixes travel as lengths.
+    """
+    toks = docs.select("chunk", F.explode(F.split("clean", " ")).alias("token"))
+    toks = toks.where(F.length(F.regexp_replace("token", "[0-9]+", "-")) >= 3)
+    own = materialize(toks.groupBy("chunk", "token").agg(F.count(F.lit(1)).alias("n")), "chunk-tokens")
+    vocab = materialize(own.groupBy("token").agg(F.sum("n").alias("n")), "vocabulary")
+    chosen = prefix_cliffs(vocab, corpus=corpus)
+    if corpus is None:  # the score is the number in all documents, and no document has more
+        chosen = chosen.where(F.col("score") >= least)
+    sizes = chosen.groupBy("token").agg(F.sort_array(F.collect_list("len")).alias("sizes"))
+    return own.select("chunk", "token").join(counts.merged(sizes), "token").select("chunk", "token", "sizes")
+
+
+def _texts_and_cliffs(docs: pa.Table, cliffs: pa.Table) -> tuple[dict, dict[str, list[int]]]:
+    """The rows of each document of a chunk, and the lengths by token."""
+    own: dict = {}
+    for r in docs.to_pylist():
+        own.setdefault(r["doc_id"], []).append(r)
+    return own, dict(zip(cliffs["token"].to_pylist(), cliffs["sizes"].to_pylist()))
+
+
+def _rows(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows)) or [[] for _ in names]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
 def discover_nouns(docs: DataFrame, least: int = LEAST, corpus: DataFrame | None = None) -> DataFrame:
     """``(doc_id, ord, noun)``: prefixes at a frequency cliff that occur ``least`` times in the document, in the order of their tokens.
 
     Frequencies come from ``corpus``, a larger collection ``(doc_id, clean)``, if there is one.
     """
-    per_doc = materialize(counts.document_tokens(tokens.tokenize(docs, least=3)), "document-tokens")
-    vocab = materialize(per_doc.groupBy("token").agg(F.sum("m").alias("n")), "vocabulary")
-    chosen = materialize(prefix_cliffs(vocab, corpus=corpus).select("token", "len", F.col("prefix").alias("noun")), "cliffs")
-    held = counts.occurrences(vocab, chosen.select(F.col("noun").alias("needle"))).select("token", F.col("needle").alias("noun"), "k", F.lit(None).cast("int").alias("len"))
-    both = held.unionByName(chosen.select("token", "noun", F.lit(0).cast("bigint").alias("k"), "len"))  # what a token has, and what it gives
-    at = F.min(F.when(F.col("len").isNotNull(), F.struct("pos", "len"))).alias("at")
-    found = per_doc.join(counts.merged(both), "token").groupBy("doc_id", "noun").agg(F.sum(F.col("m") * F.col("k")).alias("n"), at)
-    kept = found.where((F.col("n") >= least) & F.col("at").isNotNull())
-    return kept.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "noun")) - 1).alias("ord"), "noun")
+    docs = in_chunks(materialize(docs.select("doc_id", F.coalesce("clean", F.lit("")).alias("clean")), "discover-docs"))
+    cliffs = chunk_cliffs(docs, least, corpus)
+
+    def nouns(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, sizes = _texts_and_cliffs(left, right)
+        found = [(d, k, noun) for d, rows in own.items() for k, noun in enumerate(perdoc.cliff_nouns([r["clean"] for r in rows], sizes, least))]
+        return _rows(found, ["doc_id", "ord", "noun"], [left.schema.field("doc_id").type, pa.int32(), pa.string()])
+
+    return docs.groupBy("chunk").cogroup(cliffs.groupBy("chunk")).applyInArrow(nouns, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ord int, noun string")
 
 
 def discover(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE, keep_tail: bool = True, corpus: DataFrame | None = None) -> DataFrame:
@@ -113,23 +151,32 @@ def discover(docs: DataFrame, lexicon: DataFrame, least_score: float = SCORE, ke
     ``pairs`` tries all adjacent nouns of the text without spaces, ``chains`` neighbouring nouns of a sentence merged
     into chains; registered nouns may be parts of compounds. Sentences give their nouns up one by one, those that lie
     in others last. A pair counts by the text as it is or without its brackets, whichever has it more often.
+
+    Once the cliffs of the collection are known all of it lies within a document, so texts are shuffled once, and a
+    chunk of documents is worked off in Python.
     """
-    docs = materialize(docs.select("doc_id", "clean", clean.strip_parens(F.col("clean")).alias("bare")), "discover-docs")
-    nouns = materialize(discover_nouns(docs, corpus=corpus), "nouns")
-    found = nouns.select("doc_id", F.col("noun").alias("word"))
-    taken = compound.greedy_occurrences(tokens.sentences(docs), compound.with_order(nouns))
-    place = F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy("at", "step")) - 1
-    occ = materialize(taken.select("doc_id", "sent_id", place.alias("pos"), "noun"), "noun-occurrences")
-    ranks = materialize(graph.sentence_rank(occ, nouns.select("doc_id", "noun")), "ranks")
-    total = counts.word_total(F.col("clean"))
-    new = compound.score_pairs(compound.adjacent_pairs(docs, nouns, also="bare"), docs, ranks, total)
-    new = new.where(F.col("trpmi") >= least_score).select("doc_id", F.concat_ws(" ", "a", "b").alias("word"), F.lit("pairs").alias("method"))
-    counted = materialize(compound.with_counts(compound.first_seen(compound.bigrams(occ)), docs, also="bare"), "counted-pairs")
-    scored = compound.score_pairs(counted.select("doc_id", "a", "b", "n"), docs, ranks, total).where(F.col("trpmi") >= least_score)
-    kept = counted.join(scored.select("doc_id", "a", "b"), ["doc_id", "a", "b"]).select("doc_id", "ord", "a", "b")
-    chains = compound.chain_merge(kept, keep_tail).select("doc_id", F.array_join("words", " ").alias("word"), F.lit("chains").alias("method"))
-    fresh = tagger.without_registered(found, lexicon).select("doc_id", "word", F.lit("noun").alias("method"))
-    return fresh.unionByName(new).unionByName(chains).distinct()
+    text = F.coalesce("clean", F.lit(""))
+    docs = in_chunks(materialize(docs.select("doc_id", text.alias("clean"), counts.word_total(text).cast("bigint").alias("total")), "discover-docs"))
+    cliffs = chunk_cliffs(docs, LEAST, corpus)
+
+    def words(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, sizes = _texts_and_cliffs(left, right)
+        texts = {d: [r["clean"] for r in rows] for d, rows in own.items()}
+        nouns = {d: found for d, t in texts.items() if (found := perdoc.cliff_nouns(t, sizes, LEAST))}
+        occ = [perdoc.occurrences_of(texts[d], perdoc.included_last(found)) for d, found in nouns.items()]
+        ranks: list[dict[str, float]] = [{} for _ in nouns]
+        for d, noun, tr in zip(*graph.rank_sentences(perdoc.graph_rows(occ, list(nouns.values()))).to_pydict().values()) if nouns else ():
+            ranks[d][noun] = tr
+        out = [(d, noun, "noun") for d, found in nouns.items() for noun in found]
+        for k, (d, found) in enumerate(nouns.items()):
+            new, chains = perdoc.compounds_of([(r["clean"], r["total"]) for r in own[d]], sorted(found), occ[k], ranks[k], least_score, keep_tail)
+            out += [(d, word, "pairs") for word in new] + [(d, word, "chains") for word in chains]
+        return _rows(out, ["doc_id", "word", "method"], [left.schema.field("doc_id").type, pa.string(), pa.string()])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, word string, method string"
+    every = docs.groupBy("chunk").cogroup(cliffs.groupBy("chunk")).applyInArrow(words, schema)
+    known = tagger.lexicon_rows(lexicon).where(F.startswith("tag", F.lit("N"))).select(F.upper("surface").alias("word"), F.lit("noun").alias("method")).distinct()
+    return every.join(known, ["word", "method"], "left_anti").select("doc_id", "word", "method")
 
 
 def frequent_starts(docs: DataFrame, least: int = LEAST) -> DataFrame:
